@@ -1,0 +1,29 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded count proves it has at most
+``max_rows`` rows (the count stops after ``max_rows + 1``). Beyond that the
+DataFrame is returned unchanged and Catalyst plans a shuffle join, with AQE
+free to re-plan (and to split skewed partitions) at run time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 200_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      known_bound: int | None = None) -> DataFrame:
+    """``known_bound``: a row bound proven by construction (for example
+    ``k * topics`` after a per-topic top-k), which saves the counting job."""
+    if known_bound is not None and known_bound <= max_rows:
+        return F.broadcast(df)
+    if row_count_at_most(df, max_rows):
+        return F.broadcast(df)
+    return df

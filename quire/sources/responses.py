@@ -1,0 +1,45 @@
+"""Annotation responses as data (A6 a): a recorded ``(pmid, response)`` table.
+
+The reference asks a remote model per article. Offline, the response text of
+every article is derived from its id by a fixed rule, so the parse and report
+operators see the same variety a model produces: valid objects, an unknown
+effect label, a missing ``findings`` key, and one fifth with no JSON at all.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _q(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def recorded_response(doc_id: Column) -> Column:
+    d = doc_id
+    ds = d.cast("string")
+    effect = (F.when(F.pmod(d, F.lit(5)) == 0, "positive")
+              .when(F.pmod(d, F.lit(5)) == 1, "negative")
+              .when(F.pmod(d, F.lit(5)) == 2, "neutral")
+              .otherwise("unclear"))
+    strength = (F.when(F.pmod(d, F.lit(3)) == 0, "strong")
+                .when(F.pmod(d, F.lit(3)) == 1, "moderate")
+                .otherwise("weak"))
+    f0 = _q(F.concat(F.lit("f"), ds, F.lit(".0")))
+    f1 = _q(F.concat(F.lit("f"), ds, F.lit(".1")))
+    nf = F.pmod(d, F.lit(4))
+    findings = (F.when(nf == 0, F.lit(""))
+                .when(nf == 1, F.concat(F.lit(', "findings": ['), f0, F.lit("]")))
+                .otherwise(F.concat(F.lit(', "findings": ['), f0, F.lit(", "), f1, F.lit("]"))))
+    obj = F.concat(F.lit('{"effect_type": '), _q(effect),
+                   F.lit(', "evidence_strength": '), _q(strength), findings,
+                   F.lit(', "conclusion": '), _q(F.concat(F.lit("c"), ds)), F.lit("}"))
+    return F.when(F.pmod(d, F.lit(5)) == 4, F.lit("no object here")) \
+        .otherwise(F.concat(F.lit("Sure: "), obj, F.lit(" done")))
+
+
+def recorded_responses(documents: DataFrame) -> DataFrame:
+    """``(pmid, response)`` for every document."""
+    return documents.select(F.col("doc_id").cast("string").alias("pmid"),
+                            recorded_response(F.col("doc_id")).alias("response"))
