@@ -87,7 +87,7 @@ arts_d AS (
   FROM arts)"""
 
 DOC_TOKS = f"""doc_toks AS (
-  SELECT doc_id, pmid, year(pub_parsed) AS yr,
+  SELECT doc_id, pmid, CAST(year(pub_parsed) AS INTEGER) AS yr,
          {toks("title || " + NL + " || abstract")} AS toks
   FROM arts_d),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(len(toks)) AS avgdl FROM doc_toks)"""
@@ -332,7 +332,7 @@ ORACLE = {
     "effect_counts": _reports_sql("""SELECT topic_id, total_papers, positive_effects, negative_effects,
        neutral_effects FROM q_rc"""),
     "key_findings": _reports_sql("""SELECT topic_id, array_to_string(key_findings, '|') AS key_findings,
-       len(key_findings) AS n_findings FROM q_rc"""),
+       CAST(len(key_findings) AS INTEGER) AS n_findings FROM q_rc"""),
     "report_articles": _reports_sql("SELECT topic_id, articles FROM q_rc"),
     "evidence_summary": _reports_sql("""SELECT topic_id, evidence_strength, count(*) AS n_articles
        FROM q_ann2 WHERE evidence_strength IS NOT NULL GROUP BY topic_id, evidence_strength"""),
@@ -362,3 +362,213 @@ ORACLE = {
     "parse_pub_date": with_(BASE) + f"""SELECT pmid, dp, strftime(pub_parsed, {TF}) AS parsed,
        strftime(pub_date, {TF}) AS publication_date FROM arts_d""",
 }
+
+
+# ------------------------------------------------------------------ batch 2 helpers
+
+def sparse_embed(name: str, src: str, key: str, text: str) -> str:
+    """``{name}(key, b, v)``: hashed token counts, L2-normalised, as FLOAT."""
+    return f"""{name}_b AS (
+  SELECT key, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 AS b FROM (
+    SELECT {key} AS key, unnest({toks(text)}) AS t FROM {src})),
+{name}_c AS (SELECT key, b, count(*) AS c FROM {name}_b GROUP BY key, b),
+{name} AS (SELECT key, b, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY key)) AS FLOAT) AS v FROM {name}_c)"""
+
+
+def sparse_cosine(name: str, q: str, d: str) -> str:
+    """``{name}(qkey, dkey, score)`` for every (query, item) pair."""
+    return f"""{name}_qn AS (SELECT key, sqrt(sum(CAST(v AS DOUBLE) * v)) AS n FROM {q} GROUP BY key),
+{name}_dn AS (SELECT key, sqrt(sum(CAST(v AS DOUBLE) * v)) AS n FROM {d} GROUP BY key),
+{name}_dot AS (SELECT q.key AS qkey, d.key AS dkey, sum(CAST(q.v AS DOUBLE) * CAST(d.v AS DOUBLE)) AS dot
+  FROM {q} q JOIN {d} d ON q.b = d.b GROUP BY q.key, d.key),
+{name} AS (SELECT qn.key AS qkey, dn.key AS dkey,
+  round(coalesce(x.dot, 0.0) / (qn.n * dn.n), 6) AS score
+  FROM {name}_qn qn CROSS JOIN {name}_dn dn
+  LEFT JOIN {name}_dot x ON x.qkey = qn.key AND x.dkey = dn.key)"""
+
+
+def vec_summary(src: str, key: str) -> str:
+    return (f"SELECT key AS {key}, CAST(count(*) AS INTEGER) AS nnz, "
+            f"round(sum(CAST(v AS DOUBLE) * (b + 1)), 5) AS checksum FROM {src} GROUP BY key")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _prompt_sql() -> str:
+    from quire.functions.text import PROMPT_TEMPLATE
+    head, rest = PROMPT_TEMPLATE.split("{compound}", 1)
+    mid1, rest = rest.split("{disease}", 1)
+    mid2, rest = rest.split("{title}", 1)
+    mid3, tail = rest.split("{abstract}", 1)
+    tail = tail.replace("{{", "{").replace("}}", "}")
+    return (f"{_sql_str(head)} || coalesce(compound, 'None') || {_sql_str(mid1)} || coalesce(disease, 'None') || "
+            f"{_sql_str(mid2)} || coalesce(title, '') || {_sql_str(mid3)} || coalesce(abstract, '') || {_sql_str(tail)}")
+
+
+QUERY_TEXT = """coalesce(compound, 'None') || ' AND ' || coalesce(disease, 'None') || ' AND (treatment OR therapy OR effect)' ||
+  CASE WHEN coalesce(start_year, 0) <> 0 AND coalesce(end_year, 0) <> 0
+         THEN ' AND (' || CAST(start_year AS VARCHAR) || '[PDAT]:' || CAST(end_year AS VARCHAR) || '[PDAT])'
+       WHEN coalesce(start_year, 0) <> 0 THEN ' AND ' || CAST(start_year AS VARCHAR) || '[PDAT]:3000[PDAT]'
+       WHEN coalesce(end_year, 0) <> 0 THEN ' AND 1900[PDAT]:' || CAST(end_year AS VARCHAR) || '[PDAT]'
+       ELSE '' END"""
+
+BENCH_Q = "bench AS (SELECT item_id AS query_id, text FROM benchmark)"
+
+
+def _store_rows(p: str, ts: str) -> str:
+    """First write wins inside a run: one row per pmid, lowest (topic, rank)."""
+    return f"""{p}_store AS (
+  SELECT DISTINCT ON (pmid) pmid, title, abstract, compound, disease, TIMESTAMP '{ts}' AS created_at
+  FROM {p}_fetched ORDER BY pmid, topic_id, rank)"""
+
+
+def _article_store() -> str:
+    """CTE ``astore``: the two-run article store."""
+    return (history_topics_cte() + ",\n" + topics_cte("atopics", ANSWER_ROWS) + ",\n"
+            + report_ctes("h", "htopics") + ",\n" + report_ctes("a", "atopics") + ",\n"
+            + _store_rows("h", "2024-05-01 00:00:00") + ",\n" + _store_rows("a", "2024-06-01 00:00:00")
+            + """,
+astore AS (SELECT * FROM h_store UNION ALL
+           SELECT * FROM a_store WHERE pmid NOT IN (SELECT pmid FROM h_store))""")
+
+
+def _analysis_store() -> str:
+    return (history_ctes() + ",\n" + topics_cte() + ",\n" + report_ctes("q", "topics") + """,
+anstore AS (SELECT compound, disease, content, created_at, total_papers FROM hist
+  UNION ALL SELECT compound, disease, content, TIMESTAMP '2024-06-01 00:00:00', total_papers
+  FROM q_rc WHERE status = 'ok')""")
+
+
+LEX_POS = "['er', 'ing']"
+LEX_NEG = "['ed', 'tion']"
+
+
+def _lexicon() -> str:
+    return with_(BASE, topics_cte(), report_ctes("q", "topics"), f"""lx AS (
+  SELECT topic_id, pmid, {toks("title || " + NL + " || abstract")} AS tk,
+         list_filter(regexp_split_to_array(coalesce(abstract, ''), '[.!?]\\s+'), lambda s: s <> '') AS sents
+  FROM q_fetched),
+lx2 AS (SELECT *, len(list_filter(tk, lambda t: list_contains({LEX_POS}, t)))
+                - len(list_filter(tk, lambda t: list_contains({LEX_NEG}, t))) AS sc FROM lx)""") + f"""
+SELECT topic_id, pmid,
+  CASE WHEN sc > 0 THEN 'positive' WHEN sc < 0 THEN 'negative' ELSE 'neutral' END AS effect_type,
+  CASE WHEN abs(sc) >= 5 THEN 'strong' WHEN abs(sc) >= 2 THEN 'moderate' ELSE 'weak' END AS evidence_strength,
+  array_to_string(list_slice(list_filter(sents, lambda s: len(list_intersect({toks('s')}, ['er', 'ing', 'ed', 'tion'])) > 0), 1, 3), '|') AS findings,
+  coalesce(sents[-1], '') AS conclusion
+FROM lx2"""
+
+
+def _similar_articles(filter_sql: str = "") -> str:
+    return with_(BASE, topics_cte(), report_ctes("q", "topics"), _store_rows("q", "2024-06-01 00:00:00"),
+                 f"sitems AS (SELECT * FROM q_store {filter_sql})", BENCH_Q,
+                 sparse_embed("qe", "bench", "query_id", "text"),
+                 sparse_embed("de", "sitems", "pmid", "title || " + NL + " || abstract"),
+                 sparse_cosine("cs", "qe", "de")) + """
+SELECT qkey AS query_id, CAST(rank AS INTEGER) AS rank, s.pmid, s.compound, s.disease, score AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY score DESC, dkey) AS rank FROM cs) c
+JOIN sitems s ON s.pmid = c.dkey WHERE rank <= 5"""
+
+
+def _hybrid() -> str:
+    bm = _q_bm25()
+    bm_ctes = bm[len("WITH "):bm.index("\nSELECT query_id, pmid, score, CAST(rank")]
+    return "WITH " + bm_ctes + ",\n" + ",\n".join([
+        BENCH_Q,
+        sparse_embed("qe", "bench", "query_id", "text"),
+        sparse_embed("de", "arts", "pmid", "title || " + NL + " || abstract"),
+        sparse_cosine("cs", "qe", "de"),
+        """dense AS (SELECT qkey AS query_id, dkey AS pmid, r_dense FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qkey ORDER BY score DESC, dkey) AS INTEGER) AS r_dense FROM cs)
+  WHERE r_dense <= 20)""",
+        """btext AS (SELECT query_id, pmid, r_text FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pmid) AS INTEGER) AS r_text FROM bscored)
+  WHERE r_text <= 20)""",
+        """fused AS (SELECT coalesce(d.query_id, t.query_id) AS query_id, coalesce(d.pmid, t.pmid) AS pmid,
+  d.r_dense, t.r_text,
+  round(coalesce(1.0 / (60 + d.r_dense), 0.0) + coalesce(1.0 / (60 + t.r_text), 0.0), 6) AS score
+  FROM dense d FULL OUTER JOIN btext t ON d.query_id = t.query_id AND d.pmid = t.pmid)"""]) + """
+SELECT * FROM (SELECT query_id, pmid, r_dense, r_text, score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pmid) AS INTEGER) AS rank FROM fused)
+WHERE rank <= 5"""
+
+
+ORACLE.update({
+    "valid_messages": """SELECT conv_id, turn, role FROM conversations
+       WHERE regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') <> ''""",
+    "topic_query_text": with_(BASE, topics_cte(), match_ctes("q", "topics")) + f"""SELECT t.topic_id,
+       {QUERY_TEXT} AS query_text, coalesce(n.n_matches, 0) AS n_matches
+       FROM topics t LEFT JOIN (SELECT topic_id, count(*) AS n_matches FROM q_matched GROUP BY topic_id) n
+       ON n.topic_id = t.topic_id""",
+    "render_prompt": _reports_sql(f"SELECT topic_id, pmid, {_prompt_sql()} AS prompt FROM q_fetched"),
+    "extract_json": with_(BASE) + f"SELECT pmid, {span_sql('response')} AS span FROM resp",
+    "parse_annotation": with_(BASE, f"""pa AS (SELECT pmid, span, {ok_sql('span')} AS ok FROM (
+       SELECT pmid, {span_sql('response')} AS span FROM resp))""") + f"""SELECT pmid, ok AS annotation_ok,
+       {ANN_COLS.replace("AS findings", "AS findings_l")} FROM pa""".replace(
+        "SELECT pmid, ok AS annotation_ok,", "SELECT pmid, annotation_ok, effect_type, evidence_strength, "
+        "array_to_string(findings_l, '|') AS findings, conclusion FROM (SELECT pmid, ok AS annotation_ok,") + ")",
+    "article_content": with_(BASE) + f"""SELECT pmid, CAST(length(title || {NL} || abstract) AS INTEGER) AS n_chars,
+       md5(title || {NL} || abstract) AS md5 FROM arts""",
+    "fetch_articles": _reports_sql(f"""SELECT f.topic_id, CAST(f.rank AS INTEGER) AS rank, f.pmid, f.title,
+       a.journal, array_to_string(a.keywords, ',') AS keywords, strftime(a.pub_date, {TF}) AS publication_date
+       FROM q_fetched f JOIN arts_d a ON a.pmid = f.pmid"""),
+    "conversation_tail": """WITH t AS (
+  SELECT conv_id, turn, role, CAST(len(string_split_regex(trim(coalesce(text, '')), '\\s+')) AS BIGINT) AS n_tokens
+  FROM conversations),
+r AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM t),
+k AS (SELECT * FROM r WHERE running <= 100),
+f AS (SELECT conv_id, min(turn) AS first_turn FROM k WHERE role <> 'assistant' GROUP BY conv_id)
+SELECT k.conv_id, k.turn, k.role, k.n_tokens, k.running FROM k JOIN f ON f.conv_id = k.conv_id
+WHERE k.turn >= f.first_turn""",
+    "embed_documents": with_(BASE, sparse_embed("de", "arts", "pmid", "title || " + NL + " || abstract"))
+    + vec_summary("de", "pmid"),
+    "cosine_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
+i AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.query_id, i.vec_id, round(list_cosine_similarity(q.e, i.e), 6) AS score FROM q CROSS JOIN i)
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WHERE rank <= 5""",
+    "search_similar_analyses": with_(BASE, history_ctes(), BENCH_Q, """hitems AS (
+  SELECT compound || chr(1) || disease || chr(1) || strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') || chr(1) || md5(content) AS key,
+         compound, disease, created_at, content FROM hist)""",
+                                     sparse_embed("qe", "bench", "query_id", "text"),
+                                     sparse_embed("he", "hitems", "key", "content"),
+                                     sparse_cosine("cs", "qe", "he")) + f"""
+SELECT qkey AS query_id, CAST(rank AS INTEGER) AS rank, h.compound, h.disease,
+       strftime(h.created_at, {TF}) AS analysis_time, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY score DESC, dkey) AS rank FROM cs) c
+JOIN hitems h ON h.key = c.dkey WHERE rank <= 5""",
+    "search_similar_articles": _similar_articles(),
+    "search_similar_filtered": _similar_articles("WHERE compound = 'ther'"),
+    "hybrid_search": _hybrid(),
+    "store_articles": with_(BASE, _article_store()) + f"""SELECT pmid, compound, disease,
+       strftime(created_at, {TF}) AS created_at FROM astore""",
+    "scan_articles": with_(BASE, _article_store(),
+                           sparse_embed("se", "astore", "pmid", "title || " + NL + " || abstract"),
+                           "sv AS (" + vec_summary("se", "pmid") + ")") + """SELECT a.pmid, a.title,
+       CAST(length(a.abstract) AS INTEGER) AS abstract_chars, sv.nnz, sv.checksum
+       FROM astore a JOIN sv ON sv.pmid = a.pmid""",
+    "store_analyses": with_(BASE, _analysis_store()) + """SELECT compound, disease, count(*) AS n_analyses,
+       CAST(sum(total_papers) AS BIGINT) AS papers FROM anstore GROUP BY compound, disease""",
+    "scan_analyses": with_(BASE, _analysis_store(), """anitems AS (SELECT *, compound || chr(1) || disease || chr(1)
+       || strftime(created_at, '%Y-%m-%d %H:%M:%S') || chr(1) || md5(content) AS key FROM anstore)""",
+                           sparse_embed("ae", "anitems", "key", "content"),
+                           "av AS (" + vec_summary("ae", "key") + ")") + f"""SELECT a.compound, a.disease,
+       strftime(a.created_at, {TF}) AS analysis_time, a.total_papers, a.content, av.nnz, av.checksum
+       FROM anitems a JOIN av ON av.key = a.key""",
+    "report_json": _reports_sql("""SELECT topic_id, total_papers, positive_effects,
+       array_to_string(key_findings, '|') AS key_findings, articles, content, status FROM q_rc"""),
+    "read_medline": with_(BASE) + """SELECT pmid,
+       CAST(1 + (title <> '')::INT + (abstract <> '')::INT + (dp <> '')::INT + (journal <> '')::INT + 1 AS INTEGER) AS n_tags,
+       concat_ws(',', 'PMID', CASE WHEN title <> '' THEN 'TI' END, CASE WHEN abstract <> '' THEN 'AB' END,
+                 CASE WHEN dp <> '' THEN 'DP' END, CASE WHEN journal <> '' THEN 'TA' END, 'MH') AS tags
+       FROM arts""",
+    "map_medline": with_(BASE) + f"""SELECT pmid, title, replace(abstract, {NL}, ' ') AS abstract, journal,
+       '' AS authors, array_to_string(keywords, '|') AS keywords, dp, strftime(pub_parsed, {TF}) AS parsed
+       FROM arts_d""",
+    "validate_articles": with_(BASE) + "SELECT pmid, CAST(0 AS INTEGER) AS n_errors, '' AS errors FROM arts",
+    "stream_ingest": with_(BASE) + "SELECT pmid, title, '2024-05-01 00:00:00' AS created_at FROM arts",
+    "annotate_lexicon": _lexicon(),
+})

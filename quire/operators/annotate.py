@@ -17,6 +17,7 @@ from typing import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.annotation import annotation_fields, is_object, parse_annotation
 from quire.functions.text import render_prompt, tokens
@@ -64,7 +65,7 @@ def annotate_with(fetched: DataFrame, model: Callable[[Iterable[str]], Iterable[
     It runs inside ``mapInPandas``; each task builds its batches from its own
     partition, so the work spreads with the data."""
     base = with_prompt(fetched)
-    out_schema = base.schema.add("response", "string")
+    out_schema = T.StructType(base.schema.fields + [T.StructField("response", T.StringType())])
 
     def run(batches):
         for pdf in batches:
@@ -106,7 +107,7 @@ def lexicon_response(title, abstract, positive=POSITIVE_CUES, negative=NEGATIVE_
     cues = F.concat(pos, neg)
     findings = F.slice(F.filter(sentences, lambda s: F.arrays_overlap(tokens(s), cues)),
                        1, max_findings)
-    conclusion = F.coalesce(F.element_at(sentences, -1), F.lit(""))
+    conclusion = F.coalesce(F.try_element_at(sentences, F.lit(-1)), F.lit(""))
     obj = F.struct(effect.alias("effect_type"), strength.alias("evidence_strength"),
                    findings.alias("findings"), conclusion.alias("conclusion"))
     return F.to_json(obj)

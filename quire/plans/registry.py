@@ -3,6 +3,8 @@ flat columns (arrays joined to strings) whose names match the oracle SQL."""
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +192,283 @@ def q_parse_pub_date(spark, sf_dir):
                          F.date_format("publication_date", TIME_FORMAT).alias("publication_date"))
 
 
+# ------------------------------------------------------------------ scalars, sources
+
+def q_valid_messages(spark, sf_dir):
+    from quire.functions.text import is_blank
+    conv = Ctx(spark, sf_dir).table("conversations")
+    return conv.filter(~is_blank(F.col("text"))).select("conv_id", "turn", "role")
+
+
+def q_topic_query_text(spark, sf_dir):
+    from quire.functions.text import topic_query_text
+    c = Ctx(spark, sf_dir)
+    t = c.topics()
+    n = match_topics(c.arts, t, EFFECT, **c.kw()).groupBy("topic_id").agg(
+        F.count(F.lit(1)).alias("n_matches"))
+    return t.join(n, "topic_id", "left").select(
+        "topic_id", topic_query_text(F.col("compound"), F.col("disease"), F.col("start_year"),
+                                     F.col("end_year")).alias("query_text"),
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+
+
+def q_render_prompt(spark, sf_dir):
+    from quire.operators.annotate import with_prompt
+    c = Ctx(spark, sf_dir)
+    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    return with_prompt(fetched).select("topic_id", "pmid", "prompt")
+
+
+def q_extract_json(spark, sf_dir):
+    from quire.functions.annotation import extract_json
+    r = Ctx(spark, sf_dir).responses
+    return r.select("pmid", extract_json(F.col("response")).alias("span"))
+
+
+def q_parse_annotation(spark, sf_dir):
+    from quire.operators.annotate import parse_responses
+    r = parse_responses(Ctx(spark, sf_dir).responses)
+    return r.select("pmid", "annotation_ok", "effect_type", "evidence_strength",
+                    F.array_join("findings", "|").alias("findings"), "conclusion")
+
+
+def q_article_content(spark, sf_dir):
+    from quire.functions.text import article_content
+    a = Ctx(spark, sf_dir).arts
+    content = article_content(F.col("title"), F.col("abstract"))
+    return a.select("pmid", F.length(content).alias("n_chars"), F.md5(content).alias("md5"))
+
+
+def q_fetch_articles(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    return fetched.select("topic_id", F.col("rank").cast("int").alias("rank"), "pmid", "title",
+                          "journal", F.array_join("keywords", ",").alias("keywords"),
+                          F.date_format("publication_date", TIME_FORMAT).alias("publication_date"))
+
+
+def q_conversation_tail(spark, sf_dir):
+    from quire.operators.memory import conversation_tail
+    conv = Ctx(spark, sf_dir).table("conversations")
+    return conversation_tail(conv, budget=100).select("conv_id", "turn", "role", "n_tokens", "running")
+
+
+# ------------------------------------------------------------------ vectors
+
+def _vec_summary(v):
+    return (F.size(F.filter(v, lambda x: x > 0)).alias("nnz"),
+            F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)),
+                                F.lit(0.0).cast("double"), lambda a, b: a + b), 5).alias("checksum"))
+
+
+def q_embed_documents(spark, sf_dir):
+    from quire.functions.text import article_content
+    from quire.functions.vectors import hash_embed
+    a = Ctx(spark, sf_dir).arts
+    v = a.select("pmid", hash_embed(article_content(F.col("title"), F.col("abstract"))).alias("v"))
+    return v.select("pmid", *_vec_summary(F.col("v")))
+
+
+def q_cosine_topk(spark, sf_dir):
+    from quire.operators.search import cosine_topk
+    e = Ctx(spark, sf_dir).table("embeddings")
+    q = e.filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"),
+                                              F.col("embedding").alias("vec"))
+    return cosine_topk(e.select("vec_id", F.col("embedding").alias("vec")), q, 5,
+                       item_key="vec_id").select("query_id", "vec_id", "score",
+                                                 F.col("rank").cast("int").alias("rank"))
+
+
+def _bench_queries(c):
+    return c.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def q_search_similar_analyses(spark, sf_dir):
+    from quire.operators.search import search_similar_analyses
+    c = Ctx(spark, sf_dir)
+    return search_similar_analyses(_history(c), _bench_queries(c), 5).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "compound", "disease",
+        F.date_format("created_at", TIME_FORMAT).alias("analysis_time"), "score")
+
+
+def _article_store_rows(c: Ctx):
+    from quire.plans.answer import stored_articles_of_run
+    return stored_articles_of_run(c.arts, c.topics(), EFFECT, **c.kw())
+
+
+def q_search_similar_articles(spark, sf_dir):
+    from quire.operators.search import search_similar_articles
+    c = Ctx(spark, sf_dir)
+    return search_similar_articles(_article_store_rows(c), _bench_queries(c), 5).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "pmid", "compound", "disease",
+        "similarity")
+
+
+def q_search_similar_filtered(spark, sf_dir):
+    from quire.operators.search import search_similar_articles
+    c = Ctx(spark, sf_dir)
+    return search_similar_articles(_article_store_rows(c), _bench_queries(c), 5,
+                                   compound="ther").select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "pmid", "compound", "disease",
+        "similarity")
+
+
+def q_hybrid_search(spark, sf_dir):
+    from quire.operators.search import hybrid_search
+    c = Ctx(spark, sf_dir)
+    return hybrid_search(c.arts, _bench_queries(c), 5, 20, **c.kw()).select(
+        "query_id", "pmid", "r_dense", "r_text", "score", F.col("rank").cast("int").alias("rank"))
+
+
+# ------------------------------------------------------------------ stores
+
+STORE_RUN_1 = _dt.datetime(2024, 5, 1)
+
+
+def _write_article_store(c: Ctx) -> str:
+    """Two runs into a fresh store: the history topics, then the answer topics."""
+    from quire.operators.store import store_articles
+    from quire.plans.answer import HISTORY_RUNS, stored_articles_of_run
+    from quire.session import fresh_path
+    path = fresh_path(c.spark, "article_store")
+    hist = [(r[0], r[1], r[2], r[3], r[4], False) for r in HISTORY_RUNS]
+    store_articles(c.spark, path, stored_articles_of_run(c.arts, c.topics(hist), EFFECT,
+                                                         run_ts=STORE_RUN_1, **c.kw()))
+    store_articles(c.spark, path, stored_articles_of_run(c.arts, c.topics(ANSWER_TOPICS), EFFECT,
+                                                         run_ts=RUN_TS, **c.kw()))
+    return path
+
+
+def q_store_articles(spark, sf_dir):
+    from quire.operators.store import read_store
+    from quire.schemas import ARTICLE_STORE
+    c = Ctx(spark, sf_dir)
+    s = read_store(spark, _write_article_store(c), ARTICLE_STORE)
+    return s.select("pmid", "compound", "disease",
+                    F.date_format("created_at", TIME_FORMAT).alias("created_at"))
+
+
+def q_scan_articles(spark, sf_dir):
+    from quire.operators.store import read_store
+    from quire.schemas import ARTICLE_STORE
+    c = Ctx(spark, sf_dir)
+    s = read_store(spark, _write_article_store(c), ARTICLE_STORE)
+    return s.select("pmid", "title", F.length("abstract").alias("abstract_chars"),
+                    *_vec_summary(F.col("content_vector")))
+
+
+def _write_analysis_store(c: Ctx) -> str:
+    from quire.operators.report import analysis_rows
+    from quire.operators.store import store_analyses
+    from quire.session import fresh_path
+    path = fresh_path(c.spark, "analysis_store")
+    store_analyses(c.spark, path, _history(c))
+    reports, _ = analyze_topics(c.arts, c.topics(), EFFECT, c.responses, on_error="skip", **c.kw())
+    store_analyses(c.spark, path, analysis_rows(reports))
+    return path
+
+
+def q_store_analyses(spark, sf_dir):
+    from quire.operators.store import read_store
+    from quire.schemas import ANALYSIS_STORE
+    c = Ctx(spark, sf_dir)
+    s = read_store(spark, _write_analysis_store(c), ANALYSIS_STORE)
+    return s.groupBy("compound", "disease").agg(F.count(F.lit(1)).alias("n_analyses"),
+                                                F.sum("total_papers").alias("papers"))
+
+
+def q_scan_analyses(spark, sf_dir):
+    from quire.operators.store import read_store
+    from quire.schemas import ANALYSIS_STORE
+    c = Ctx(spark, sf_dir)
+    s = read_store(spark, _write_analysis_store(c), ANALYSIS_STORE)
+    return s.select("compound", "disease", F.date_format("created_at", TIME_FORMAT).alias("analysis_time"),
+                    "total_papers", "content", *_vec_summary(F.col("content_vector")))
+
+
+def q_report_json(spark, sf_dir):
+    from quire.operators.report import report_json
+    from quire.session import fresh_path
+    c = Ctx(spark, sf_dir)
+    r, _ = _reports(c)
+    path = fresh_path(spark, "reports_json")
+    report_json(r).select("json").write.text(path)
+    schema = r.schema
+    back = spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return back.select("topic_id", "total_papers", "positive_effects",
+                       F.array_join("key_findings", "|").alias("key_findings"),
+                       flat_articles().alias("articles"), "content", "status")
+
+
+# ------------------------------------------------------------------ MEDLINE, stream
+
+def _medline_files(c: Ctx) -> str:
+    from quire.session import fresh_path
+    from quire.sources.medline import write_medline
+    path = fresh_path(c.spark, "medline")
+    write_medline(c.arts, path)
+    return path
+
+
+def q_read_medline(spark, sf_dir):
+    from quire.sources.medline import read_medline, tag_text
+    c = Ctx(spark, sf_dir)
+    recs = read_medline(spark, _medline_files(c))
+    return recs.select(F.coalesce(tag_text(F.col("record"), "PMID"), F.lit("")).alias("pmid"),
+                       F.size("record").alias("n_tags"),
+                       F.array_join(F.transform("record", lambda e: e["key"]), ",").alias("tags"))
+
+
+def q_map_medline(spark, sf_dir):
+    from quire.sources.medline import map_medline, read_medline
+    c = Ctx(spark, sf_dir)
+    m = map_medline(read_medline(spark, _medline_files(c)))
+    return m.select("pmid", "title", "abstract", "journal",
+                    F.array_join("authors", "|").alias("authors"),
+                    F.array_join("keywords", "|").alias("keywords"), "dp",
+                    F.date_format("publication_date_parsed", TIME_FORMAT).alias("parsed"))
+
+
+def q_validate_articles(spark, sf_dir):
+    from quire.functions.validate import validate
+    from quire.schemas import ARTICLE
+    from quire.sources.medline import map_medline, read_medline
+    c = Ctx(spark, sf_dir)
+    m = map_medline(read_medline(spark, _medline_files(c)))
+    v = validate(m, ARTICLE)
+    return v.select("pmid", F.size("validation_errors").alias("n_errors"),
+                    F.array_join("validation_errors", ",").alias("errors"))
+
+
+def q_stream_ingest(spark, sf_dir):
+    from quire.session import fresh_path
+    from quire.sources.medline import write_medline
+    from quire.streaming.ingest import run_ingest
+    c = Ctx(spark, sf_dir)
+    src, store, ck = (fresh_path(spark, "ingest_src"), fresh_path(spark, "ingest_store"),
+                      fresh_path(spark, "ingest_ckpt"))
+    write_medline(c.arts, src + "/f1")
+    run_ingest(spark, src, store, ck, STORE_RUN_1)
+    # Second delivery: every article again with another title; first write wins.
+    write_medline(c.arts.withColumn("title", F.concat(F.lit("v2 "), F.col("title"))), src + "/f2")
+    out = run_ingest(spark, src, store, ck, RUN_TS)
+    return out.select("pmid", "title", F.date_format("created_at", TIME_FORMAT).alias("created_at"))
+
+
+def q_annotate_lexicon(spark, sf_dir):
+    from quire.operators.annotate import annotate_lexicon
+    c = Ctx(spark, sf_dir)
+    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    a = annotate_lexicon(fetched, positive=LEXICON_POSITIVE, negative=LEXICON_NEGATIVE)
+    return a.select("topic_id", "pmid", "effect_type", "evidence_strength",
+                    F.array_join("findings", "|").alias("findings"), "conclusion")
+
+
+# Cue words that occur in the synthetic corpus.
+LEXICON_POSITIVE = ("er", "ing")
+LEXICON_NEGATIVE = ("ed", "tion")
+
+
 QUERIES = {
     "search_literature": q_search_literature,
     "match_topics": q_match_topics,
@@ -209,4 +488,28 @@ QUERIES = {
     "corpus_stats": q_corpus_stats,
     "bm25_topk": q_bm25_topk,
     "parse_pub_date": q_parse_pub_date,
+    "valid_messages": q_valid_messages,
+    "topic_query_text": q_topic_query_text,
+    "render_prompt": q_render_prompt,
+    "extract_json": q_extract_json,
+    "parse_annotation": q_parse_annotation,
+    "article_content": q_article_content,
+    "fetch_articles": q_fetch_articles,
+    "conversation_tail": q_conversation_tail,
+    "embed_documents": q_embed_documents,
+    "cosine_topk": q_cosine_topk,
+    "search_similar_analyses": q_search_similar_analyses,
+    "search_similar_articles": q_search_similar_articles,
+    "search_similar_filtered": q_search_similar_filtered,
+    "hybrid_search": q_hybrid_search,
+    "store_articles": q_store_articles,
+    "scan_articles": q_scan_articles,
+    "store_analyses": q_store_analyses,
+    "scan_analyses": q_scan_analyses,
+    "report_json": q_report_json,
+    "read_medline": q_read_medline,
+    "map_medline": q_map_medline,
+    "validate_articles": q_validate_articles,
+    "stream_ingest": q_stream_ingest,
+    "annotate_lexicon": q_annotate_lexicon,
 }
