@@ -24,6 +24,7 @@ from quire.plans.broadcast import bounded_broadcast, row_count_at_most
 
 SCORE_DP = 6
 MAX_QUERY_BLOCK = 4096
+OUT_CHUNK = 1000
 RRF_K = 60  # reciprocal-rank fusion constant (Cormack et al. 2009)
 
 
@@ -65,7 +66,11 @@ def _topk_partition(q_keys, q_mat, k, item_key):
             rows["query_id"].extend([qk] * len(best_s[i]))
             rows[item_key].extend(best_k[i].tolist())
             rows["score"].extend(best_s[i].tolist())
-        yield pd.DataFrame(rows)
+        out = pd.DataFrame({"query_id": pd.Series(rows["query_id"], dtype="int64"),
+                            item_key: pd.Series(rows[item_key], dtype=object),
+                            "score": pd.Series(rows["score"], dtype="float64")})
+        for start in range(0, len(out), OUT_CHUNK):
+            yield out.iloc[start:start + OUT_CHUNK].reset_index(drop=True)
     return run
 
 

@@ -38,8 +38,22 @@ def build_session(master: str = "local[8]", app: str = "quire",
     return spark
 
 
+def ship_code() -> None:
+    """Pickle this package's functions by value, so Python workers on any
+    executor run them without the package being installed there."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    try:
+        cloudpickle.register_pickle_by_value(sys.modules["quire"])
+    except (ValueError, KeyError):
+        pass
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the defaults that are runtime-settable and not yet set."""
+    ship_code()
     for k, v in DEFAULTS.items():
         try:
             if spark.conf.get(k, None) in (None, ""):
