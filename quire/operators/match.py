@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quire.functions.dates import in_year_range, year_bounds
 from quire.functions.text import article_content, tokens
 from quire.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, row_count_at_most
+from quire.session import cut_lineage
 from quire.sources.topics import valid_topics
 
 # BM25 (Robertson & Zaragoza 2009); idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
@@ -58,19 +59,40 @@ def corpus_stats(dt: DataFrame) -> CorpusStats:
     return CorpusStats(int(row["n_docs"]), float(row["avgdl"] or 0.0))
 
 
+# Query-token sets up to this size are inlined as a hash-set filter on each
+# document's token array, so only occurrences of query tokens are exploded.
+MAX_INLINE_TOKENS = 20_000
+
+
+def _inline_tokens(qtokens: DataFrame) -> list[str] | None:
+    if not row_count_at_most(qtokens, MAX_INLINE_TOKENS):
+        return None
+    return sorted(r[0] for r in qtokens.collect())
+
+
 def postings(dt: DataFrame, qtokens: DataFrame) -> DataFrame:
-    """(doc_id, pmid, year, dl, token, tf) for query tokens only."""
-    return (dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
-                      F.explode("toks").alias("token"))
-            .join(qtokens, "token", "left_semi")
-            .groupBy("doc_id", "pmid", "year", "dl", "token")
+    """(doc_id, pmid, year, dl, token, tf) for query tokens only.
+
+    A bounded query-token set filters the token array before the explode
+    (InSet lookup); a larger one is applied as a broadcast/shuffle semi join
+    after it."""
+    inline = _inline_tokens(qtokens)
+    toks = F.col("toks")
+    if inline is not None:
+        toks = F.filter(toks, lambda t: t.isin(inline))
+    rows = dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
+                     F.explode(toks).alias("token"))
+    if inline is None:
+        rows = rows.join(qtokens, "token", "left_semi")
+    return (rows.groupBy("doc_id", "pmid", "year", "dl", "token")
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
-    # count("tf") (never null) keeps the postings aggregate identical to the
-    # scoring branch, so both reuse one shuffle (ReusedExchange).
-    return post.groupBy("token").agg(F.count("tf").alias("df"))
+    # Referencing tf keeps the postings aggregate identical to the scoring
+    # branch (plain count(1) would let Catalyst drop the tf count below), so
+    # both branches reuse one scan and one shuffle (ReusedExchange).
+    return post.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def bm25_part(stats: CorpusStats, k1: float = K1, b: float = B):
@@ -150,7 +172,10 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     small = row_count_at_most(terms, max_terms)
     terms = F.broadcast(terms) if small else terms
     qtokens = terms.select("token").distinct()
-    post = postings(dt, qtokens)
+    # Postings of the query tokens are read twice (document frequency and
+    # scoring): materialise them once in the checkpoint folder instead of
+    # scanning and tokenising the corpus twice.
+    post = cut_lineage(postings(dt, qtokens))
     # Document frequencies have at most one row per query token.
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
@@ -207,7 +232,7 @@ def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
                         .alias("token"))
     small = row_count_at_most(qt, max_terms)
     qt = F.broadcast(qt) if small else qt
-    post = postings(dt, qt.select("token").distinct())
+    post = cut_lineage(postings(dt, qt.select("token").distinct()))
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
     scored = (post.join(qt, "token").join(dfreq, "token")

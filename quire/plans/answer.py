@@ -19,6 +19,7 @@ from quire.operators.match import search_literature
 from quire.operators.report import analysis_rows, topic_reports
 from quire.operators.store import article_rows
 from quire.plans.broadcast import DEFAULT_MAX_ROWS
+from quire.session import cut_lineage
 from quire.sources.corpus import fetch_articles
 from quire.sources.topics import valid_topics
 
@@ -96,8 +97,10 @@ def answer_topics(arts: DataFrame, topics: DataFrame, analysis_store: DataFrame,
     (topic_id, compound, disease, provenance, status, analysis_time,
     total_papers, content)."""
     vt = valid_topics(topics)
-    routed = plan_topics(vt, analysis_store, strict_history)
     n = _topic_bound(vt)
+    # One row per topic; checkpointed so the history lookup runs once, not
+    # again in every size check and in both branches below.
+    routed = cut_lineage(plan_topics(vt, analysis_store, strict_history))
     routed = F.broadcast(routed) if n is not None else routed
     hist = (routed.filter(F.col("route") == "history")
             .select("topic_id", "compound", "disease",

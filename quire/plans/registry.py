@@ -15,7 +15,7 @@ from quire.operators.report import topic_reports
 from quire.plans.answer import (analyze_topics, answer_topics, fetch_ranked, history_store_rows,
                                 RUN_TS)
 from quire.session import configure
-from quire.sources.corpus import articles, read_table
+from quire.sources.corpus import articles, read_table, spread
 from quire.sources.responses import recorded_responses
 from quire.sources.topics import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, topics_frame
 
@@ -31,7 +31,7 @@ class Ctx:
         configure(spark)
         self.spark = spark
         self.sf_dir = sf_dir
-        self.documents = read_table(spark, sf_dir, "documents")
+        self.documents = spread(read_table(spark, sf_dir, "documents"))
         self.arts = articles(self.documents)
         self.responses = recorded_responses(self.documents)
         self._dt = None

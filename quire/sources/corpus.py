@@ -19,6 +19,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Use every core on small inputs: when the scan yields fewer splits than
+    the default parallelism (one row group, say), deal rows round-robin over
+    that many partitions. A large input already has more splits than cores and
+    is returned as is, so it is never shuffled here."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def _pad2(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
