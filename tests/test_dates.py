@@ -1,0 +1,41 @@
+"""C2 / P2 golden cases (FIXTURES §4, §2.12)."""
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions.dates import in_year_range, parse_pub_date, with_fallback, year_bounds
+
+FALLBACK = dt.datetime(2024, 6, 1)
+CASES = [
+    ("2020 Jan 15", dt.datetime(2020, 1, 1)),
+    ("2019 Dec-2020 Jan", dt.datetime(2019, 1, 1)),
+    ("2020-03-15", dt.datetime(2020, 3, 15)),
+    ("2020/03", dt.datetime(2020, 3, 1)),
+    ("2021-0", dt.datetime(2021, 1, 1)),
+    ("2019-2020", None), ("2020Spring", None), ("2020-1-5", None), ("2020-02-30", None),
+    ("0000", None), ("202", None), (" 2020", None), ("", None), (None, None),
+    ("2020-13-01", None), ("2020-12-31", dt.datetime(2020, 12, 31)),
+]
+
+
+def test_parse_golden(spark):
+    df = spark.createDataFrame([(s,) for s, _ in CASES], "dp string")
+    got = df.select("dp", parse_pub_date(F.col("dp")).alias("p"),
+                    with_fallback(parse_pub_date(F.col("dp")), FALLBACK).alias("f")).collect()
+    for (s, want), row in zip(CASES, got):
+        assert row["p"] == want, s
+        assert row["f"] == (want or FALLBACK), s
+
+
+@pytest.mark.parametrize("start,end,year,keep", [
+    (None, None, 1850, True), (0, 0, 1850, True),          # no bound (0 is "not given")
+    (2000, None, 1999, False), (2000, None, 2000, True), (2000, None, 3000, True),
+    (None, 2010, 1899, False), (None, 2010, 1900, True), (None, 2010, 2010, True),
+    (1995, 2015, 1994, False), (1995, 2015, 2015, True), (1995, 2015, 2016, False),
+    (2000, None, None, False), (None, None, None, True),
+])
+def test_year_range(spark, start, end, year, keep):
+    df = spark.createDataFrame([(start, end, year)], "s int, e int, y int")
+    lo, hi = year_bounds(F.col("s"), F.col("e"))
+    assert df.select(in_year_range(F.col("y"), lo, hi).alias("k")).first()["k"] is keep
