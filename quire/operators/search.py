@@ -35,11 +35,12 @@ def _rows_to_matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
     return m, norms
 
 
-def _topk_partition(q_keys, q_mat, k, item_key):
-    """mapInPandas body: running top-k per query over one partition."""
-    qn = q_mat / np.linalg.norm(q_mat, axis=1, keepdims=True)
+def _topk_partition(q_keys, q_bc, k, item_key):
+    """mapInPandas body: running top-k per query over one partition; the unit
+    query matrix arrives as a broadcast variable (fetched once per executor)."""
 
     def run(batches):
+        qn = q_bc.value
         best_s = [np.empty(0)] * len(q_keys)
         best_k = [None] * len(q_keys)
         for pdf in batches:
@@ -105,7 +106,9 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int = 5, item_key: str
         q_mat = q_mat[keep] if len(q_mat) else q_mat
         if not q_keys:
             continue
-        parts.append(items.mapInPandas(_topk_partition(q_keys, q_mat, k, item_key), out_schema))
+        q_bc = items.sparkSession.sparkContext.broadcast(
+            q_mat / np.linalg.norm(q_mat, axis=1, keepdims=True))
+        parts.append(items.mapInPandas(_topk_partition(q_keys, q_bc, k, item_key), out_schema))
     if not parts:
         return items.sparkSession.createDataFrame([], out_schema + ", rank int")
     local = parts[0]

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quire.functions.text import article_content
 from quire.functions.vectors import hash_embed
-from quire.operators.store import create_store, read_store
+from quire.operators.store import create_store, new_articles, read_store
 from quire.schemas import ARTICLE_STORE
 from quire.sources.medline import RECORD_SEP, map_medline, parse_records
 
@@ -44,7 +44,7 @@ def _batch_writer(store: str, run_ts: _dt.datetime, embed):
                  .select("pmid", "w.title", "w.abstract"))
         stored = (spark.read.schema(STORE_WITH_RUN).parquet(store)
                   .filter(F.col("run_id") != run).select("pmid"))
-        rows = (first.join(stored, "pmid", "left_anti")
+        rows = (new_articles(first, stored)
                 .select("pmid", "title", "abstract",
                         embed(article_content(F.col("title"), F.col("abstract"))).alias("content_vector"),
                         F.lit(None).cast("string").alias("compound"),
