@@ -64,19 +64,13 @@ def corpus_stats(dt: DataFrame) -> CorpusStats:
 MAX_INLINE_TOKENS = 20_000
 
 
-def _inline_tokens(qtokens: DataFrame) -> list[str] | None:
-    if not row_count_at_most(qtokens, MAX_INLINE_TOKENS):
-        return None
-    return sorted(r[0] for r in qtokens.collect())
-
-
-def postings(dt: DataFrame, qtokens: DataFrame) -> DataFrame:
+def postings(dt: DataFrame, qtokens: DataFrame | None = None,
+             inline: list[str] | None = None) -> DataFrame:
     """(doc_id, pmid, year, dl, token, tf) for query tokens only.
 
-    A bounded query-token set filters the token array before the explode
-    (InSet lookup); a larger one is applied as a broadcast/shuffle semi join
-    after it."""
-    inline = _inline_tokens(qtokens)
+    ``inline`` (a bounded token list) filters each token array before the
+    explode with a hash-set lookup; otherwise ``qtokens`` is applied as a
+    broadcast/shuffle semi join after it."""
     toks = F.col("toks")
     if inline is not None:
         toks = F.filter(toks, lambda t: t.isin(inline))
@@ -88,6 +82,15 @@ def postings(dt: DataFrame, qtokens: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
+def _bounded_local(df: DataFrame, max_rows: int):
+    """Collect a small derived table once (bounded by ``max_rows``) and return
+    it as a local relation, or None when it is over the bound."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None, None
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     # Referencing tf keeps the postings aggregate identical to the scoring
     # branch (plain count(1) would let Catalyst drop the tf count below), so
@@ -166,16 +169,26 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     dt = dt if dt is not None else doc_tokens(arts)
     stats = stats or corpus_stats(dt)
     groups = topic_groups(topics, effect_terms)
-    # Broadcast when proven small; beyond the bound the joins shuffle on
-    # token and AQE splits a hot token's partition (skew join).
+    # One small job collects the term groups (bounded by the topic table);
+    # the size check, the inline token list and the phrase check all come
+    # from it. Beyond the bound the joins shuffle on token and AQE splits a
+    # hot token's partition (skew join).
+    local, rows = _bounded_local(groups, max_terms)
+    small = local is not None
+    if small:
+        groups = local
+        tokens_all = sorted({t for r in rows for t in r["toks"]})
+        inline = tokens_all if len(tokens_all) <= MAX_INLINE_TOKENS else None
+        has_phrase = any(r["glen"] > 1 for r in rows)
+    else:
+        inline, has_phrase = None, not row_count_at_most(groups.filter(F.col("glen") > 1), 0)
     terms = _topic_terms(groups)
-    small = row_count_at_most(terms, max_terms)
     terms = F.broadcast(terms) if small else terms
     qtokens = terms.select("token").distinct()
     # Postings of the query tokens are read twice (document frequency and
     # scoring): materialise them once in the checkpoint folder instead of
     # scanning and tokenising the corpus twice.
-    post = cut_lineage(postings(dt, qtokens))
+    post = cut_lineage(postings(dt, qtokens, inline))
     # Document frequencies have at most one row per query token.
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
@@ -188,7 +201,7 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     multi = (groups.filter(F.col("glen") > 1)
              .select("topic_id", "kind", "gidx", "glen",
                      F.posexplode("toks").alias("offset", "token")))
-    if row_count_at_most(multi, 0):
+    if not has_phrase:
         hit = F.col("c1") & F.col("d1") & F.col("e1")
     else:
         scored = scored.join(_phrase_hits(dt, multi), ["topic_id", "doc_id"], "left")
@@ -230,9 +243,14 @@ def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
     stats = stats or corpus_stats(dt)
     qt = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"))))
                         .alias("token"))
-    small = row_count_at_most(qt, max_terms)
-    qt = F.broadcast(qt) if small else qt
-    post = cut_lineage(postings(dt, qt.select("token").distinct()))
+    local, rows = _bounded_local(qt, max_terms)
+    small = local is not None
+    inline = None
+    if small:
+        qt = F.broadcast(local)
+        toks_all = sorted({r["token"] for r in rows})
+        inline = toks_all if len(toks_all) <= MAX_INLINE_TOKENS else None
+    post = cut_lineage(postings(dt, qt.select("token").distinct(), inline))
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
     scored = (post.join(qt, "token").join(dfreq, "token")
