@@ -6,9 +6,11 @@ value matches a missing value, as ``filter_by(x=None)`` does).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.rank import rank_within
+
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"  # strftime('%Y-%m-%d %H:%M:%S')
 
 
@@ -24,9 +26,10 @@ def analysis_history(store: DataFrame, topics: DataFrame) -> DataFrame:
     s = store.select("compound", "disease", "content", "created_at", "total_papers").alias("s")
     j = s.join(t, _same_topic(s, t)).select(
         "t.topic_id", "s.compound", "s.disease", "s.content", "s.created_at", "s.total_papers")
-    w = Window.partitionBy("topic_id").orderBy(F.desc("created_at"), F.asc("content"))
-    return (j.withColumn("rank", F.row_number().over(w))
-            .withColumn("analysis_time", F.date_format("created_at", TIME_FORMAT)))
+    # A topic analysed very often must not land whole in one task: number
+    # its rows with the range-partitioned rank instead of a topic window.
+    ranked = rank_within(j, "topic_id", [F.desc("created_at"), F.asc("content")])
+    return ranked.withColumn("analysis_time", F.date_format("created_at", TIME_FORMAT))
 
 
 def latest_analysis(store: DataFrame, include_empty: bool = True) -> DataFrame:

@@ -36,3 +36,14 @@ def test_latest_and_history_order(spark):
     h = analysis_history(_store(spark), _topics(spark).filter("topic_id = 0")).orderBy("rank").collect()
     assert [x["content"] for x in h] == ["new", "old"]
     assert h[0]["analysis_time"] == "2024-02-01 00:00:00"
+
+
+def test_rank_within_equals_row_number_under_skew(spark):
+    from pyspark.sql import Window, functions as F
+    from quire.plans.rank import rank_within
+    rows = [(0 if i % 3 else (i % 7) + 1, i, f"c{i % 11}") for i in range(3000)]   # key 0 holds 2/3
+    df = spark.createDataFrame(rows, "k int, t int, c string")
+    order = [F.desc("t"), F.asc("c")]
+    got = rank_within(df, "k", order, num_partitions=16)
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
