@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.annotate import annotate_lexicon, annotate_recorded
-from quire.operators.history import TIME_FORMAT, analysis_history, plan_topics
+from quire.operators.history import TIME_FORMAT, plan_topics
 from quire.operators.match import search_literature
 from quire.operators.report import analysis_rows, topic_reports
 from quire.operators.store import article_rows
@@ -122,24 +122,3 @@ def stored_articles_of_run(arts: DataFrame, topics: DataFrame, effect_terms,
     """B1 input of one run: the fetched articles, first write wins."""
     fetched, _ = fetch_ranked(arts, topics, effect_terms, k, **kw)
     return article_rows(fetched, run_ts)
-
-
-# ------------------------------------------------------------------ K1 tools
-# The four tools of the reference, as DataFrame -> DataFrame functions.
-
-def tool_search_literature(arts, topics, effect_terms=("treatment", "therapy", "effect"), k=5):
-    return search_literature(arts, topics, effect_terms, k)
-
-
-def tool_analyze_literature(arts, topics, responses, effect_terms=("treatment", "therapy", "effect"),
-                            **kw):
-    return analyze_topics(arts, topics, effect_terms, responses, **kw)[0]
-
-
-def tool_query_previous_analyses(analysis_store, topics):
-    return analysis_history(analysis_store, topics)
-
-
-def tool_search_similar_articles(article_store, queries, k=5, **kw):
-    from quire.operators.search import search_similar_articles
-    return search_similar_articles(article_store, queries, k, **kw)

@@ -50,3 +50,11 @@ def test_validation_split(spark):
     assert [r["pmid"] for r in good.collect()] == ["1"]
     errs = {r["pmid"]: r["validation_errors"] for r in bad.collect()}
     assert errs == {None: ["pmid"], "3": ["authors"]}
+
+
+def test_tools_chain_with_transform(spark, ctx001):
+    from quire.tools import search_literature
+    from quire.sources.topics import FIXTURE_EFFECT_TERMS
+    r = ctx001.topics().transform(search_literature, ctx001.arts, 3, FIXTURE_EFFECT_TERMS)
+    assert r.groupBy("topic_id").count().filter("count > 3").count() == 0
+    assert r.count() > 0
