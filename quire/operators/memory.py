@@ -36,6 +36,8 @@ def conversation_tail(conv: DataFrame, budget: int = DEFAULT_BUDGET, count_token
     kept = (t.withColumn("n_tokens", count_tokens(F.col("text")).cast("long"))
             .withColumn("running", F.sum("n_tokens").over(run))
             .filter(F.col("running") <= budget))
-    start = (kept.filter(F.col("role") != "assistant")
-             .groupBy("conv_id").agg(F.min("turn").alias("_first")))
-    return (kept.join(start, "conv_id").filter(F.col("turn") >= F.col("_first")).drop("_first"))
+    # Oldest kept non-assistant turn, over the same (bounded) partition.
+    first = F.min(F.when(F.col("role") != "assistant", F.col("turn"))).over(
+        Window.partitionBy("conv_id"))
+    return (kept.withColumn("_first", first)
+            .filter(F.col("turn") >= F.col("_first")).drop("_first"))
