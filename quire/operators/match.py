@@ -192,9 +192,11 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     # Document frequencies have at most one row per query token.
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
-    scored = (post.join(terms, "token").join(dfreq, "token")
+    # BM25 contribution once per (doc, token), before the fan-out to topics.
+    parts = post.join(dfreq, "token").select("doc_id", "pmid", "year", "token",
+                                             bm25_part(stats).alias("part"))
+    scored = (parts.join(terms, "token")
               .filter(in_year_range(F.col("year"), F.col("lo"), F.col("hi")))
-              .withColumn("part", bm25_part(stats))
               .groupBy("topic_id", "doc_id", "pmid", "year")
               .agg(F.sum("part").alias("score"), F.max("c1").alias("c1"),
                    F.max("d1").alias("d1"), F.max("e1").alias("e1")))
@@ -253,8 +255,9 @@ def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
     post = cut_lineage(postings(dt, qt.select("token").distinct(), inline))
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
-    scored = (post.join(qt, "token").join(dfreq, "token")
-              .withColumn("part", bm25_part(stats))
+    parts = post.join(dfreq, "token").select("doc_id", "pmid", "token",
+                                             bm25_part(stats).alias("part"))
+    scored = (parts.join(qt, "token")
               .groupBy("query_id", "doc_id", "pmid")
               .agg(F.round(F.sum("part"), SCORE_DP).alias("score")))
     return top_k(scored, "query_id", k)

@@ -29,7 +29,9 @@ def build_session(master: str = "local[8]", app: str = "quire",
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "16g"))
+               .config("spark.driver.memory", "16g")
+               # Checkpoint files of collected DataFrames are removed.
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
