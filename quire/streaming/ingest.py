@@ -41,7 +41,8 @@ def _batch_writer(store: str, run_ts: _dt.datetime, embed):
         # the smallest record wins so reruns agree).
         first = (batch.groupBy("pmid")
                  .agg(F.min_by(F.struct("title", "abstract"), F.struct("title", "abstract")).alias("w"))
-                 .select("pmid", "w.title", "w.abstract"))
+                 .select("pmid", "w.title", "w.abstract")
+                 .persist())   # read by the size check and the write; rebuilt from files if lost
         stored = (spark.read.schema(STORE_WITH_RUN).parquet(store)
                   .filter(F.col("run_id") != run).select("pmid"))
         rows = (new_articles(first, stored)
@@ -51,6 +52,7 @@ def _batch_writer(store: str, run_ts: _dt.datetime, embed):
                         F.lit(None).cast("string").alias("disease"),
                         F.lit(run_ts).cast("timestamp_ntz").alias("created_at")))
         rows.write.mode("overwrite").parquet(os.path.join(store, f"run_id={run}"))
+        first.unpersist()
     return write
 
 
