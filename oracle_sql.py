@@ -572,3 +572,17 @@ JOIN hitems h ON h.key = c.dkey WHERE rank <= 5""",
     "stream_ingest": with_(BASE) + "SELECT pmid, title, '2024-05-01 00:00:00' AS created_at FROM arts",
     "annotate_lexicon": _lexicon(),
 })
+
+
+def _model() -> str:
+    return _reports_sql(f"""SELECT topic_id, pmid,
+  CASE WHEN sc > 0 THEN 'positive' WHEN sc < 0 THEN 'negative' ELSE 'neutral' END AS effect_type,
+  CASE WHEN abs(sc) >= 5 THEN 'strong' WHEN abs(sc) >= 2 THEN 'moderate' ELSE 'weak' END AS evidence_strength,
+  'score ' || CAST(sc AS VARCHAR) AS findings
+FROM (SELECT topic_id, pmid,
+        len(list_filter(tk, lambda t: list_contains({LEX_POS}, t)))
+        - len(list_filter(tk, lambda t: list_contains({LEX_NEG}, t))) AS sc
+      FROM (SELECT topic_id, pmid, {toks(_prompt_sql())} AS tk FROM q_fetched))""")
+
+
+ORACLE["annotate_model"] = _model()

@@ -464,6 +464,32 @@ def q_annotate_lexicon(spark, sf_dir):
                     F.array_join("findings", "|").alias("findings"), "conclusion")
 
 
+def cue_model(prompts):
+    """A stand-in caller model for K3: counts cue words in each prompt and
+    answers with a JSON object (runs in Python workers via mapInPandas)."""
+    import json
+    import re
+    out = []
+    for p in prompts:
+        toks = [t for t in re.split("[^a-z0-9]+", (p or "").lower()) if t]
+        score = sum(t in LEXICON_POSITIVE for t in toks) - sum(t in LEXICON_NEGATIVE for t in toks)
+        eff = "positive" if score > 0 else "negative" if score < 0 else "neutral"
+        mag = abs(score)
+        strength = "strong" if mag >= 5 else "moderate" if mag >= 2 else "weak"
+        out.append("Result: " + json.dumps({"effect_type": eff, "evidence_strength": strength,
+                                            "findings": [f"score {score}"]}))
+    return out
+
+
+def q_annotate_model(spark, sf_dir):
+    from quire.operators.annotate import annotate_with
+    c = Ctx(spark, sf_dir)
+    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    a = annotate_with(fetched, cue_model)
+    return a.select("topic_id", "pmid", "effect_type", "evidence_strength",
+                    F.array_join("findings", "|").alias("findings"))
+
+
 # Cue words that occur in the synthetic corpus.
 LEXICON_POSITIVE = ("er", "ing")
 LEXICON_NEGATIVE = ("ed", "tion")
@@ -512,4 +538,5 @@ QUERIES = {
     "validate_articles": q_validate_articles,
     "stream_ingest": q_stream_ingest,
     "annotate_lexicon": q_annotate_lexicon,
+    "annotate_model": q_annotate_model,
 }
