@@ -91,6 +91,34 @@ def _bounded_local(df: DataFrame, max_rows: int):
     return df.sparkSession.createDataFrame(rows, df.schema), rows
 
 
+@dataclass(frozen=True)
+class PostingsIndex:
+    """Query-token postings of a corpus materialised once for a vocabulary
+    (an inverted index restricted to the tokens of interest). A match whose
+    tokens it covers filters it instead of scanning the corpus again."""
+    tokens: frozenset
+    df: DataFrame
+
+    def covers(self, toks) -> bool:
+        return set(toks) <= self.tokens
+
+    def restrict(self, toks) -> DataFrame:
+        return self.df.filter(F.col("token").isin(sorted(set(toks))))
+
+
+def build_index(dt: DataFrame, toks) -> PostingsIndex:
+    toks = sorted(set(toks))
+    return PostingsIndex(frozenset(toks), cut_lineage(postings(dt, None, toks), "postings"))
+
+
+def topic_tokens(topics: DataFrame, effect_terms, max_terms: int = DEFAULT_MAX_ROWS) -> list[str]:
+    """All query tokens of a (bounded) topic table, tokenised by Spark."""
+    rows = topic_groups(topics, effect_terms).select("toks").limit(max_terms + 1).collect()
+    if len(rows) > max_terms:
+        raise ValueError("topic table over the bound for an inline vocabulary")
+    return sorted({t for r in rows for t in r["toks"]})
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     # Referencing tf keeps the postings aggregate identical to the scoring
     # branch (plain count(1) would let Catalyst drop the tf count below), so
@@ -162,7 +190,7 @@ def _phrase_hits(dt: DataFrame, multi: DataFrame) -> DataFrame:
 
 def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
                  stats: CorpusStats | None = None, dt: DataFrame | None = None,
-                 max_terms: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                 max_terms: int = DEFAULT_MAX_ROWS, index: PostingsIndex | None = None) -> DataFrame:
     """P1 + P2 + J6 + BM25: (topic_id, doc_id, pmid, year, score) of every
     article that holds the compound, the disease and one effect term, within
     the topic's year range, scored by BM25 over the topic's distinct tokens."""
@@ -188,7 +216,10 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     # Postings of the query tokens are read twice (document frequency and
     # scoring): materialise them once in the checkpoint folder instead of
     # scanning and tokenising the corpus twice.
-    post = cut_lineage(postings(dt, qtokens, inline))
+    if index is not None and small and index.covers(tokens_all):
+        post = index.restrict(tokens_all)
+    else:
+        post = cut_lineage(postings(dt, qtokens, inline), "postings")
     # Document frequencies have at most one row per query token.
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq

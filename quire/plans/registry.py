@@ -53,7 +53,20 @@ class Ctx:
         return self._stats
 
     def kw(self):
-        return {"dt": self.dt, "stats": self.stats}
+        kw = {"dt": self.dt, "stats": self.stats}
+        if getattr(self, "index", None) is not None:
+            kw["index"] = self.index
+        return kw
+
+    def with_index(self, *topic_rows):
+        """Postings index for the vocabulary of several topic tables, built
+        once and shared by every match of this run."""
+        from quire.operators.match import build_index, topic_tokens
+        toks = set()
+        for rows in topic_rows:
+            toks |= set(topic_tokens(self.topics(rows), EFFECT))
+        self.index = build_index(self.dt, toks)
+        return self
 
     def topics(self, rows=None):
         return topics_frame(self.spark, rows)
@@ -167,8 +180,13 @@ def q_plan_topics(spark, sf_dir):
         "topic_id", "route", F.date_format("history_time", TIME_FORMAT).alias("history_time"))
 
 
+def _history_topic_rows():
+    from quire.plans.answer import HISTORY_RUNS
+    return [(r[0], r[1], r[2], r[3], r[4], False) for r in HISTORY_RUNS]
+
+
 def q_answer_topics(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir).with_index(ANSWER_TOPICS, _history_topic_rows())
     return answer_topics(c.arts, c.topics(ANSWER_TOPICS), _history(c), EFFECT, c.responses,
                          on_error="skip", **c.kw())
 
@@ -342,7 +360,7 @@ def _write_article_store(c: Ctx) -> str:
 def q_store_articles(spark, sf_dir):
     from quire.operators.store import read_store
     from quire.schemas import ARTICLE_STORE
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir).with_index(ANSWER_TOPICS, _history_topic_rows())
     s = read_store(spark, _write_article_store(c), ARTICLE_STORE)
     return s.select("pmid", "compound", "disease",
                     F.date_format("created_at", TIME_FORMAT).alias("created_at"))
@@ -351,7 +369,7 @@ def q_store_articles(spark, sf_dir):
 def q_scan_articles(spark, sf_dir):
     from quire.operators.store import read_store
     from quire.schemas import ARTICLE_STORE
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir).with_index(ANSWER_TOPICS, _history_topic_rows())
     s = read_store(spark, _write_article_store(c), ARTICLE_STORE)
     return s.select("pmid", "title", F.length("abstract").alias("abstract_chars"),
                     *_vec_summary(F.col("content_vector")))
@@ -371,7 +389,7 @@ def _write_analysis_store(c: Ctx) -> str:
 def q_store_analyses(spark, sf_dir):
     from quire.operators.store import read_store
     from quire.schemas import ANALYSIS_STORE
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir).with_index(FIXTURE_TOPICS, _history_topic_rows())
     s = read_store(spark, _write_analysis_store(c), ANALYSIS_STORE)
     return s.groupBy("compound", "disease").agg(F.count(F.lit(1)).alias("n_analyses"),
                                                 F.sum("total_papers").alias("papers"))
@@ -380,7 +398,7 @@ def q_store_analyses(spark, sf_dir):
 def q_scan_analyses(spark, sf_dir):
     from quire.operators.store import read_store
     from quire.schemas import ANALYSIS_STORE
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir).with_index(FIXTURE_TOPICS, _history_topic_rows())
     s = read_store(spark, _write_analysis_store(c), ANALYSIS_STORE)
     return s.select("compound", "disease", F.date_format("created_at", TIME_FORMAT).alias("analysis_time"),
                     "total_papers", "content", *_vec_summary(F.col("content_vector")))

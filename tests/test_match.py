@@ -42,3 +42,13 @@ def test_phrase_match(spark):
     want = {(tid, d) for tid, c, dz, *_ in TOPICS for d, t in DOCS if brute(t, c, dz)}
     assert got == want
     assert (0, 1) in got and (0, 2) not in got and (0, 4) in got
+
+
+def test_postings_index_gives_same_matches(spark, ctx001):
+    from quire.operators.match import build_index, match_topics, topic_tokens
+    from quire.sources.topics import FIXTURE_EFFECT_TERMS
+    t = ctx001.topics()
+    idx = build_index(ctx001.dt, topic_tokens(t, FIXTURE_EFFECT_TERMS) + ["unused"])
+    a = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, stats=ctx001.stats)
+    b = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, stats=ctx001.stats, index=idx)
+    assert sorted(a.collect()) == sorted(b.collect())
