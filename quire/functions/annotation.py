@@ -15,9 +15,19 @@ def extract_json(text: Column) -> Column:
     return F.when(span != F.lit(""), span)
 
 
+def single_json_value(span: Column) -> Column:
+    """True when ``span`` is exactly one JSON value. The VARIANT parser stops
+    after the first value and ignores what follows ('{}x' parses); wrapping
+    the span in brackets makes any trailing text an invalid array."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), span, F.lit("]"))) == 1,
+                      F.lit(False))
+
+
 def parse_annotation(text: Column) -> Column:
-    """Dynamic parse to VARIANT; null for no span or invalid JSON."""
-    return F.try_parse_json(extract_json(text))
+    """Dynamic parse to VARIANT; null for no span, invalid JSON or text
+    after the JSON value (as Python's json.loads)."""
+    span = extract_json(text)
+    return F.when(single_json_value(span), F.try_parse_json(span))
 
 
 def annotation_fields(v: Column) -> dict[str, Column]:

@@ -75,3 +75,38 @@ def test_fail_topic_vs_skip(spark):
     assert strict["status"] == "error" and strict["content"] is None and strict["positive_effects"] is None
     skip = topic_reports(t, _ann(spark, rows), dt.datetime(2024, 6, 1), "skip").first()
     assert skip["status"] == "ok" and skip["total_papers"] == 2 and skip["positive_effects"] == 1
+
+
+def _py_span(text):
+    start, end = text.find("{"), text.rfind("}") + 1
+    return text[start:end] if start >= 0 and end > start else None
+
+
+def _py_ok(text):
+    import json
+    span = _py_span(text)
+    if span is None:
+        return False
+    try:
+        return isinstance(json.loads(span), dict)
+    except ValueError:
+        return False
+
+
+def test_span_and_parse_match_python_on_random_text(spark):
+    from hypothesis import given, settings, strategies as st
+    from quire.functions.annotation import extract_json
+    samples = []
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.text(alphabet=st.sampled_from(list('{}"a:1, []x\n')), max_size=16))
+    def collect(s):
+        samples.append(s)
+
+    collect()
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, response string")
+    out = parse_responses(df.withColumn("span", extract_json(F.col("response")))).collect()
+    for r in out:
+        s = samples[r["i"]]
+        assert r["span"] == _py_span(s), s
+        assert r["annotation_ok"] == _py_ok(s), s
