@@ -12,3 +12,30 @@ def test_tail(spark):
     # conv 1: running from newest 4,5,7,10 -> turns 3,2,1 fit; turn 1 is a leading assistant turn
     # conv 3: all fit; turn 0 is a leading assistant turn
     assert got == [(1, 2), (1, 3), (3, 1), (3, 2)]
+
+
+def test_tail_matches_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for c in range(40):
+        for t in range(rnd.randint(1, 9)):
+            rows.append((c, t, rnd.choice(["user", "assistant", "system"]),
+                         " ".join("w" for _ in range(rnd.randint(1, 6)))))
+    budget = 9
+    want = set()
+    for c in range(40):
+        turns = sorted([r for r in rows if r[0] == c], key=lambda r: -r[1])
+        kept, total = [], 0
+        for r in turns:
+            total += len(r[3].split())
+            if total > budget:
+                break
+            kept.append(r)
+        kept = sorted(kept, key=lambda r: r[1])
+        while kept and kept[0][2] == "assistant":
+            kept.pop(0)
+        want |= {(r[0], r[1]) for r in kept}
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]) for r in conversation_tail(conv, budget=budget).collect()}
+    assert got == want

@@ -42,3 +42,39 @@ def test_bm25_and_hybrid_rank_shape(spark, ctx001):
     assert b.groupBy("query_id").count().filter("count > 5").count() == 0
     h = hybrid_search(ctx001.arts, q, 5, 20).collect()
     assert h and all(0 < r["score"] <= 2 / 61 + 1e-6 for r in h)
+
+
+def test_bm25_matches_python_brute_force(spark, ctx001):
+    import math
+    import re
+    arts = ctx001.arts.select("pmid", "title", "abstract").collect()
+    docs = {r["pmid"]: [t for t in re.split("[^a-z0-9]+", (r["title"] + "\n" + r["abstract"]).lower()) if t]
+            for r in arts}
+    n = len(docs)
+    avgdl = sum(len(t) for t in docs.values()) / n
+    qs = [(1, "the ther ble"), (2, "Und der thon"), (3, "zzzz nothing")]
+    want = {}
+    for qid, text in qs:
+        qt = sorted({t for t in re.split("[^a-z0-9]+", text.lower()) if t})
+        scores = {}
+        for pmid, toks in docs.items():
+            s, hit = 0.0, False
+            for t in qt:
+                tf = toks.count(t)
+                if tf:
+                    hit = True
+                    df = sum(1 for d in docs.values() if t in d)
+                    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                    s += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl))
+            if hit:
+                scores[pmid] = round(s, 6)
+        want[qid] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+    q = spark.createDataFrame(qs, "query_id long, text string")
+    got = {}
+    for r in bm25_topk(ctx001.arts, q, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["pmid"], r["score"]))
+    for qid, _ in qs:
+        w = want[qid]
+        g = got.get(qid, [])
+        assert [p for p, _ in g] == [p for p, _ in w]
+        assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(g, w))
