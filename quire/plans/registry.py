@@ -8,10 +8,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.dates import parse_pub_date
 from quire.operators.history import TIME_FORMAT, analysis_history, latest_analysis, plan_topics
 from quire.operators.match import bm25_topk, corpus_stats, corpus_stats_frame, doc_tokens, match_topics
-from quire.operators.report import topic_reports
 from quire.plans.answer import (analyze_topics, answer_topics, fetch_ranked, history_store_rows,
                                 RUN_TS)
 from quire.session import configure
