@@ -46,18 +46,28 @@ def _topk_partition(q_keys, q_bc, k, item_key):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            m, norms = _rows_to_matrix(pdf["vec"].tolist())
-            ok = norms > 0
+            vecs = pdf["vec"].tolist()
+            present = np.array([v is not None and len(v) > 0 for v in vecs], dtype=bool)
+            if not present.any():
+                continue
+            m, norms = _rows_to_matrix([v for v, p in zip(vecs, present) if p])
+            ok = np.zeros(len(vecs), dtype=bool)
+            ok[present] = norms > 0
+            m, norms = m[ok[present]], norms[ok[present]]
             if not ok.any():
                 continue
-            m, norms = m[ok], norms[ok]
             keys = pdf[item_key].to_numpy()[ok]
             if keys.dtype == object:
                 keys = keys.astype(str)
             scores = np.round((qn @ (m / norms[:, None]).T), SCORE_DP)
+            # k-th best score per query; every row scoring at least that
+            # (ties included) is a candidate, so the cut stays exact.
+            n = scores.shape[1]
+            kth = np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)]
             for i in range(len(q_keys)):
-                s = np.concatenate([best_s[i], scores[i]])
-                kk = keys if best_k[i] is None else np.concatenate([best_k[i], keys])
+                cand = np.flatnonzero(scores[i] >= kth[i])
+                s = np.concatenate([best_s[i], scores[i, cand]])
+                kk = keys[cand] if best_k[i] is None else np.concatenate([best_k[i], keys[cand]])
                 order = np.lexsort((kk, -s))[:k]
                 best_s[i], best_k[i] = s[order], kk[order]
         rows = {"query_id": [], item_key: [], "score": []}
@@ -67,7 +77,7 @@ def _topk_partition(q_keys, q_bc, k, item_key):
             rows["query_id"].extend([qk] * len(best_s[i]))
             rows[item_key].extend(best_k[i].tolist())
             rows["score"].extend(best_s[i].tolist())
-        out = pd.DataFrame({"query_id": pd.Series(rows["query_id"], dtype="int64"),
+        out = pd.DataFrame({"query_id": pd.Series(rows["query_id"], dtype=object),
                             item_key: pd.Series(rows[item_key], dtype=object),
                             "score": pd.Series(rows["score"], dtype="float64")})
         for start in range(0, len(out), OUT_CHUNK):
@@ -84,8 +94,9 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int = 5, item_key: str
     collected (its size is checked first) and broadcast with the task."""
     qv = queries.select("query_id", F.col("vec")).filter(
         F.col("vec").isNotNull() & (F.size("vec") > 0))
-    items = items.select(F.col(item_key), F.col(item_vec).alias("vec")).filter(
-        F.col("vec").isNotNull())
+    # No Spark-side null filter: a filter on a Python UDF result makes the UDF
+    # run twice; the numpy step skips null and zero-norm vectors itself.
+    items = items.select(F.col(item_key), F.col(item_vec).alias("vec"))
     key_type = items.schema[item_key].dataType.simpleString()
     qid_type = qv.schema["query_id"].dataType.simpleString()
     out_schema = f"query_id {qid_type}, {item_key} {key_type}, score double"
