@@ -64,24 +64,55 @@ def corpus_stats(dt: DataFrame) -> CorpusStats:
 MAX_INLINE_TOKENS = 20_000
 
 
+# Sentinel token: with ``doc_rows`` every document emits one posting with
+# this (otherwise impossible, empty) token, carrying its length, so corpus
+# statistics come out of the same pass as the postings.
+DOC_ROW = ""
+
+
 def postings(dt: DataFrame, qtokens: DataFrame | None = None,
-             inline: list[str] | None = None) -> DataFrame:
+             inline: list[str] | None = None, doc_rows: bool = False) -> DataFrame:
     """(doc_id, pmid, year, dl, token, tf) for query tokens only.
 
     ``inline`` (a bounded token list) filters each token array before the
     explode with a hash-set lookup; otherwise ``qtokens`` is applied as a
-    broadcast/shuffle semi join after it."""
+    broadcast/shuffle semi join after it. ``doc_rows`` adds one ``DOC_ROW``
+    posting per document (see ``stats_from_postings``)."""
     toks = F.col("toks")
     if inline is not None:
         toks = F.filter(toks, lambda t: t.isin(inline))
+    if doc_rows:
+        toks = F.concat(F.array(F.lit(DOC_ROW)), toks)
     rows = dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
                      F.explode(toks).alias("token"))
     if inline is None:
+        if doc_rows:
+            qtokens = qtokens.select("token").unionByName(
+                dt.sparkSession.createDataFrame([(DOC_ROW,)], "token string"))
         rows = rows.join(qtokens, "token", "left_semi")
     return (rows.groupBy("doc_id", "pmid", "year", "dl", "token")
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
+def stats_from_postings(post: DataFrame) -> CorpusStats:
+    """G7 from the ``DOC_ROW`` postings: one small aggregate over materialised
+    postings instead of another pass over the corpus text."""
+    row = (post.filter(F.col("token") == DOC_ROW)
+           .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("a"))
+           .first())
+    return CorpusStats(int(row["n"]), float(row["a"] or 0.0))
+
+
+def _postings_and_stats(dt, qtokens, inline, stats):
+    """Materialised query-token postings and the corpus statistics, in one
+    corpus pass when the statistics are not given."""
+    post = cut_lineage(postings(dt, qtokens, inline, doc_rows=stats is None), "postings")
+    if stats is None:
+        stats = stats_from_postings(post)
+        post = post.filter(F.col("token") != DOC_ROW)
+    return post, stats
+
+
 def _bounded_local(df: DataFrame, max_rows: int):
     """Collect a small derived table once (bounded by ``max_rows``) and return
     it as a local relation, or None when it is over the bound."""
@@ -105,10 +136,16 @@ class PostingsIndex:
     def restrict(self, toks) -> DataFrame:
         return self.df.filter(F.col("token").isin(sorted(set(toks))))
 
+    def stats(self) -> CorpusStats:
+        return stats_from_postings(self.df)
+
 
 def build_index(dt: DataFrame, toks) -> PostingsIndex:
+    """Materialise the postings of ``toks`` (plus one length row per
+    document, for the corpus statistics) in one pass over the corpus."""
     toks = sorted(set(toks))
-    return PostingsIndex(frozenset(toks), cut_lineage(postings(dt, None, toks), "postings"))
+    return PostingsIndex(frozenset(toks),
+                         cut_lineage(postings(dt, None, toks, doc_rows=True), "postings"))
 
 
 def topic_tokens(topics: DataFrame, effect_terms, max_terms: int = DEFAULT_MAX_ROWS) -> list[str]:
@@ -195,7 +232,6 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     article that holds the compound, the disease and one effect term, within
     the topic's year range, scored by BM25 over the topic's distinct tokens."""
     dt = dt if dt is not None else doc_tokens(arts)
-    stats = stats or corpus_stats(dt)
     groups = topic_groups(topics, effect_terms)
     # One small job collects the term groups (bounded by the topic table);
     # the size check, the inline token list and the phrase check all come
@@ -218,8 +254,9 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     # scanning and tokenising the corpus twice.
     if index is not None and small and index.covers(tokens_all):
         post = index.restrict(tokens_all)
+        stats = stats or index.stats()
     else:
-        post = cut_lineage(postings(dt, qtokens, inline), "postings")
+        post, stats = _postings_and_stats(dt, qtokens, inline, stats)
     # Document frequencies have at most one row per query token.
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
@@ -273,7 +310,6 @@ def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
     """BM25 of free-text queries ``(query_id, text)``; any article sharing a
     token is scored; top k per query: (query_id, doc_id, pmid, score, rank)."""
     dt = dt if dt is not None else doc_tokens(arts)
-    stats = stats or corpus_stats(dt)
     qt = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"))))
                         .alias("token"))
     local, rows = _bounded_local(qt, max_terms)
@@ -283,7 +319,7 @@ def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
         qt = F.broadcast(local)
         toks_all = sorted({r["token"] for r in rows})
         inline = toks_all if len(toks_all) <= MAX_INLINE_TOKENS else None
-    post = cut_lineage(postings(dt, qt.select("token").distinct(), inline))
+    post, stats = _postings_and_stats(dt, qt.select("token").distinct(), inline, stats)
     dfreq = document_frequency(post)
     dfreq = F.broadcast(dfreq) if small else dfreq
     parts = post.join(dfreq, "token").select("doc_id", "pmid", "token",

@@ -51,7 +51,9 @@ class Ctx:
         return self._stats
 
     def kw(self):
-        kw = {"dt": self.dt, "stats": self.stats}
+        # Corpus statistics come out of each match's postings pass (or the
+        # shared index), so no separate pass over the corpus is made here.
+        kw = {"dt": self.dt}
         if getattr(self, "index", None) is not None:
             kw["index"] = self.index
         return kw
