@@ -40,10 +40,14 @@ PROMPT_TEMPLATE = """
 # ---------------------------------------------------------------------------
 
 
+TOKEN_RUN = "[a-z0-9]+"
+
+
 def tokens(text: Column) -> Column:
-    """array<string> of lower-case [a-z0-9] runs."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT),
-                    lambda t: t != F.lit(""))
+    """array<string> of lower-case [a-z0-9] runs: the same list as splitting on
+    ``TOKEN_SPLIT`` and dropping empties, as one codegen'd expression (no
+    lambda)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RUN), 0)
 
 
 def article_content(title: Column, abstract: Column) -> Column:
