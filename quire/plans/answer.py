@@ -97,11 +97,11 @@ def answer_topics(arts: DataFrame, topics: DataFrame, analysis_store: DataFrame,
     (topic_id, compound, disease, provenance, status, analysis_time,
     total_papers, content)."""
     vt = valid_topics(topics)
-    n = _topic_bound(vt)
     # One row per topic; checkpointed so the history lookup runs once, not
     # again in every size check and in both branches below.
     routed = cut_lineage(plan_topics(vt, analysis_store, strict_history))
-    routed = F.broadcast(routed) if n is not None else routed
+    # No broadcast hint here: the routed rows become the preserved (left)
+    # side of the report's outer join; as a right side AQE sees their size.
     hist = (routed.filter(F.col("route") == "history")
             .select("topic_id", "compound", "disease",
                     F.lit("history").alias("provenance"), F.lit("ok").alias("status"),
