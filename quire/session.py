@@ -89,11 +89,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def stage_root(spark: SparkSession) -> str:
+    """Folder of this application's materialised stages (under the checkpoint root)."""
+    return os.path.join(checkpoint_root(spark), "quire-stages", spark.sparkContext.applicationId)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and read it back: the plan runs once (``Dataset.checkpoint`` runs it twice
     and writes row objects), the files survive executor loss, and later reads
-    are column-pruned. Never a local checkpoint."""
-    path = fresh_path(df.sparkSession, name)
+    are column-pruned. Never a local checkpoint. ``release_stages`` removes
+    them once the results that read them are written."""
+    path = os.path.join(stage_root(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> bool:
+    """Delete this application's materialised stages (any Hadoop filesystem).
+    Call it after the DataFrames built on them have been written or collected."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True)) if fs.exists(path) else False

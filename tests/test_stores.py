@@ -41,3 +41,12 @@ def test_create_is_idempotent_and_analyses_append(spark):
     store_analyses(spark, path, rows)
     store_analyses(spark, path, rows)
     assert read_store(spark, path, ANALYSIS_STORE).count() == 2
+
+
+def test_release_stages(spark):
+    from quire.session import cut_lineage, release_stages, stage_root
+    import os
+    df = cut_lineage(spark.range(10))
+    assert df.count() == 10 and os.path.isdir(stage_root(spark).replace("file:", ""))
+    assert release_stages(spark)
+    assert not os.path.exists(stage_root(spark).replace("file:", ""))
