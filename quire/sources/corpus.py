@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Use every core on small inputs: when the scan yields fewer splits than
     the default parallelism (one row group, say), deal rows round-robin over
     that many partitions. A large input already has more splits than cores and
-    is returned as is, so it is never shuffled here."""
+    is returned as is, so it is never shuffled or cached here."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    # Only inputs with fewer splits than cores get here, so the copy is
+    # bounded; keep it (memory, spilling to disk) so later passes do not
+    # re-read and re-deal the text. Lost blocks are rebuilt from the files.
+    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _pad2(c: Column) -> Column:
