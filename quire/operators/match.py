@@ -1,18 +1,23 @@
 """Topic matching and text relevance: P1, P2, J6, G7, R1, R4, W1.
 
-Plan shape (one scan of the corpus text for the postings):
-
-  documents --tokenise--> explode(token) --semi join (broadcast query tokens)
-     --partial agg (doc, token) count--> [shuffle: postings of query tokens only]
-        |-- agg by token (partial)  ............ document frequency (tiny)
-        '-- join (broadcast topic terms) --partial agg (topic, doc)--> [shuffle]
-               --> match flags + BM25 --> top-k per topic (WindowGroupLimit)
+Plan shape (one pass over the corpus text per match, or none with an index):
+
+  documents --tokenise (regexp_extract_all)--> token arrays
+     --filter to the query vocabulary (bounded hash set), + one length row per doc
+     --explode --partial agg (doc, token) count--> [shuffle: query-token postings]
+     --> materialised once (Parquet in the checkpoint folder)
+        |-- length rows ......................... N, average length (G7)
+        |-- agg by token (partial) ............... document frequency (tiny, broadcast)
+        '-- BM25 part per (doc, token) -- join (broadcast topic terms)
+               --partial agg (topic, doc)--> [shuffle] --> match flags + score
+               --> top-k per topic (partial WindowGroupLimit before its shuffle)
 
 Only occurrences of query tokens leave the map stage, already summed per
 (doc, token); a hot token (say one in a third of all documents) is therefore
 one row per document and is summed map-side again for its document frequency,
 so no single task receives the hot key's postings. Topic terms and document
-frequencies are broadcast only behind a checked or proven size bound.
+frequencies are broadcast only behind a checked or proven size bound; beyond
+it the joins shuffle on token and AQE's skew join splits hot partitions.
 """
 
 from __future__ import annotations
@@ -211,10 +216,18 @@ def _topic_terms(groups: DataFrame) -> DataFrame:
                  F.max(single & (F.col("kind") == "effect")).alias("e1")))
 
 
-def _phrase_hits(dt: DataFrame, multi: DataFrame) -> DataFrame:
-    """(topic_id, doc_id, cp, dp, ep) for multi-token groups found in order."""
-    occ = (dt.select("doc_id", F.posexplode("toks").alias("pos", "token"))
-           .join(bounded_broadcast(multi), "token")
+def _phrase_hits(dt: DataFrame, multi: DataFrame, inline: list[str] | None = None) -> DataFrame:
+    """(topic_id, doc_id, cp, dp, ep) for multi-token groups found in order.
+
+    With a bounded phrase vocabulary (``inline``) each token array is cut to
+    the phrase tokens, with their original positions, before the explode."""
+    if inline is not None:
+        hits = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("token"), i.alias("pos"))),
+                        lambda x: x["token"].isin(inline))
+        pos = dt.select("doc_id", F.explode(hits).alias("o")).select("doc_id", "o.pos", "o.token")
+    else:
+        pos = dt.select("doc_id", F.posexplode("toks").alias("pos", "token"))
+    occ = (pos.join(bounded_broadcast(multi), "token")
            .withColumn("start", F.col("pos") - F.col("offset"))
            .groupBy("topic_id", "doc_id", "kind", "gidx", "glen", "start")
            .agg(F.count(F.lit(1)).alias("n"))
@@ -274,7 +287,11 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     if not has_phrase:
         hit = F.col("c1") & F.col("d1") & F.col("e1")
     else:
-        scored = scored.join(_phrase_hits(dt, multi), ["topic_id", "doc_id"], "left")
+        phrase_toks = (sorted({t for r in rows if r["glen"] > 1 for t in r["toks"]})
+                       if small else None)
+        if phrase_toks is not None and len(phrase_toks) > MAX_INLINE_TOKENS:
+            phrase_toks = None
+        scored = scored.join(_phrase_hits(dt, multi, phrase_toks), ["topic_id", "doc_id"], "left")
         hit = ((F.col("c1") | F.coalesce("cp", F.lit(False)))
                & (F.col("d1") | F.coalesce("dp", F.lit(False)))
                & (F.col("e1") | F.coalesce("ep", F.lit(False))))
