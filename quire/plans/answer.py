@@ -25,6 +25,8 @@ from quire.sources.topics import valid_topics
 
 RUN_TS = _dt.datetime(2024, 6, 1)
 MAX_RESULTS = 5
+# Ranked id lists up to this size are also pushed into the fetch scan.
+MAX_PUSHED_IDS = 10_000
 
 
 def _topic_bound(topics: DataFrame, max_topics: int = DEFAULT_MAX_ROWS) -> int | None:
@@ -41,7 +43,15 @@ def fetch_ranked(arts: DataFrame, topics: DataFrame, effect_terms, k: int = MAX_
     n_topics = _topic_bound(vt)
     bound = None if n_topics is None else n_topics * k
     ranked = search_literature(arts, vt, effect_terms, k, **kw)
-    fetched = fetch_articles(arts, ranked.select("pmid", "topic_id", "rank", "score"),
+    source = arts
+    if bound is not None and bound <= MAX_PUSHED_IDS and "doc_id" in arts.columns:
+        # The ranked rows are few (k per topic): materialise them once, and
+        # let the fetch scan skip row groups by id (pushed IN / range filter)
+        # instead of decoding the text of the whole corpus.
+        ranked = cut_lineage(ranked.select("pmid", "doc_id", "topic_id", "rank", "score"), "ranked")
+        ids = sorted({r["doc_id"] for r in ranked.select("doc_id").collect()})
+        source = arts.filter(F.col("doc_id").isin(ids))
+    fetched = fetch_articles(source, ranked.select("pmid", "topic_id", "rank", "score"),
                              keep=("topic_id", "rank", "score"), known_bound=bound)
     labels = vt.select("topic_id", "compound", "disease")
     labels = F.broadcast(labels) if n_topics is not None else labels
