@@ -25,8 +25,11 @@ from quire.sources.topics import valid_topics
 
 RUN_TS = _dt.datetime(2024, 6, 1)
 MAX_RESULTS = 5
-# Ranked id lists up to this size are also pushed into the fetch scan.
-MAX_PUSHED_IDS = 10_000
+# Ranked id lists up to this size are also pushed into the fetch scan as an
+# IN filter. Off by default: it pays only when the corpus files are clustered
+# by doc_id (row groups can then be skipped); otherwise the extra
+# materialisation costs more than it saves (measured). Set e.g. 10_000.
+MAX_PUSHED_IDS = 0
 
 
 def _topic_bound(topics: DataFrame, max_topics: int = DEFAULT_MAX_ROWS) -> int | None:
@@ -44,7 +47,7 @@ def fetch_ranked(arts: DataFrame, topics: DataFrame, effect_terms, k: int = MAX_
     bound = None if n_topics is None else n_topics * k
     ranked = search_literature(arts, vt, effect_terms, k, **kw)
     source = arts
-    if bound is not None and bound <= MAX_PUSHED_IDS and "doc_id" in arts.columns:
+    if bound is not None and 0 < bound <= MAX_PUSHED_IDS and "doc_id" in arts.columns:
         # The ranked rows are few (k per topic): materialise them once, and
         # let the fetch scan skip row groups by id (pushed IN / range filter)
         # instead of decoding the text of the whole corpus.
