@@ -29,3 +29,21 @@ def test_match_scan_reads_only_needed_columns(spark, ctx001):
     plan = _plan(postings(ctx001.dt, None, ["er"]))
     scans = [l for l in plan.split("\n") if "FileScan parquet" in l]
     assert scans and all("ReadSchema: struct<doc_id:bigint,text:string>" in l for l in scans)
+
+
+def test_opt_in_id_pushdown_same_rows(spark):
+    import quire.plans.answer as A
+    from quire.sources.corpus import articles, read_table
+    from quire.sources.topics import FIXTURE_EFFECT_TERMS, topics_frame
+    arts = articles(read_table(spark, SF001, "documents"))
+    t = topics_frame(spark)
+    base, _ = A.fetch_ranked(arts, t, FIXTURE_EFFECT_TERMS)
+    old = A.MAX_PUSHED_IDS
+    try:
+        A.MAX_PUSHED_IDS = 10_000
+        pushed, _ = A.fetch_ranked(arts, t, FIXTURE_EFFECT_TERMS)
+        assert "In(doc_id" in _plan(pushed)
+        cols = ["topic_id", "rank", "pmid", "title", "compound"]
+        assert sorted(pushed.select(cols).collect()) == sorted(base.select(cols).collect())
+    finally:
+        A.MAX_PUSHED_IDS = old
