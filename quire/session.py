@@ -7,7 +7,6 @@ settings that are not already present, so cluster values win.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,16 +70,19 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (tests, local runs) is a local folder made
-    and registered; a cluster always names a shared one.
+    Where the session names none (tests, local runs) it is a folder under the
+    warehouse, on the session's default filesystem; a local one is refused
+    unless the master is local, since other executors would not see it.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="quire-ckpt-")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+        jvm = sc._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.getScheme() == "file" and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-        root = sc.getCheckpointDir() or root
     return root
 
 
