@@ -6,15 +6,17 @@ them. Shared pieces are CTE builders so long pipelines stay readable.
 
 from __future__ import annotations
 
-from quire.sources.topics import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS
+from quire.sources.topics import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, PHRASE_EFFECTS, PHRASE_TOPICS
 from quire.plans.answer import HISTORY_RUNS
 
 NL = "chr(10)"
-TOKS = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+# Runs of letters, marks and digits; single characters in unspaced scripts.
+_ONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_RUN = rf"[{_ONE}]|(?:[^\P{{L}}{_ONE}]|[\p{{M}}\p{{N}}])+"
 
 
 def toks(x: str) -> str:
-    return TOKS.format(x=x)
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '{_RUN}')"
 
 
 def _lit(v) -> str:
@@ -524,7 +526,7 @@ SELECT k.conv_id, k.turn, k.role, k.n_tokens, k.running FROM k JOIN f ON f.conv_
 WHERE k.turn >= f.first_turn""",
     "embed_documents": with_(BASE, sparse_embed("de", "arts", "pmid", "title || " + NL + " || abstract"))
     + vec_summary("de", "pmid"),
-    "cosine_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
+    "cosine_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
 i AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.query_id, i.vec_id, round(list_cosine_similarity(q.e, i.e), 6) AS score FROM q CROSS JOIN i)
 SELECT query_id, vec_id, score, rank FROM (
@@ -586,3 +588,63 @@ FROM (SELECT topic_id, pmid,
 
 
 ORACLE["annotate_model"] = _model()
+
+
+def _phrases() -> str:
+    """Adjacent tokens as a substring of the token list joined by spaces."""
+    def line(x):
+        return f"(' ' || array_to_string({x}, ' ') || ' ')"
+    effects = " OR ".join(f"contains(d.line, {line(toks(_lit(e)))})" for e in PHRASE_EFFECTS)
+    names = " UNION ".join([f"SELECT topic_id, unnest({toks(c)}) AS token FROM topics" for c in ("compound", "disease")]
+                           + [f"SELECT topic_id, unnest({toks(_lit(e))}) FROM topics" for e in PHRASE_EFFECTS])
+    return with_(BASE, topics_cte("topics", PHRASE_TOPICS), f"""d AS (SELECT *, {line('toks')} AS line FROM doc_toks),
+m AS (SELECT t.topic_id, d.doc_id, d.pmid, d.toks FROM topics t JOIN d
+        ON contains(d.line, {line(toks('compound'))}) AND contains(d.line, {line(toks('disease'))})
+  WHERE len({toks('compound')}) > 0 AND len({toks('disease')}) > 0 AND ({effects})
+    AND (coalesce(start_year, 0) = 0 OR coalesce(yr >= start_year, false))),
+names AS ({names}),
+df AS (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS token FROM doc_toks) GROUP BY token),
+tf AS (SELECT m.topic_id, m.pmid, n.token, len(m.toks) AS dl, len(list_filter(m.toks, lambda x: x = n.token)) AS tf
+  FROM m JOIN names n ON n.topic_id = m.topic_id)""") + """
+SELECT topic_id, pmid, round(sum(ln(1.0 + (s.n_docs - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2
+         / (tf + 1.2 * (0.25 + 0.75 * dl / s.avgdl))), 6) AS score
+FROM tf JOIN df ON df.token = tf.token, stats s WHERE tf > 0 GROUP BY topic_id, pmid"""
+
+
+def _twice() -> str:
+    return with_(BASE, topics_cte("atopics", ANSWER_ROWS), report_ctes("a", "atopics"), """h AS (
+  SELECT DISTINCT compound, disease, content, total_papers FROM a_rc WHERE status = 'ok' AND total_papers > 0),
+old AS (SELECT t.topic_id, h.* FROM atopics t JOIN h ON h.compound = t.compound AND h.disease = t.disease
+  WHERE NOT coalesce(t.refresh, false))""") + """
+SELECT topic_id, compound, disease, 'history' AS provenance, 'ok' AS status, '2024-06-01 00:00:00' AS analysis_time,
+       total_papers, content FROM old
+UNION ALL
+SELECT topic_id, compound, disease, 'new', status, '2024-07-01 00:00:00', total_papers, content
+FROM a_rc WHERE topic_id NOT IN (SELECT topic_id FROM old)"""
+
+
+def _by_pmids() -> str:
+    worst_first = _reports_sql("""SELECT topic_id, total_papers, positive_effects,
+       array_to_string(key_findings, '|') AS key_findings, articles, status FROM q_rc""")
+    return worst_first.replace("q_fetched AS (\n  SELECT r.topic_id, r.rank,", "q_fetched AS (\n  SELECT r.topic_id, "
+                               "row_number() OVER (PARTITION BY r.topic_id ORDER BY r.rank DESC) AS rank,")
+
+
+ORACLE.update({
+    "match_topics_phrase": _phrases(),
+    "answer_topics_twice": _twice(),
+    "analyze_by_pmids": _by_pmids(),
+    "tool_search_literature": ORACLE["search_literature"],
+    "tool_analyze_literature": ORACLE["effect_counts"],
+    "tool_query_previous_analyses": ORACLE["analysis_history"],
+    "tool_search_similar_articles": ORACLE["search_similar_articles"],
+    "create_store": """SELECT source AS compound, lang AS disease, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars
+       FROM documents GROUP BY source, lang""",
+    "validate_rows": with_(BASE) + """SELECT doc_id, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, ',') AS errors
+       FROM (SELECT doc_id, list_filter([CASE WHEN keywords[1] = 'es' THEN 'pmid' END, CASE WHEN abstract = '' THEN 'title' END,
+         CASE WHEN journal = 'src1' THEN 'authors' END, CASE WHEN journal = 'src2' THEN 'journal' END],
+         lambda x: x IS NOT NULL) AS e FROM arts)""",
+    "map_medline_no_pmid": with_(BASE) + "SELECT pmid, title FROM arts WHERE keywords[1] = 'en'",
+    "valid_topics": with_(BASE) + """SELECT doc_id, CAST(length(abstract) AS INTEGER) AS n, journal AS disease FROM arts
+       WHERE regexp_replace(abstract, '\\s+', '', 'g') <> '' AND trim(journal) <> ''""",
+})

@@ -16,11 +16,13 @@ def extract_json(text: Column) -> Column:
 
 
 def single_json_value(span: Column) -> Column:
-    """True when ``span`` is exactly one JSON value. The VARIANT parser stops
-    after the first value and ignores what follows ('{}x' parses); wrapping
-    the span in brackets makes any trailing text an invalid array."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), span, F.lit("]"))) == 1,
-                      F.lit(False))
+    """True when ``span`` is exactly one JSON value. The parsers stop after the
+    first value and ignore what follows ('{}x' parses), and also after the
+    first closing bracket of a wrapper. So the span must be the only element
+    of an array and, between two other keys, one value of an object."""
+    alone = F.json_array_length(F.concat(F.lit("["), span, F.lit("]"))) == 1
+    keys = F.json_object_keys(F.concat(F.lit('{"a":'), span, F.lit(',"z":1}')))
+    return F.coalesce(alone & (F.size(keys) == 2), F.lit(False))
 
 
 def parse_annotation(text: Column) -> Column:

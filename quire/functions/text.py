@@ -9,8 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token rule: lower-case, split on anything that is not [a-z0-9], drop empties.
-TOKEN_SPLIT = "[^a-z0-9]+"
+# Token rule: lower-case; a token is a run of letters, marks and digits of any
+# script, but a single character in scripts written without spaces (such terms
+# then match as phrases of adjacent characters).
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
+def token_pattern(script: str) -> str:
+    """The rule as a regular expression; ``script`` formats a script's name."""
+    unspaced = "".join(script.format(s) for s in UNSPACED)
+    return rf"[{unspaced}]|(?:[^\P{{L}}{unspaced}]|[\p{{M}}\p{{N}}])+"
+
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical results.
@@ -40,13 +49,11 @@ PROMPT_TEMPLATE = """
 # ---------------------------------------------------------------------------
 
 
-TOKEN_RUN = "[a-z0-9]+"
+TOKEN_RUN = token_pattern(r"\p{{Is{}}}")
 
 
 def tokens(text: Column) -> Column:
-    """array<string> of lower-case [a-z0-9] runs: the same list as splitting on
-    ``TOKEN_SPLIT`` and dropping empties, as one codegen'd expression (no
-    lambda)."""
+    """array<string> of the lower-cased text's tokens, as one expression."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RUN), 0)
 
 
@@ -98,5 +105,5 @@ def render_prompt(compound: Column, disease: Column, title: Column,
 
 
 def is_blank(text: Column) -> Column:
-    """P5: missing or only white space (Python's str.strip() == '')."""
-    return F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", "") == F.lit(""), F.lit(True))
+    """P5: missing or only white space of any script (str.strip() == '')."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "") == F.lit(""), F.lit(True))

@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from quire.functions.annotation import annotation_fields, is_object, parse_annotation
 from quire.functions.text import render_prompt, tokens
-from quire.plans.broadcast import bounded_broadcast
 
 
 def with_prompt(fetched: DataFrame) -> DataFrame:
@@ -45,16 +44,12 @@ def parse_responses(df: DataFrame) -> DataFrame:
             .drop("_v"))
 
 
-def annotate_recorded(fetched: DataFrame, responses: DataFrame,
-                      known_bound: int | None = None) -> DataFrame:
-    """Left join of the fetched articles with recorded responses.
-
-    The big response table is first cut to the fetched ids with a broadcast
-    semi join (the id list is small by construction), so the outer join
-    itself runs on two small sides."""
+def annotate_recorded(fetched: DataFrame, responses: DataFrame) -> DataFrame:
+    """Left join of the fetched articles with recorded responses. The big
+    response table is first cut to the fetched ids by a semi join."""
     keys = ["topic_id", "pmid"] if "topic_id" in responses.columns else ["pmid"]
     ids = fetched.select(*keys).distinct()
-    wanted = responses.join(bounded_broadcast(ids, known_bound=known_bound), keys, "left_semi")
+    wanted = responses.join(ids, keys, "left_semi")
     drop = [c for c in ("conclusion", "effect_type", "evidence_strength") if c in fetched.columns]
     return parse_responses(fetched.drop(*drop).join(wanted, keys, "left"))
 

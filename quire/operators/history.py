@@ -6,11 +6,9 @@ value matches a missing value, as ``filter_by(x=None)`` does).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.rank import rank_within
-
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"  # strftime('%Y-%m-%d %H:%M:%S')
 
 
@@ -26,10 +24,19 @@ def analysis_history(store: DataFrame, topics: DataFrame) -> DataFrame:
     s = store.select("compound", "disease", "content", "created_at", "total_papers").alias("s")
     j = s.join(t, _same_topic(s, t)).select(
         "t.topic_id", "s.compound", "s.disease", "s.content", "s.created_at", "s.total_papers")
-    # A topic analysed very often must not land whole in one task: number
-    # its rows with the range-partitioned rank instead of a topic window.
-    ranked = rank_within(j, "topic_id", [F.desc("created_at"), F.asc("content")])
-    return ranked.withColumn("analysis_time", F.date_format("created_at", TIME_FORMAT))
+    # A topic analysed very often must not land whole in one task: rows are
+    # numbered within (topic, hour), after the rows of the topic's later hours,
+    # which a partial aggregate counts. Rows without a time come last.
+    j = j.withColumn("_hour", F.coalesce(F.date_trunc("hour", F.col("created_at").cast("timestamp")).cast("long"),
+                                         F.lit(-(2**62))))
+    hours = j.groupBy("topic_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("topic_id").orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("topic_id", "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    own = F.row_number().over(Window.partitionBy("topic_id", "_hour").orderBy(F.desc("created_at"), F.asc("content")))
+    return (j.join(hours, ["topic_id", "_hour"])
+            .withColumn("rank", (F.col("_later") + own).cast("int"))
+            .drop("_hour", "_later")
+            .withColumn("analysis_time", F.date_format("created_at", TIME_FORMAT)))
 
 
 def latest_analysis(store: DataFrame, include_empty: bool = True) -> DataFrame:

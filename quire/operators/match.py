@@ -2,22 +2,23 @@
 
 Plan shape (one pass over the corpus text per match, or none with an index):
 
-  documents --tokenise (regexp_extract_all)--> token arrays
-     --filter to the query vocabulary (bounded hash set), + one length row per doc
-     --explode --partial agg (doc, token) count--> [shuffle: query-token postings]
-     --> materialised once (Parquet in the checkpoint folder)
+  documents --tokenise, explode--> (doc, token, position)
+     --left semi join with the query vocabulary
+     --partial agg (doc, token)--> postings with positions, written once
         |-- length rows ......................... N, average length (G7)
-        |-- agg by token (partial) ............... document frequency (tiny, broadcast)
-        '-- BM25 part per (doc, token) -- join (broadcast topic terms)
-               --partial agg (topic, doc)--> [shuffle] --> match flags + score
-               --> top-k per topic (partial WindowGroupLimit before its shuffle)
-
-Only occurrences of query tokens leave the map stage, already summed per
-(doc, token); a hot token (say one in a third of all documents) is therefore
-one row per document and is summed map-side again for its document frequency,
-so no single task receives the hot key's postings. Topic terms and document
-frequencies are broadcast only behind a checked or proven size bound; beyond
-it the joins shuffle on token and AQE's skew join splits hot partitions.
+        '-- agg by token (partial) .............. document frequency
+
+  topics: each takes its rarest compound or disease token as anchor; a topic
+  with a token that no document holds has no anchor and emits no row
+     anchors x postings ......................... candidates (topic, doc)
+     --semi join with the documents that hold an effect term (found once per
+       document, not per topic)
+     --join the topic's terms, their postings ... phrases (positions intersect)
+     --survivors only ........................... BM25 --> top-k per topic
+
+Every step is a join or a partial aggregate, the same at any size; Spark picks
+broadcasts from the sizes it measures and splits skewed partitions. Candidates
+are bounded by the document frequency of each topic's rarest token.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.dates import in_year_range, year_bounds
 from quire.functions.text import article_content, tokens
-from quire.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, row_count_at_most
 from quire.session import cut_lineage
 from quire.sources.topics import valid_topics
 
@@ -64,108 +64,50 @@ def corpus_stats(dt: DataFrame) -> CorpusStats:
     return CorpusStats(int(row["n_docs"]), float(row["avgdl"] or 0.0))
 
 
-# Query-token sets up to this size are inlined as a hash-set filter on each
-# document's token array, so only occurrences of query tokens are exploded.
-MAX_INLINE_TOKENS = 20_000
-
-
-# Sentinel token: with ``doc_rows`` every document emits one posting with
-# this (otherwise impossible, empty) token, carrying its length, so corpus
-# statistics come out of the same pass as the postings.
+# Every document emits one posting of this (otherwise impossible, empty) token,
+# carrying its length, so corpus statistics come out of the same pass.
 DOC_ROW = ""
 
 
-def postings(dt: DataFrame, qtokens: DataFrame | None = None,
-             inline: list[str] | None = None, doc_rows: bool = False) -> DataFrame:
-    """(doc_id, pmid, year, dl, token, tf) for query tokens only.
-
-    ``inline`` (a bounded token list) filters each token array before the
-    explode with a hash-set lookup; otherwise ``qtokens`` is applied as a
-    broadcast/shuffle semi join after it. ``doc_rows`` adds one ``DOC_ROW``
-    posting per document (see ``stats_from_postings``)."""
-    toks = F.col("toks")
-    if inline is not None:
-        toks = F.filter(toks, lambda t: t.isin(inline))
-    if doc_rows:
-        toks = F.concat(F.array(F.lit(DOC_ROW)), toks)
+def postings(dt: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, pmid, year, dl, token, tf, pos) of the tokens of ``vocabulary``
+    (column token) and one ``DOC_ROW`` per document; ``pos`` are positions."""
+    marker = vocabulary.sparkSession.createDataFrame([(DOC_ROW,)], "token string")
     rows = dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
-                     F.explode(toks).alias("token"))
-    if inline is None:
-        if doc_rows:
-            qtokens = qtokens.select("token").unionByName(
-                dt.sparkSession.createDataFrame([(DOC_ROW,)], "token string"))
-        rows = rows.join(qtokens, "token", "left_semi")
+                     F.posexplode(F.concat("toks", F.array(F.lit(DOC_ROW)))).alias("pos", "token"))
+    rows = rows.join(vocabulary.select("token").unionByName(marker).distinct(), "token", "left_semi")
     return (rows.groupBy("doc_id", "pmid", "year", "dl", "token")
-            .agg(F.count(F.lit(1)).alias("tf")))
-
-
-def stats_from_postings(post: DataFrame) -> CorpusStats:
-    """G7 from the ``DOC_ROW`` postings: one small aggregate over materialised
-    postings instead of another pass over the corpus text."""
-    row = (post.filter(F.col("token") == DOC_ROW)
-           .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("a"))
-           .first())
-    return CorpusStats(int(row["n"]), float(row["a"] or 0.0))
-
-
-def _postings_and_stats(dt, qtokens, inline, stats):
-    """Materialised query-token postings and the corpus statistics, in one
-    corpus pass when the statistics are not given."""
-    post = cut_lineage(postings(dt, qtokens, inline, doc_rows=stats is None), "postings")
-    if stats is None:
-        stats = stats_from_postings(post)
-        post = post.filter(F.col("token") != DOC_ROW)
-    return post, stats
-
-
-def _bounded_local(df: DataFrame, max_rows: int):
-    """Collect a small derived table once (bounded by ``max_rows``) and return
-    it as a local relation, or None when it is over the bound."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None, None
-    return df.sparkSession.createDataFrame(rows, df.schema), rows
+            .agg(F.collect_list("pos").alias("pos")).withColumn("tf", F.size("pos")))
 
 
 @dataclass(frozen=True)
 class PostingsIndex:
-    """Query-token postings of a corpus materialised once for a vocabulary
-    (an inverted index restricted to the tokens of interest). A match whose
-    tokens it covers filters it instead of scanning the corpus again."""
-    tokens: frozenset
+    """Postings of a corpus written once for a vocabulary; matches whose
+    tokens are in it share it instead of scanning the corpus again."""
     df: DataFrame
 
-    def covers(self, toks) -> bool:
-        return set(toks) <= self.tokens
-
-    def restrict(self, toks) -> DataFrame:
-        return self.df.filter(F.col("token").isin(sorted(set(toks))))
+    @property
+    def words(self) -> DataFrame:
+        return self.df.filter(F.col("token") != DOC_ROW)
 
     def stats(self) -> CorpusStats:
-        return stats_from_postings(self.df)
+        """G7 from the length rows: a small aggregate, no pass over the texts."""
+        row = (self.df.filter(F.col("token") == DOC_ROW)
+               .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("a")).first())
+        return CorpusStats(int(row["n"]), float(row["a"] or 0.0))
 
 
-def build_index(dt: DataFrame, toks) -> PostingsIndex:
-    """Materialise the postings of ``toks`` (plus one length row per
-    document, for the corpus statistics) in one pass over the corpus."""
-    toks = sorted(set(toks))
-    return PostingsIndex(frozenset(toks),
-                         cut_lineage(postings(dt, None, toks, doc_rows=True), "postings"))
+def build_index(dt: DataFrame, vocabulary: DataFrame) -> PostingsIndex:
+    return PostingsIndex(cut_lineage(postings(dt, vocabulary), "postings"))
 
 
-def topic_tokens(topics: DataFrame, effect_terms, max_terms: int = DEFAULT_MAX_ROWS) -> list[str]:
-    """All query tokens of a (bounded) topic table, tokenised by Spark."""
-    rows = topic_groups(topics, effect_terms).select("toks").limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError("topic table over the bound for an inline vocabulary")
-    return sorted({t for r in rows for t in r["toks"]})
+def topic_vocabulary(topics: DataFrame, effect_terms) -> DataFrame:
+    """Distinct tokens of the topics and effect terms."""
+    return topic_terms(topics, effect_terms).select("token").distinct()
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
-    # Referencing tf keeps the postings aggregate identical to the scoring
-    # branch (plain count(1) would let Catalyst drop the tf count below), so
-    # both branches reuse one scan and one shuffle (ReusedExchange).
-    return post.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def bm25_part(stats: CorpusStats, k1: float = K1, b: float = B):
@@ -183,8 +125,8 @@ def bm25_part(stats: CorpusStats, k1: float = K1, b: float = B):
 def topic_groups(topics: DataFrame, effect_terms) -> DataFrame:
     """(topic_id, lo, hi, kind, gidx, toks, glen): one row per term group.
 
-    Groups: the compound phrase, the disease phrase and each effect term.
-    A multi-token group matches only with its tokens adjacent and in order.
+    Groups: the compound phrase, the disease phrase and each effect term. A
+    group matches only with its tokens adjacent and in order.
     """
     lo, hi = year_bounds(F.col("start_year"), F.col("end_year"))
     effects = [F.struct(F.lit("effect").alias("kind"), F.lit(i).alias("gidx"),
@@ -204,100 +146,69 @@ def topic_groups(topics: DataFrame, effect_terms) -> DataFrame:
             .filter(F.col("glen") > 0))
 
 
-def _topic_terms(groups: DataFrame) -> DataFrame:
-    """(topic_id, token, lo, hi, c1, d1, e1): every distinct query token of a
-    topic, flagged when it alone is the compound / disease / an effect term."""
-    single = F.col("glen") == 1
-    return (groups.select("topic_id", "lo", "hi", "kind", "glen",
-                          F.explode("toks").alias("token"))
-            .groupBy("topic_id", "token", "lo", "hi")
-            .agg(F.max(single & (F.col("kind") == "compound")).alias("c1"),
-                 F.max(single & (F.col("kind") == "disease")).alias("d1"),
-                 F.max(single & (F.col("kind") == "effect")).alias("e1")))
-
-
-def _phrase_hits(dt: DataFrame, multi: DataFrame, inline: list[str] | None = None) -> DataFrame:
-    """(topic_id, doc_id, cp, dp, ep) for multi-token groups found in order.
-
-    With a bounded phrase vocabulary (``inline``) each token array is cut to
-    the phrase tokens, with their original positions, before the explode."""
-    if inline is not None:
-        hits = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("token"), i.alias("pos"))),
-                        lambda x: x["token"].isin(inline))
-        pos = dt.select("doc_id", F.explode(hits).alias("o")).select("doc_id", "o.pos", "o.token")
-    else:
-        pos = dt.select("doc_id", F.posexplode("toks").alias("pos", "token"))
-    occ = (pos.join(bounded_broadcast(multi), "token")
-           .withColumn("start", F.col("pos") - F.col("offset"))
-           .groupBy("topic_id", "doc_id", "kind", "gidx", "glen", "start")
-           .agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") == F.col("glen")))
-    return (occ.groupBy("topic_id", "doc_id")
-            .agg(F.max(F.col("kind") == "compound").alias("cp"),
-                 F.max(F.col("kind") == "disease").alias("dp"),
-                 F.max(F.col("kind") == "effect").alias("ep")))
+def topic_terms(topics: DataFrame, effect_terms) -> DataFrame:
+    """(topic_id, lo, hi, kind, gidx, glen, offset, token)."""
+    return topic_groups(topics, effect_terms).select(
+        "topic_id", "lo", "hi", "kind", "gidx", "glen", F.posexplode("toks").alias("offset", "token"))
+
+
+def phrase_hits(occurrences: DataFrame, *key: str) -> DataFrame:
+    """Groups that stand in a document in order: ``key``, kind, gidx of those
+    whose tokens (rows with offset, glen and positions ``pos``) have a common
+    start. A group of one token is a phrase of length one."""
+    starts = F.transform("pos", lambda p: p - F.col("offset"))
+    common = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0], F.array_intersect)
+    return (occurrences.withColumn("starts", starts)
+            .groupBy(*key, "kind", "gidx", "glen").agg(F.collect_list("starts").alias("s"))
+            .filter((F.size("s") == F.col("glen")) & (F.size(common) > 0)).select(*key, "kind", "gidx"))
 
 
 def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
                  stats: CorpusStats | None = None, dt: DataFrame | None = None,
-                 max_terms: int = DEFAULT_MAX_ROWS, index: PostingsIndex | None = None) -> DataFrame:
+                 index: PostingsIndex | None = None) -> DataFrame:
     """P1 + P2 + J6 + BM25: (topic_id, doc_id, pmid, year, score) of every
     article that holds the compound, the disease and one effect term, within
-    the topic's year range, scored by BM25 over the topic's distinct tokens."""
-    dt = dt if dt is not None else doc_tokens(arts)
-    groups = topic_groups(topics, effect_terms)
-    # One small job collects the term groups (bounded by the topic table);
-    # the size check, the inline token list and the phrase check all come
-    # from it. Beyond the bound the joins shuffle on token and AQE splits a
-    # hot token's partition (skew join).
-    local, rows = _bounded_local(groups, max_terms)
-    small = local is not None
-    if small:
-        groups = local
-        tokens_all = sorted({t for r in rows for t in r["toks"]})
-        inline = tokens_all if len(tokens_all) <= MAX_INLINE_TOKENS else None
-        has_phrase = any(r["glen"] > 1 for r in rows)
-    else:
-        inline, has_phrase = None, not row_count_at_most(groups.filter(F.col("glen") > 1), 0)
-    terms = _topic_terms(groups)
-    terms = F.broadcast(terms) if small else terms
-    qtokens = terms.select("token").distinct()
-    # Postings of the query tokens are read twice (document frequency and
-    # scoring): materialise them once in the checkpoint folder instead of
-    # scanning and tokenising the corpus twice.
-    if index is not None and small and index.covers(tokens_all):
-        post = index.restrict(tokens_all)
-        stats = stats or index.stats()
-    else:
-        post, stats = _postings_and_stats(dt, qtokens, inline, stats)
-    # Document frequencies have at most one row per query token.
+    the topic's year range, scored by BM25 over the topic's distinct tokens.
+
+    A topic whose compound or disease has no token matches nothing here and is
+    reported as an error by ``topic_reports``."""
+    terms = topic_terms(topics, effect_terms)
+    if index is None:
+        index = build_index(dt if dt is not None else doc_tokens(arts), terms.select("token").distinct())
+    post, stats = index.words, stats or index.stats()
     dfreq = document_frequency(post)
-    dfreq = F.broadcast(dfreq) if small else dfreq
-    # BM25 contribution once per (doc, token), before the fan-out to topics.
-    parts = post.join(dfreq, "token").select("doc_id", "pmid", "year", "token",
-                                             bm25_part(stats).alias("part"))
-    scored = (parts.join(terms, "token")
-              .filter(in_year_range(F.col("year"), F.col("lo"), F.col("hi")))
-              .groupBy("topic_id", "doc_id", "pmid", "year")
-              .agg(F.sum("part").alias("score"), F.max("c1").alias("c1"),
-                   F.max("d1").alias("d1"), F.max("e1").alias("e1")))
-    multi = (groups.filter(F.col("glen") > 1)
-             .select("topic_id", "kind", "gidx", "glen",
-                     F.posexplode("toks").alias("offset", "token")))
-    if not has_phrase:
-        hit = F.col("c1") & F.col("d1") & F.col("e1")
-    else:
-        phrase_toks = (sorted({t for r in rows if r["glen"] > 1 for t in r["toks"]})
-                       if small else None)
-        if phrase_toks is not None and len(phrase_toks) > MAX_INLINE_TOKENS:
-            phrase_toks = None
-        scored = scored.join(_phrase_hits(dt, multi, phrase_toks), ["topic_id", "doc_id"], "left")
-        hit = ((F.col("c1") | F.coalesce("cp", F.lit(False)))
-               & (F.col("d1") | F.coalesce("dp", F.lit(False)))
-               & (F.col("e1") | F.coalesce("ep", F.lit(False))))
-    return (scored.filter(hit)
-            .select("topic_id", "doc_id", "pmid", "year",
-                    F.round("score", SCORE_DP).alias("score")))
+
+    # One row per topic: its rarest compound or disease token as anchor (df 0
+    # where no document holds one of them), and its terms, a short list.
+    named = F.col("kind") != "effect"
+    rarest = (terms.join(dfreq, "token", "left").groupBy("topic_id", "lo", "hi")
+              .agg(F.min(F.when(named, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("a"),
+                   F.count_distinct(F.when(named, F.col("kind"))).alias("kinds"),
+                   F.collect_list(F.when(named, F.struct("kind", "gidx", "glen", "offset", "token"))).alias("terms"),
+                   F.collect_set("token").alias("words")))
+    anchors = rarest.filter("a.df > 0 AND kinds = 2").select(
+        "topic_id", "lo", "hi", F.col("a.token").alias("token"), "terms", "words")
+    pairs = (post.join(anchors, "token").filter(in_year_range(F.col("year"), F.col("lo"), F.col("hi")))
+             .select("topic_id", "doc_id", "pmid", "year", "terms", "words"))
+
+    # The effect terms are the same for every topic: found once per document.
+    places = post.select("doc_id", "token", "pos")
+    effects = (post.sparkSession.createDataFrame([(i, t) for i, t in enumerate(effect_terms)], "gidx int, term string")
+               .select(F.lit("effect").alias("kind"), "gidx", tokens(F.col("term")).alias("toks"))
+               .select("kind", "gidx", F.size("toks").alias("glen"), F.posexplode("toks").alias("offset", "token")))
+    with_effect = phrase_hits(places.join(effects, "token"), "doc_id").select("doc_id").distinct()
+    pairs = pairs.join(with_effect, "doc_id", "left_semi")
+
+    # A topic's candidates stay dealt by document: no join or group is by topic.
+    key = ["topic_id", "doc_id", "pmid", "year", "words"]
+    wanted = pairs.select(*key, F.inline("terms"))
+    found = phrase_hits(wanted.join(places, ["doc_id", "token"]), *key)
+    matched = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+
+    scored = (matched.select("topic_id", "doc_id", "pmid", "year", F.explode("words").alias("token"))
+              .join(post.select("doc_id", "token", "tf", "dl"), ["doc_id", "token"]).join(dfreq, "token"))
+    return (scored.groupBy("topic_id", "doc_id", "pmid", "year")
+            .agg(F.round(F.sum(bm25_part(stats)), SCORE_DP).alias("score")))
 
 
 def top_k(scored: DataFrame, key: str, k: int, order_key: str = "pmid") -> DataFrame:
@@ -323,25 +234,19 @@ def search_literature(arts: DataFrame, topics: DataFrame, effect_terms,
 
 def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
               stats: CorpusStats | None = None, dt: DataFrame | None = None,
-              max_terms: int = DEFAULT_MAX_ROWS) -> DataFrame:
+              index: PostingsIndex | None = None) -> DataFrame:
     """BM25 of free-text queries ``(query_id, text)``; any article sharing a
-    token is scored; top k per query: (query_id, doc_id, pmid, score, rank)."""
-    dt = dt if dt is not None else doc_tokens(arts)
-    qt = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"))))
-                        .alias("token"))
-    local, rows = _bounded_local(qt, max_terms)
-    small = local is not None
-    inline = None
-    if small:
-        qt = F.broadcast(local)
-        toks_all = sorted({r["token"] for r in rows})
-        inline = toks_all if len(toks_all) <= MAX_INLINE_TOKENS else None
-    post, stats = _postings_and_stats(dt, qt.select("token").distinct(), inline, stats)
-    dfreq = document_frequency(post)
-    dfreq = F.broadcast(dfreq) if small else dfreq
-    parts = post.join(dfreq, "token").select("doc_id", "pmid", "token",
-                                             bm25_part(stats).alias("part"))
-    scored = (parts.join(qt, "token")
+    token is scored; top k per query: (query_id, doc_id, pmid, score, rank).
+
+    Postings are dealt by document, so a document's scores for all queries are
+    summed where its postings are, and only the k best rows per query and task
+    are shuffled (the partial limit of ``top_k``)."""
+    qt = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    if index is None:
+        index = build_index(dt if dt is not None else doc_tokens(arts), qt.select("token").distinct())
+    post, stats = index.words, stats or index.stats()
+    parts = post.join(document_frequency(post), "token").select("doc_id", "pmid", "token", bm25_part(stats).alias("part"))
+    scored = (parts.repartition("doc_id").join(qt, "token")
               .groupBy("query_id", "doc_id", "pmid")
               .agg(F.round(F.sum("part"), SCORE_DP).alias("score")))
     return top_k(scored, "query_id", k)

@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import tokens
 from quire.functions.vectors import hash_embed
 
 # ---------------------------------------------------------------------------
@@ -91,7 +92,9 @@ def topic_reports(topics: DataFrame, annotated: DataFrame, run_ts: _dt.datetime,
                  F.coalesce("articles", F.array().cast(
                      "array<struct<rank:int,pmid:string,title:string,conclusion:string,"
                      "effect_type:string,evidence_strength:string>>")).alias("articles")))
-    failed = F.lit(on_error == "fail_topic") & (F.col("failed_annotations") > 0)
+    # A topic without a searchable token finds nothing: an error, not "no papers".
+    wordless = (F.size(tokens(F.col("compound"))) == 0) | (F.size(tokens(F.col("disease"))) == 0)
+    failed = wordless | (F.lit(on_error == "fail_topic") & (F.col("failed_annotations") > 0))
     content = report_content(F.col("compound"), F.col("disease"), F.col("total_papers"),
                              F.col("positive_effects"), F.col("negative_effects"),
                              F.col("neutral_effects"), F.col("key_findings"))

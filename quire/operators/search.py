@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.vectors import hash_embed
 from quire.operators.match import bm25_topk, top_k
-from quire.plans.broadcast import bounded_broadcast, row_count_at_most
 
 SCORE_DP = 6
 MAX_QUERY_BLOCK = 4096
+QUERY_CHUNK = 256
 OUT_CHUNK = 1000
 RRF_K = 60  # reciprocal-rank fusion constant (Cormack et al. 2009)
 
@@ -59,17 +59,19 @@ def _topk_partition(q_keys, q_bc, k, item_key):
             keys = pdf[item_key].to_numpy()[ok]
             if keys.dtype == object:
                 keys = keys.astype(str)
-            scores = np.round((qn @ (m / norms[:, None]).T), SCORE_DP)
-            # k-th best score per query; every row scoring at least that
-            # (ties included) is a candidate, so the cut stays exact.
-            n = scores.shape[1]
-            kth = np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)]
-            for i in range(len(q_keys)):
-                cand = np.flatnonzero(scores[i] >= kth[i])
-                s = np.concatenate([best_s[i], scores[i, cand]])
-                kk = keys[cand] if best_k[i] is None else np.concatenate([best_k[i], keys[cand]])
-                order = np.lexsort((kk, -s))[:k]
-                best_s[i], best_k[i] = s[order], kk[order]
+            unit = (m / norms[:, None]).T
+            n = unit.shape[1]
+            for lo in range(0, len(q_keys), QUERY_CHUNK):
+                scores = np.round(qn[lo:lo + QUERY_CHUNK] @ unit, SCORE_DP)
+                # k-th best score per query; every row scoring at least that
+                # (ties included) is a candidate, so the cut stays exact.
+                kth = np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)]
+                for i, row in enumerate(scores, lo):
+                    cand = np.flatnonzero(row >= kth[i - lo])
+                    s = np.concatenate([best_s[i], row[cand]])
+                    kk = keys[cand] if best_k[i] is None else np.concatenate([best_k[i], keys[cand]])
+                    order = np.lexsort((kk, -s))[:k]
+                    best_s[i], best_k[i] = s[order], kk[order]
         rows = {"query_id": [], item_key: [], "score": []}
         for i, qk in enumerate(q_keys):
             if best_k[i] is None:
@@ -100,15 +102,13 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int = 5, item_key: str
     key_type = items.schema[item_key].dataType.simpleString()
     qid_type = qv.schema["query_id"].dataType.simpleString()
     out_schema = f"query_id {qid_type}, {item_key} {key_type}, score double"
-    if row_count_at_most(qv, block):
-        n_blocks = 1
-    else:
-        n_blocks = math.ceil(qv.count() / block) * 2
+    # Blocks by hash: about half of ``block`` each; a larger one is still right,
+    # as the scores are computed for ``QUERY_CHUNK`` queries at a time.
+    n = qv.count()
+    n_blocks = 1 if n <= block else math.ceil(n / block) * 2
     parts = []
     for b in range(n_blocks):
-        qb = qv if n_blocks == 1 else qv.filter(F.pmod(F.hash("query_id"), F.lit(n_blocks)) == b)
-        if n_blocks > 1 and not row_count_at_most(qb, block * 2):
-            raise ValueError("query block over its bound; raise the block count")
+        qb = qv if n_blocks == 1 else qv.filter(F.pmod(F.xxhash64("query_id", "vec"), F.lit(n_blocks)) == b)
         rows = [(r["query_id"], r["vec"]) for r in qb.collect()]
         q_keys = [r[0] for r in rows]
         q_mat, norms = _rows_to_matrix([r[1] for r in rows])
@@ -143,10 +143,14 @@ def search_similar_analyses(store: DataFrame, queries: DataFrame, k: int = 5,
                          F.col("content_vector").alias("vec"))
     q = embed_queries(queries, embed)
     hits = cosine_topk(items, q, k, item_key="key")
-    # At most k hits per query: broadcast them to fetch the rows (no store shuffle).
-    bound = k * q.limit(MAX_QUERY_BLOCK + 1).count()
-    return (items.drop("vec").join(bounded_broadcast(hits, known_bound=bound), "key")
-            .drop("key"))
+    return items.drop("vec").join(few(hits, q, k), "key").drop("key")
+
+
+def few(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``hits`` (at most ``k`` per query) with a broadcast hint if the queries
+    are proven to be at most ``MAX_QUERY_BLOCK``; without one otherwise."""
+    known = queries.select("query_id").limit(MAX_QUERY_BLOCK + 1).count()
+    return F.broadcast(hits) if known <= MAX_QUERY_BLOCK else hits
 
 
 def search_similar_articles(store: DataFrame, queries: DataFrame, k: int = 5,
@@ -162,9 +166,8 @@ def search_similar_articles(store: DataFrame, queries: DataFrame, k: int = 5,
     q = embed_queries(queries, embed)
     hits = cosine_topk(s.select("pmid", F.col("content_vector").alias("vec")), q, k,
                        item_key="pmid")
-    bound = k * q.limit(MAX_QUERY_BLOCK + 1).count()
     meta = s.select("pmid", "title", "abstract", "compound", "disease")
-    return (meta.join(bounded_broadcast(hits, known_bound=bound), "pmid")
+    return (meta.join(few(hits, q, k), "pmid")
             .select("query_id", "rank", "pmid", "title", "abstract", "compound", "disease",
                     F.col("score").cast("double").alias("similarity")))
 

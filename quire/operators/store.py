@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from quire.functions.vectors import hash_embed
 from quire.functions.text import article_content
-from quire.plans.broadcast import bounded_broadcast
 from quire.schemas import ANALYSIS_STORE, ARTICLE_STORE
+from quire.session import cut_lineage
 
 
 def create_store(spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -58,23 +58,22 @@ def article_rows(fetched: DataFrame, run_ts: _dt.datetime, embed=hash_embed) ->
         F.lit(run_ts).cast("timestamp_ntz").alias("created_at"))
 
 
-def new_articles(rows: DataFrame, stored: DataFrame, known_bound: int | None = None) -> DataFrame:
+def new_articles(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose pmid is not stored yet (insert-if-absent).
 
     The store grows without bound while a batch is small: the batch's pmids
-    (size-checked) are broadcast to cut the store down to the pmids that
-    collide, so the anti join runs on two small sides and the store is only
-    scanned (its pmid column), never shuffled."""
-    ids = bounded_broadcast(rows.select("pmid").distinct(), known_bound=known_bound)
-    hits = stored.select("pmid").join(ids, "pmid", "left_semi")
+    cut the store's pmid column down to those that collide, then the anti join
+    has two small sides. ``rows`` is read twice, so pass a written table."""
+    hits = stored.select("pmid").join(rows.select("pmid"), "pmid", "left_semi")
     return rows.join(hits, "pmid", "left_anti")
 
 
-def store_articles(spark: SparkSession, path: str, rows: DataFrame,
-                   known_bound: int | None = None) -> DataFrame:
-    """B1: append the new articles; returns what was written."""
+def store_articles(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """B1: append the new articles; returns what was written. ``rows`` (match,
+    fetch, embed) are computed once."""
     create_store(spark, path, ARTICLE_STORE)
-    delta = new_articles(rows, read_store(spark, path, ARTICLE_STORE), known_bound)
+    rows = cut_lineage(rows, "article-rows")
+    delta = new_articles(rows, read_store(spark, path, ARTICLE_STORE))
     run = append_run(delta.select(*ARTICLE_STORE.fieldNames()), path)
     return spark.read.schema(ARTICLE_STORE).parquet(os.path.join(path, f"run_id={run}"))
 

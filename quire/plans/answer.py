@@ -17,57 +17,48 @@ from quire.operators.annotate import annotate_lexicon, annotate_recorded
 from quire.operators.history import TIME_FORMAT, plan_topics
 from quire.operators.match import search_literature
 from quire.operators.report import analysis_rows, topic_reports
-from quire.operators.store import article_rows
-from quire.plans.broadcast import DEFAULT_MAX_ROWS
+from quire.operators.store import article_rows, create_store, read_store, store_analyses, store_articles
+from quire.schemas import ANALYSIS_STORE, ARTICLE_STORE
 from quire.session import cut_lineage
 from quire.sources.corpus import fetch_articles
 from quire.sources.topics import valid_topics
 
 RUN_TS = _dt.datetime(2024, 6, 1)
 MAX_RESULTS = 5
-# Ranked id lists up to this size are also pushed into the fetch scan as an
-# IN filter. Off by default: it pays only when the corpus files are clustered
-# by doc_id (row groups can then be skipped); otherwise the extra
-# materialisation costs more than it saves (measured). Set e.g. 10_000.
-MAX_PUSHED_IDS = 0
 
 
-def _topic_bound(topics: DataFrame, max_topics: int = DEFAULT_MAX_ROWS) -> int | None:
-    """Proven row bound of the topic table (None when over the bound)."""
-    n = topics.limit(max_topics + 1).count()
-    return n if n <= max_topics else None
-
-
-def fetch_ranked(arts: DataFrame, topics: DataFrame, effect_terms, k: int = MAX_RESULTS,
-                 **kw) -> tuple[DataFrame, int | None]:
+def fetch_ranked(arts: DataFrame, topics: DataFrame, effect_terms, k: int = MAX_RESULTS, **kw) -> DataFrame:
     """R1 + A4: the top-k articles of every topic with their full rows and the
     topic labels: (topic_id, rank, score, compound, disease, pmid, title, ...)."""
     vt = valid_topics(topics)
-    n_topics = _topic_bound(vt)
-    bound = None if n_topics is None else n_topics * k
     ranked = search_literature(arts, vt, effect_terms, k, **kw)
-    source = arts
-    if bound is not None and 0 < bound <= MAX_PUSHED_IDS and "doc_id" in arts.columns:
-        # The ranked rows are few (k per topic): materialise them once, and
-        # let the fetch scan skip row groups by id (pushed IN / range filter)
-        # instead of decoding the text of the whole corpus.
-        ranked = cut_lineage(ranked.select("pmid", "doc_id", "topic_id", "rank", "score"), "ranked")
-        ids = sorted({r["doc_id"] for r in ranked.select("doc_id").collect()})
-        source = arts.filter(F.col("doc_id").isin(ids))
-    fetched = fetch_articles(source, ranked.select("pmid", "topic_id", "rank", "score"),
-                             keep=("topic_id", "rank", "score"), known_bound=bound)
-    labels = vt.select("topic_id", "compound", "disease")
-    labels = F.broadcast(labels) if n_topics is not None else labels
-    return fetched.join(labels, "topic_id"), bound
+    return _labelled(arts, vt, ranked.select("pmid", "topic_id", "rank", "score"))
+
+
+def fetch_given(arts: DataFrame, topics: DataFrame) -> DataFrame:
+    """A4 for topics that name their articles (column ``pmids``): the same rows
+    as ``fetch_ranked``, ranked by place in the list (a repeated id counts
+    once, at its first place). Unknown ids vanish."""
+    vt = valid_topics(topics)
+    given = (vt.select("topic_id", F.posexplode(F.array_distinct("pmids")).alias("i", "pmid"))
+             .select("pmid", "topic_id", (F.col("i") + 1).alias("rank"), F.lit(None).cast("double").alias("score")))
+    return _labelled(arts, vt, given)
+
+
+def _labelled(arts: DataFrame, topics: DataFrame, ranked: DataFrame) -> DataFrame:
+    fetched = fetch_articles(arts, ranked, keep=("topic_id", "rank", "score"))
+    return fetched.join(topics.select("topic_id", "compound", "disease"), "topic_id")
 
 
 def analyze_topics(arts: DataFrame, topics: DataFrame, effect_terms, responses: DataFrame | None = None,
                    k: int = MAX_RESULTS, run_ts: _dt.datetime = RUN_TS, on_error: str = "fail_topic",
                    annotator: str = "recorded", **kw) -> tuple[DataFrame, DataFrame]:
-    """R7 for a topic table: (reports, annotated articles)."""
-    fetched, bound = fetch_ranked(arts, topics, effect_terms, k, **kw)
+    """R7 for a topic table: (reports, annotated articles). Topics with a
+    ``pmids`` column are analysed on those articles, others on a search."""
+    fetched = (fetch_given(arts, topics) if "pmids" in topics.columns
+               else fetch_ranked(arts, topics, effect_terms, k, **kw))
     if annotator == "recorded":
-        annotated = annotate_recorded(fetched, responses, known_bound=bound)
+        annotated = annotate_recorded(fetched, responses)
     elif annotator == "lexicon":
         annotated = annotate_lexicon(fetched)
     else:
@@ -110,20 +101,22 @@ def answer_topics(arts: DataFrame, topics: DataFrame, analysis_store: DataFrame,
     (topic_id, compound, disease, provenance, status, analysis_time,
     total_papers, content)."""
     vt = valid_topics(topics)
-    # One row per topic; checkpointed so the history lookup runs once, not
-    # again in every size check and in both branches below.
+    # One row per topic, written so that both branches below share one lookup.
     routed = cut_lineage(plan_topics(vt, analysis_store, strict_history))
-    # No broadcast hint here: the routed rows become the preserved (left)
-    # side of the report's outer join; as a right side AQE sees their size.
+    todo = routed.filter(F.col("route") == "analyze").select(*topics.columns)
+    reports, _ = analyze_topics(arts, todo, effect_terms, responses, k, run_ts, on_error,
+                                annotator, **kw)
+    return _answers(routed, reports)
+
+
+def _answers(routed: DataFrame, reports: DataFrame) -> DataFrame:
+    """Stored answers and fresh ones."""
     hist = (routed.filter(F.col("route") == "history")
             .select("topic_id", "compound", "disease",
                     F.lit("history").alias("provenance"), F.lit("ok").alias("status"),
                     F.date_format("history_time", TIME_FORMAT).alias("analysis_time"),
                     F.col("history_papers").alias("total_papers"),
                     F.col("history_content").alias("content")))
-    todo = routed.filter(F.col("route") == "analyze").select(*topics.columns)
-    reports, _ = analyze_topics(arts, todo, effect_terms, responses, k, run_ts, on_error,
-                                annotator, **kw)
     fresh = reports.select("topic_id", "compound", "disease", "provenance", "status",
                            F.date_format("analysis_date", TIME_FORMAT).alias("analysis_time"),
                            "total_papers", "content")
@@ -133,5 +126,24 @@ def answer_topics(arts: DataFrame, topics: DataFrame, analysis_store: DataFrame,
 def stored_articles_of_run(arts: DataFrame, topics: DataFrame, effect_terms,
                            k: int = MAX_RESULTS, run_ts: _dt.datetime = RUN_TS, **kw) -> DataFrame:
     """B1 input of one run: the fetched articles, first write wins."""
-    fetched, _ = fetch_ranked(arts, topics, effect_terms, k, **kw)
-    return article_rows(fetched, run_ts)
+    return article_rows(fetch_ranked(arts, topics, effect_terms, k, **kw), run_ts)
+
+
+def answer_and_store(arts: DataFrame, topics: DataFrame, article_path: str, analysis_path: str, effect_terms,
+                     responses: DataFrame | None = None, k: int = MAX_RESULTS, run_ts: _dt.datetime = RUN_TS,
+                     on_error: str = "fail_topic", annotator: str = "recorded", **kw) -> DataFrame:
+    """R8 with its write-back: answers all topics, then stores the analysed
+    articles (first write wins) and the new reports, so that a later run finds
+    them as history. Returns the answers, written once before the stores grow."""
+    spark = arts.sparkSession
+    create_store(spark, analysis_path, ANALYSIS_STORE)
+    create_store(spark, article_path, ARTICLE_STORE)
+    history = read_store(spark, analysis_path, ANALYSIS_STORE)
+    routed = cut_lineage(plan_topics(valid_topics(topics), history), "routed")
+    todo = routed.filter(F.col("route") == "analyze").select(*topics.columns)
+    reports, annotated = analyze_topics(arts, todo, effect_terms, responses, k, run_ts, on_error, annotator, **kw)
+    annotated, reports = cut_lineage(annotated, "annotated"), cut_lineage(reports, "reports")
+    answers = cut_lineage(_answers(routed, reports), "answers")
+    store_articles(spark, article_path, article_rows(annotated, run_ts))
+    store_analyses(spark, analysis_path, analysis_rows(reports))
+    return answers

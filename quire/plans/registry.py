@@ -4,6 +4,7 @@ flat columns (arrays joined to strings) whose names match the oracle SQL."""
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +62,9 @@ class Ctx:
     def with_index(self, *topic_rows):
         """Postings index for the vocabulary of several topic tables, built
         once and shared by every match of this run."""
-        from quire.operators.match import build_index, topic_tokens
-        toks = set()
-        for rows in topic_rows:
-            toks |= set(topic_tokens(self.topics(rows), EFFECT))
-        self.index = build_index(self.dt, toks)
+        from quire.operators.match import build_index, topic_vocabulary
+        words = [topic_vocabulary(self.topics(rows), EFFECT) for rows in topic_rows]
+        self.index = build_index(self.dt, functools.reduce(DataFrame.unionByName, words))
         return self
 
     def topics(self, rows=None):
@@ -233,7 +232,7 @@ def q_topic_query_text(spark, sf_dir):
 def q_render_prompt(spark, sf_dir):
     from quire.operators.annotate import with_prompt
     c = Ctx(spark, sf_dir)
-    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    fetched = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
     return with_prompt(fetched).select("topic_id", "pmid", "prompt")
 
 
@@ -259,7 +258,7 @@ def q_article_content(spark, sf_dir):
 
 def q_fetch_articles(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    fetched = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
     return fetched.select("topic_id", F.col("rank").cast("int").alias("rank"), "pmid", "title",
                           "journal", F.array_join("keywords", ",").alias("keywords"),
                           F.date_format("publication_date", TIME_FORMAT).alias("publication_date"))
@@ -290,7 +289,7 @@ def q_embed_documents(spark, sf_dir):
 def q_cosine_topk(spark, sf_dir):
     from quire.operators.search import cosine_topk
     e = Ctx(spark, sf_dir).table("embeddings")
-    q = e.filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"),
+    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"),
                                               F.col("embedding").alias("vec"))
     return cosine_topk(e.select("vec_id", F.col("embedding").alias("vec")), q, 5,
                        item_key="vec_id").select("query_id", "vec_id", "score",
@@ -476,7 +475,7 @@ def q_stream_ingest(spark, sf_dir):
 def q_annotate_lexicon(spark, sf_dir):
     from quire.operators.annotate import annotate_lexicon
     c = Ctx(spark, sf_dir)
-    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    fetched = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
     a = annotate_lexicon(fetched, positive=LEXICON_POSITIVE, negative=LEXICON_NEGATIVE)
     return a.select("topic_id", "pmid", "effect_type", "evidence_strength",
                     F.array_join("findings", "|").alias("findings"), "conclusion")
@@ -486,10 +485,14 @@ def cue_model(prompts):
     """A stand-in caller model for K3: counts cue words in each prompt and
     answers with a JSON object (runs in Python workers via mapInPandas)."""
     import json
-    import re
+
+    import regex
+
+    from quire.functions.text import token_pattern
+    rule = regex.compile(token_pattern(r"\p{{{}}}"))
     out = []
     for p in prompts:
-        toks = [t for t in re.split("[^a-z0-9]+", (p or "").lower()) if t]
+        toks = rule.findall((p or "").lower())
         score = sum(t in LEXICON_POSITIVE for t in toks) - sum(t in LEXICON_NEGATIVE for t in toks)
         eff = "positive" if score > 0 else "negative" if score < 0 else "neutral"
         mag = abs(score)
@@ -502,7 +505,7 @@ def cue_model(prompts):
 def q_annotate_model(spark, sf_dir):
     from quire.operators.annotate import annotate_with
     c = Ctx(spark, sf_dir)
-    fetched, _ = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
+    fetched = fetch_ranked(c.arts, c.topics(), EFFECT, **c.kw())
     a = annotate_with(fetched, cue_model)
     return a.select("topic_id", "pmid", "effect_type", "evidence_strength",
                     F.array_join("findings", "|").alias("findings"))
@@ -513,7 +516,125 @@ LEXICON_POSITIVE = ("er", "ing")
 LEXICON_NEGATIVE = ("ed", "tion")
 
 
+# ------------------------------------------------------------------ phrases, write-back, tools, bad rows
+
+def q_match_topics_phrase(spark, sf_dir):
+    from quire.sources.topics import PHRASE_EFFECTS, PHRASE_TOPICS
+    c = Ctx(spark, sf_dir)
+    return match_topics(c.arts, c.topics(PHRASE_TOPICS), PHRASE_EFFECTS, dt=c.dt).select("topic_id", "pmid", "score")
+
+
+def q_answer_topics_twice(spark, sf_dir):
+    """The second run over the same stores finds the first one's reports."""
+    from quire.plans.answer import answer_and_store
+    from quire.session import fresh_path
+    c = Ctx(spark, sf_dir).with_index(ANSWER_TOPICS)
+    paths = fresh_path(spark, "twice-articles"), fresh_path(spark, "twice-analyses")
+    for ts in (RUN_TS, _dt.datetime(2024, 7, 1)):
+        out = answer_and_store(c.arts, c.topics(ANSWER_TOPICS), *paths, EFFECT, c.responses, run_ts=ts,
+                               on_error="skip", **c.kw())
+    return out
+
+
+def q_analyze_by_pmids(spark, sf_dir):
+    """Reports on given article lists: each topic's matches, worst first."""
+    from quire.operators.match import search_literature
+    c = Ctx(spark, sf_dir)
+    found = search_literature(c.arts, c.topics(), EFFECT, 5, **c.kw()).groupBy("topic_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "pmid")), asc=False), lambda x: x["pmid"]).alias("pmids"))
+    r, _ = analyze_topics(c.arts, c.topics().join(found, "topic_id", "left"), EFFECT, c.responses, on_error="skip")
+    return r.select("topic_id", "total_papers", "positive_effects", F.array_join("key_findings", "|").alias("key_findings"),
+                    flat_articles().alias("articles"), "status")
+
+
+def q_tool_search_literature(spark, sf_dir):
+    from quire.tools import search_literature
+    c = Ctx(spark, sf_dir)
+    return c.topics().transform(search_literature, c.arts, 5, EFFECT).select(
+        "topic_id", "pmid", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def q_tool_analyze_literature(spark, sf_dir):
+    from quire.tools import analyze_literature
+    c = Ctx(spark, sf_dir)
+    return c.topics().transform(analyze_literature, c.arts, c.responses, 5, EFFECT, on_error="skip").select(
+        "topic_id", "total_papers", "positive_effects", "negative_effects", "neutral_effects")
+
+
+def q_tool_query_previous_analyses(spark, sf_dir):
+    from quire.tools import query_previous_analyses
+    c = Ctx(spark, sf_dir)
+    return c.topics().transform(query_previous_analyses, _history(c)).select(
+        "topic_id", "rank", "compound", "disease", "analysis_time", "total_papers", "content")
+
+
+def q_tool_search_similar_articles(spark, sf_dir):
+    from quire.tools import search_similar_articles
+    c = Ctx(spark, sf_dir)
+    return _bench_queries(c).transform(search_similar_articles, _article_store_rows(c), 5).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "pmid", "compound", "disease", "similarity")
+
+
+def q_create_store(spark, sf_dir):
+    """Creating a store that exists keeps its rows."""
+    from quire.operators.store import append_run, create_store, read_store
+    from quire.schemas import ANALYSIS_STORE
+    from quire.session import fresh_path
+    docs, path = Ctx(spark, sf_dir).documents, fresh_path(spark, "created")
+    create_store(spark, path, ANALYSIS_STORE)
+    rows = docs.select(F.col("source").alias("compound"), F.col("lang").alias("disease"),
+                       F.lit(None).cast("array<float>").alias("content_vector"), F.col("text").alias("content"),
+                       F.lit(RUN_TS).cast("timestamp_ntz").alias("created_at"), F.col("n_chars").alias("total_papers"))
+    append_run(rows, path)
+    create_store(spark, path, ANALYSIS_STORE)
+    return read_store(spark, path, ANALYSIS_STORE).groupBy("compound", "disease").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_papers").alias("chars"))
+
+
+def q_validate_rows(spark, sf_dir):
+    """Articles with missing titles, ids, journals and list elements."""
+    from quire.functions.validate import validate
+    from quire.schemas import ARTICLE
+    a = Ctx(spark, sf_dir).arts
+    bad = (a.withColumn("title", F.when(F.col("abstract") != "", F.col("title")))
+           .withColumn("authors", F.array(F.element_at("keywords", 1), F.nullif("journal", F.lit("src1"))))
+           .withColumn("pmid", F.when(F.element_at("keywords", 1) != "es", F.col("pmid")))
+           .withColumn("journal", F.nullif("journal", F.lit("src2"))))
+    v = validate(bad, ARTICLE)
+    return v.select("doc_id", F.size("validation_errors").alias("n_errors"),
+                    F.array_join("validation_errors", ",").alias("errors"))
+
+
+def q_map_medline_no_pmid(spark, sf_dir):
+    """Records without a PMID (every document that is not English) are dropped."""
+    from quire.session import fresh_path
+    from quire.sources.medline import map_medline, read_medline, write_medline
+    c = Ctx(spark, sf_dir)
+    path = fresh_path(spark, "medline")
+    write_medline(c.arts.withColumn("pmid", F.when(F.element_at("keywords", 1) == "en", F.col("pmid")).otherwise("")), path)
+    return map_medline(read_medline(spark, path)).select("pmid", "title")
+
+
+def q_valid_topics(spark, sf_dir):
+    """Topics made from documents: blank ones (no second line) are rejected."""
+    from quire.sources.topics import valid_topics
+    a = Ctx(spark, sf_dir).arts
+    return valid_topics(a.select("doc_id", F.col("abstract").alias("compound"), F.col("journal").alias("disease"))
+                        ).select("doc_id", F.length("compound").alias("n"), "disease")
+
+
 QUERIES = {
+    "match_topics_phrase": q_match_topics_phrase,
+    "answer_topics_twice": q_answer_topics_twice,
+    "analyze_by_pmids": q_analyze_by_pmids,
+    "tool_search_literature": q_tool_search_literature,
+    "tool_analyze_literature": q_tool_analyze_literature,
+    "tool_query_previous_analyses": q_tool_query_previous_analyses,
+    "tool_search_similar_articles": q_tool_search_similar_articles,
+    "create_store": q_create_store,
+    "validate_rows": q_validate_rows,
+    "map_medline_no_pmid": q_map_medline_no_pmid,
+    "valid_topics": q_valid_topics,
     "search_literature": q_search_literature,
     "match_topics": q_match_topics,
     "match_topics_years": q_match_topics_years,

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.dates import DEFAULT_FALLBACK, parse_pub_date, with_fallback
-from quire.plans.broadcast import bounded_broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,14 +74,9 @@ def articles(documents: DataFrame,
             .withColumn("evidence_strength", F.lit(None).cast("string")))
 
 
-def fetch_articles(arts: DataFrame, ids: DataFrame, keep: tuple[str, ...] = (),
-                   known_bound: int | None = None) -> DataFrame:
+def fetch_articles(arts: DataFrame, ids: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Full rows for an id list (column ``pmid``; extra ``keep`` columns
     such as ``topic_id``/``rank`` are carried). Unknown ids vanish; an empty
-    list gives an empty result. The id list is broadcast only when its size is
-    proven small, otherwise the join shuffles."""
+    list gives an empty result. Spark broadcasts the list when it is small."""
     ids = ids.select("pmid", *keep)
-    if keep:
-        return arts.join(bounded_broadcast(ids, known_bound=known_bound), "pmid", "inner")
-    return arts.join(bounded_broadcast(ids.distinct(), known_bound=known_bound),
-                     "pmid", "left_semi")
+    return arts.join(ids, "pmid") if keep else arts.join(ids.distinct(), "pmid", "left_semi")

@@ -2,7 +2,9 @@
 
 Records are blocks separated by a blank line, so the text source splits on
 "\\n\\n" (``lineSep``); a file is therefore split across tasks like any text
-file, and a record never needs more than its own block. Inside a block:
+file, and a record never needs more than its own block. Files with CRLF lines
+hold no "\\n\\n", so a block is cut once more at its blank CRLF lines; such a
+file is read by one task. Inside a block:
 
 * a line starting with six spaces continues the previous tag;
 * a tag line is ``KEY`` (first four characters, right-trimmed), then from the
@@ -22,11 +24,7 @@ from quire.functions.dates import DEFAULT_FALLBACK, parse_pub_date, with_fallbac
 
 RECORD_SEP = "\n\n"
 CONT = "\u0001"  # marks a folded continuation line inside one tag line
-# Tags whose lines are joined into one string; MH folds
-# continuation lines into its last element.
-TEXT_TAGS = ("ID", "PMID", "SO", "RF", "NI", "JC", "TA", "IS", "CY", "TT", "CA", "IP", "VI",
-             "DP", "YR", "PG", "LID", "DA", "LR", "OWN", "STAT", "DCOM", "PUBM", "DEP", "PL",
-             "JID", "SB", "PMC", "EDAT", "MHDA", "PST", "AB", "EA", "TI", "JT")
+# Tags whose continuation lines fold into the last element.
 FOLD_TAGS = ("MH", "AD")
 
 
@@ -34,6 +32,12 @@ def _rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+$", "")
 
 
+def record_blocks(text: Column) -> Column:
+    """One row per record block of a read block, line ends normalised."""
+    return F.explode(F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n\n+"),
+                              lambda b: F.regexp_replace(b, r"\s", "") != F.lit("")))
+
+
 def parse_records(blocks: Column) -> Column:
     """array<struct<key:string, parts:array<string>>>: one entry per tag line,
     ``parts`` = its value and its continuation lines, in order."""
@@ -69,11 +73,11 @@ def tag_list(rec: Column, key: str) -> Column:
 def read_medline(spark: SparkSession, path: str) -> DataFrame:
     """A3: one row per record block: (record array<struct<key, parts>>)."""
     return (spark.read.option("lineSep", RECORD_SEP).text(path)
-            .filter(F.regexp_replace("value", r"\s", "") != F.lit(""))
-            .select(parse_records(F.col("value")).alias("record")))
+            .select(record_blocks(F.col("value")).alias("block"))
+            .select(parse_records(F.col("block")).alias("record")))
 
 
-def map_medline(records: DataFrame, fallback=DEFAULT_FALLBACK) -> DataFrame:
+def map_medline(records: DataFrame, fallback=DEFAULT_FALLBACK, keep: tuple[str, ...] = ()) -> DataFrame:
     """C1 + P3: article columns; '' and [] for absent tags; records without a
     PMID are dropped. Also keeps the raw date ``dp``."""
     r = F.col("record")
@@ -81,7 +85,7 @@ def map_medline(records: DataFrame, fallback=DEFAULT_FALLBACK) -> DataFrame:
     out = records.select(
         s("PMID").alias("pmid"), s("TI").alias("title"), s("AB").alias("abstract"),
         tag_list(r, "AU").alias("authors"), s("DP").alias("dp"), s("TA").alias("journal"),
-        tag_list(r, "MH").alias("keywords"))
+        tag_list(r, "MH").alias("keywords"), *keep)
     return (out.filter(F.col("pmid") != F.lit(""))
             .withColumn("publication_date_parsed", parse_pub_date(F.col("dp")))
             .withColumn("publication_date", with_fallback(F.col("publication_date_parsed"), fallback)))
@@ -96,7 +100,7 @@ def to_medline(arts: DataFrame) -> DataFrame:
         return F.array_join(F.transform(arr, lambda x: line(tag, x)), "\n")
 
     parts = [
-        line("PMID", F.col("pmid")),
+        F.when(F.col("pmid") != "", line("PMID", F.col("pmid"))),
         F.when(F.col("title") != "", line("TI", F.col("title"))),
         F.when(F.col("abstract") != "", line("AB", F.col("abstract"))),
         F.when(F.col("dp") != "", line("DP", F.col("dp"))),

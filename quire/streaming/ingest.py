@@ -4,13 +4,16 @@ File source -> parse (A3/C1) -> per micro-batch: one row per pmid, then
 insert-if-absent against the store (J2) -> append. The store itself is the
 dedup state, so streaming state stays empty however many PMIDs arrive, and a
 restart (same checkpoint) cannot insert a PMID twice. A re-run of a batch
-after a failure rewrites only its own ``run_id=batch-<n>`` directory and
-compares against the other runs, so retries are idempotent.
+after a failure rewrites only its own run directory and compares against the
+other runs, so retries are idempotent. The directory is named by the streaming
+query's id (kept in its checkpoint) and the batch number, so a new checkpoint
+on the same store never touches what another one has written.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,28 +24,36 @@ from quire.functions.text import article_content
 from quire.functions.vectors import hash_embed
 from quire.operators.store import create_store, new_articles, read_store
 from quire.schemas import ARTICLE_STORE
-from quire.sources.medline import RECORD_SEP, map_medline, parse_records
+from quire.session import cut_lineage
+from quire.sources.medline import RECORD_SEP, map_medline, parse_records, record_blocks
 
 STORE_WITH_RUN = T.StructType(ARTICLE_STORE.fields + [T.StructField("run_id", T.StringType())])
 
 
 def medline_stream(spark: SparkSession, src: str) -> DataFrame:
+    """Mapped records, with ``arrival``: file time, file, place in the read."""
     raw = (spark.readStream.format("text").option("lineSep", RECORD_SEP)
-           .option("recursiveFileLookup", "true").load(src)
-           .filter(F.regexp_replace("value", r"\s", "") != F.lit("")))
-    return map_medline(raw.select(parse_records(F.col("value")).alias("record")))
+           .option("recursiveFileLookup", "true").load(src))
+    raw = raw.select(F.struct("_metadata.file_modification_time", "_metadata.file_path",
+                              "_metadata.file_block_start").alias("file"), record_blocks(F.col("value")).alias("block"))
+    return map_medline(raw.select(parse_records(F.col("block")).alias("record"), "file"), keep=("file",))
 
 
-def _batch_writer(store: str, run_ts: _dt.datetime, embed):
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the streaming query that owns a checkpoint; survives restarts."""
+    return json.loads(spark.read.text(os.path.join(checkpoint, "metadata")).first()[0])["id"]
+
+
+def _batch_writer(store: str, checkpoint: str, run_ts: _dt.datetime, embed):
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        run = f"batch-{batch_id}"
-        # One row per pmid inside the batch (order inside a batch is undefined;
-        # the smallest record wins so reruns agree).
-        first = (batch.groupBy("pmid")
-                 .agg(F.min_by(F.struct("title", "abstract"), F.struct("title", "abstract")).alias("w"))
-                 .select("pmid", "w.title", "w.abstract")
-                 .persist())   # read by the size check and the write; rebuilt from files if lost
+        run = f"stream-{query_id(spark, checkpoint)}-{batch_id}"
+        # One row per pmid inside the batch: the first to arrive wins.
+        placed = batch.withColumn("place", F.monotonically_increasing_id())
+        first = (placed.groupBy("pmid")
+                 .agg(F.min_by(F.struct("title", "abstract"), F.struct("file", "place")).alias("w"))
+                 .select("pmid", "w.title", "w.abstract"))
+        first = cut_lineage(first, "ingest-batch")  # read by both joins
         stored = (spark.read.schema(STORE_WITH_RUN).parquet(store)
                   .filter(F.col("run_id") != run).select("pmid"))
         rows = (new_articles(first, stored)
@@ -52,7 +63,6 @@ def _batch_writer(store: str, run_ts: _dt.datetime, embed):
                         F.lit(None).cast("string").alias("disease"),
                         F.lit(run_ts).cast("timestamp_ntz").alias("created_at")))
         rows.write.mode("overwrite").parquet(os.path.join(store, f"run_id={run}"))
-        first.unpersist()
     return write
 
 
@@ -62,7 +72,7 @@ def start_ingest(spark: SparkSession, src: str, store: str, checkpoint: str,
     present at start are done."""
     create_store(spark, store, ARTICLE_STORE)
     w = (medline_stream(spark, src).writeStream
-         .foreachBatch(_batch_writer(store, run_ts, embed))
+         .foreachBatch(_batch_writer(store, checkpoint, run_ts, embed))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

@@ -28,7 +28,8 @@ def search_literature(topics: DataFrame, articles: DataFrame, max_results: int =
 def analyze_literature(topics: DataFrame, articles: DataFrame, responses: DataFrame | None = None,
                        max_results: int = 5, effect_terms=DEFAULT_EFFECT_TERMS,
                        **kw) -> DataFrame:
-    """One report per topic (search, fetch, annotate, aggregate)."""
+    """One report per topic (search, fetch, annotate, aggregate); topics with a
+    ``pmids`` column are analysed on those articles instead of a search."""
     return analyze_topics(articles, topics, effect_terms, responses, max_results, **kw)[0]
 
 

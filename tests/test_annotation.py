@@ -17,6 +17,11 @@ CASES = [
     ('{"findings":null}', True, None, None),
     ('{"findings":"str"}', True, None, None),
     (None, False, None, None),
+    ("{ }] ]]a}}", False, None, None),
+    ("{}] [{}", False, None, None),
+    ('{},"b":{}', False, None, None),
+    ('{"a":{}},"b":{"c":1}', False, None, None),
+    ('{"effect_type":"a]}"}', True, "a]}", None),
 ]
 
 

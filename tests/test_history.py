@@ -38,12 +38,15 @@ def test_latest_and_history_order(spark):
     assert h[0]["analysis_time"] == "2024-02-01 00:00:00"
 
 
-def test_rank_within_equals_row_number_under_skew(spark):
+def test_rank_equals_row_number_in_a_topic_analysed_often(spark):
+    """240,000 analyses of one topic, every store column kept."""
     from pyspark.sql import Window, functions as F
-    from quire.plans.rank import rank_within
-    rows = [(0 if i % 3 else (i % 7) + 1, i, f"c{i % 11}") for i in range(3000)]   # key 0 holds 2/3
-    df = spark.createDataFrame(rows, "k int, t int, c string")
-    order = [F.desc("t"), F.asc("c")]
-    got = rank_within(df, "k", order, num_partitions=16)
-    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    store = spark.range(240_000).select(
+        F.lit("a").alias("compound"), F.lit("b").alias("disease"), F.array(F.lit(1.0).cast("float")).alias("content_vector"),
+        F.concat(F.lit("c"), F.col("id")).alias("content"),
+        F.when(F.col("id") % 1000 > 0, F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0,(id * 7919) % 900000)"))
+        .alias("created_at"), F.col("id").alias("total_papers"))
+    got = analysis_history(store, _topics(spark).filter("topic_id = 0")).select("rank", "content", "created_at", "total_papers")
+    want = store.select(F.row_number().over(Window.orderBy(F.desc("created_at"), "content")).alias("rank"),
+                        "content", "created_at", "total_papers")
+    assert got.count() == 240_000 and got.exceptAll(want).count() == 0

@@ -45,10 +45,51 @@ def test_phrase_match(spark):
 
 
 def test_postings_index_gives_same_matches(spark, ctx001):
-    from quire.operators.match import build_index, match_topics, topic_tokens
+    from quire.operators.match import build_index, topic_vocabulary
     from quire.sources.topics import FIXTURE_EFFECT_TERMS
     t = ctx001.topics()
-    idx = build_index(ctx001.dt, topic_tokens(t, FIXTURE_EFFECT_TERMS) + ["unused"])
+    words = topic_vocabulary(t, FIXTURE_EFFECT_TERMS).unionByName(spark.createDataFrame([("unused",)], "token string"))
+    idx = build_index(ctx001.dt, words)
     a = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, stats=ctx001.stats)
-    b = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, stats=ctx001.stats, index=idx)
+    b = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, index=idx)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+TOPIC = "topic_id int, compound string, disease string, start_year int, end_year int, refresh boolean"
+
+
+def _docs(spark, rows):
+    return articles(spark.createDataFrame([(d, t, "en", "s") for d, t in rows],
+                                          "doc_id long, text string, lang string, source string"))
+
+
+def test_topics_in_other_scripts(spark):
+    arts = _docs(spark, [(1, "维生素D与抑郁症\n有 effect"), (2, "抑郁症 维生素C effect"), (3, "café au lait, café effect"),
+                         (4, "ビタミンと 抑郁 症 effect 维 生素D")])
+    topics = spark.createDataFrame([(0, "维生素D", "抑郁症", None, None, False), (1, "caf", "lait", None, None, False),
+                                    (2, "Café", "lait", None, None, False), (3, "?!", "lait", None, None, False)], TOPIC)
+    got = {(r["topic_id"], r["doc_id"]) for r in match_topics(arts, topics, EFFECT).collect()}
+    # White space between single-character tokens does not part them.
+    assert got == {(0, 1), (0, 4), (2, 3)}
+
+
+def test_a_topic_without_a_token_is_an_error_not_a_zero_report(spark):
+    from quire.plans.answer import analyze_topics
+    arts = _docs(spark, DOCS)
+    topics = spark.createDataFrame([(0, "?!", "rickets", None, None, False), (1, "absent", "rickets", None, None, False)], TOPIC)
+    responses = spark.createDataFrame([], "pmid string, response string")
+    got = {r["topic_id"]: r["status"] for r in analyze_topics(arts, topics, EFFECT, responses)[0].collect()}
+    assert got == {0: "error", 1: "ok"}
+
+
+def test_topics_that_match_nothing_emit_no_rows(spark, ctx001):
+    """Rows leaving the candidate join are bounded by the rarest token."""
+    from quire.operators.match import build_index, topic_vocabulary
+    from quire.sources.topics import FIXTURE_EFFECT_TERMS
+    topics = spark.createDataFrame([(i, f"absent{i}", "ther", None, None, False) for i in range(200)], TOPIC)
+    out = match_topics(ctx001.arts, topics, FIXTURE_EFFECT_TERMS, dt=ctx001.dt,
+                       index=build_index(ctx001.dt, topic_vocabulary(topics, FIXTURE_EFFECT_TERMS)))
+    out.write.format("noop").mode("overwrite").save()
+    assert out.count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "CartesianProduct" not in plan

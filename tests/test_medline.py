@@ -1,7 +1,7 @@
 """The MEDLINE sample of FIXTURES §4 and a round trip."""
 import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.sources.medline import map_medline, read_medline, write_medline
@@ -25,9 +25,10 @@ TI  - t3
 """
 
 
-def test_sample(spark):
-    d = tempfile.mkdtemp(prefix="medline-")
-    with open(os.path.join(d, "a.txt"), "w") as f:
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_sample(spark, tmp_path, newline):
+    d = str(tmp_path)
+    with open(os.path.join(d, "a.txt"), "w", newline=newline) as f:
         f.write(SAMPLE)
     rows = {r["pmid"]: r for r in map_medline(read_medline(spark, d)).collect()}
     assert sorted(rows) == ["1", "3"]
@@ -39,8 +40,8 @@ def test_sample(spark):
     assert b["title"] == "t3" and b["abstract"] == "" and b["authors"] == [] and b["keywords"] == []
 
 
-def test_round_trip(spark, ctx001):
-    d = os.path.join(tempfile.mkdtemp(prefix="medline-rt-"), "m")
+def test_round_trip(spark, ctx001, tmp_path):
+    d = str(tmp_path / "m")
     write_medline(ctx001.arts, d)
     back = map_medline(read_medline(spark, d)).select(
         "pmid", "title", "abstract", "journal", "keywords", "dp")

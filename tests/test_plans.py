@@ -26,24 +26,21 @@ def test_top_k_is_limited_before_the_shuffle(spark, key):
 
 def test_match_scan_reads_only_needed_columns(spark, ctx001):
     from quire.operators.match import postings
-    plan = _plan(postings(ctx001.dt, None, ["er"]))
+    plan = _plan(postings(ctx001.dt, spark.createDataFrame([("er",)], "token string")))
     scans = [l for l in plan.split("\n") if "FileScan parquet" in l]
     assert scans and all("ReadSchema: struct<doc_id:bigint,text:string>" in l for l in scans)
 
 
-def test_opt_in_id_pushdown_same_rows(spark):
-    import quire.plans.answer as A
-    from quire.sources.corpus import articles, read_table
-    from quire.sources.topics import FIXTURE_EFFECT_TERMS, topics_frame
-    arts = articles(read_table(spark, SF001, "documents"))
-    t = topics_frame(spark)
-    base, _ = A.fetch_ranked(arts, t, FIXTURE_EFFECT_TERMS)
-    old = A.MAX_PUSHED_IDS
-    try:
-        A.MAX_PUSHED_IDS = 10_000
-        pushed, _ = A.fetch_ranked(arts, t, FIXTURE_EFFECT_TERMS)
-        assert "In(doc_id" in _plan(pushed)
-        cols = ["topic_id", "rank", "pmid", "title", "compound"]
-        assert sorted(pushed.select(cols).collect()) == sorted(base.select(cols).collect())
-    finally:
-        A.MAX_PUSHED_IDS = old
+def test_hits_of_many_queries_get_no_broadcast_hint(spark):
+    from quire.operators.search import MAX_QUERY_BLOCK, search_similar_articles
+    store = spark.createDataFrame([("p1", "t", "a", [1.0, 0.0], "c", "d")],
+                                  "pmid string, title string, abstract string, content_vector array<float>, "
+                                  "compound string, disease string")
+    from pyspark.sql import functions as F
+
+    def embed(text):
+        return F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
+    for n, hint in ((10, True), (MAX_QUERY_BLOCK + 1, False)):
+        q = spark.range(n).select(F.col("id").alias("query_id"), F.lit("text").alias("text"))
+        plan = search_similar_articles(store, q, 5, embed=embed)._jdf.queryExecution().analyzed().toString()
+        assert ("strategy=broadcast" in plan) == hint

@@ -36,6 +36,13 @@ def test_cosine_topk_blocks_equal_single(spark):
     assert one == many
 
 
+def test_repeated_query_ids_beyond_a_block(spark):
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "key long, vec array<float>")
+    q = spark.createDataFrame([(i % 2, [1.0, float(i)]) for i in range(40)], "query_id long, vec array<float>")
+    got = cosine_topk(items, q, 3, block=4).collect()
+    assert {(r["query_id"], r["rank"]) for r in got} == {(a, b) for a in (0, 1) for b in (1, 2, 3)}
+
+
 def test_bm25_and_hybrid_rank_shape(spark, ctx001):
     q = ctx001.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
     b = bm25_topk(ctx001.arts, q, 5)
@@ -48,14 +55,14 @@ def test_bm25_matches_python_brute_force(spark, ctx001):
     import math
     import re
     arts = ctx001.arts.select("pmid", "title", "abstract").collect()
-    docs = {r["pmid"]: [t for t in re.split("[^a-z0-9]+", (r["title"] + "\n" + r["abstract"]).lower()) if t]
+    docs = {r["pmid"]: [t for t in re.split(r"[\W_]+", (r["title"] + "\n" + r["abstract"]).lower()) if t]
             for r in arts}
     n = len(docs)
     avgdl = sum(len(t) for t in docs.values()) / n
     qs = [(1, "the ther ble"), (2, "Und der thon"), (3, "zzzz nothing")]
     want = {}
     for qid, text in qs:
-        qt = sorted({t for t in re.split("[^a-z0-9]+", text.lower()) if t})
+        qt = sorted({t for t in re.split(r"[\W_]+", text.lower()) if t})
         scores = {}
         for pmid, toks in docs.items():
             s, hit = 0.0, False

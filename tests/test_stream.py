@@ -7,6 +7,7 @@ from quire.streaming.ingest import run_ingest
 
 
 def _write(path, name, text):
+    path = path.removeprefix("file:")
     os.makedirs(path, exist_ok=True)
     with open(os.path.join(path, name), "w") as f:
         f.write(text)
@@ -19,3 +20,19 @@ def test_two_runs(spark):
     _write(src, "f2.txt", "PMID- 2\nTI  - other\n\nPMID- 3\nTI  - three\n")
     out = {r["pmid"]: r["title"] for r in run_ingest(spark, src, store, ck, dt.datetime(2024, 2, 1)).collect()}
     assert out == {"1": "one", "2": "two", "3": "three"}
+
+
+def test_a_new_checkpoint_keeps_what_is_stored(spark):
+    src, store = fresh_path(spark, "s-src"), fresh_path(spark, "s-store")
+    _write(src, "f1.txt", "PMID- 1\nTI  - one\n\nPMID- 2\nTI  - two\n")
+    run_ingest(spark, src, store, fresh_path(spark, "s-ck"), dt.datetime(2024, 1, 1))
+    _write(src, "f2.txt", "PMID- 2\nTI  - other\n\nPMID- 3\nTI  - three\n")
+    out = run_ingest(spark, src, store, fresh_path(spark, "s-ck"), dt.datetime(2024, 2, 1))
+    assert {r["pmid"]: r["title"] for r in out.collect()} == {"1": "one", "2": "two", "3": "three"}
+
+
+def test_the_first_record_of_a_batch_wins(spark):
+    src, store = fresh_path(spark, "s-src"), fresh_path(spark, "s-store")
+    _write(src, "f1.txt", "PMID- 1\nTI  - zzz\n\nPMID- 1\nTI  - aaa\n")
+    out = run_ingest(spark, src, store, fresh_path(spark, "s-ck"), dt.datetime(2024, 1, 1))
+    assert [r["title"] for r in out.collect()] == ["zzz"]
