@@ -12,9 +12,10 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from quire.session import build_session
+    from quire.session import build_session, release_stages
     s = build_session(master="local[*]", shuffle_partitions=8)
     yield s
+    release_stages(s)
     s.stop()
 
 
