@@ -6,8 +6,7 @@ them. Shared pieces are CTE builders so long pipelines stay readable.
 
 from __future__ import annotations
 
-from quire.sources.topics import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, PHRASE_EFFECTS, PHRASE_TOPICS
-from quire.plans.answer import HISTORY_RUNS
+from quire.fixtures import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, HISTORY_RUNS, PHRASE_EFFECTS, PHRASE_TOPICS
 
 NL = "chr(10)"
 # Runs of letters, marks and digits; single characters in unspaced scripts.

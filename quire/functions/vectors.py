@@ -34,34 +34,20 @@ def token_buckets(toks: Column, dim: int = DEFAULT_DIM) -> Column:
 def _unit_counts_udf(dim: int):
     @F.pandas_udf("array<float>")
     def unit_counts(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None or len(b) == 0:
-                out.append(None)
-                continue
-            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            out.append((c / np.sqrt((c * c).sum())).astype(np.float32))
-        return pd.Series(out)
+        # One bincount for the whole batch: row * dim + bucket.
+        sizes = np.array([0 if b is None else len(b) for b in buckets], np.int64)
+        out = pd.Series([None] * len(sizes), dtype=object)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.concatenate([buckets.iloc[i] for i in some]).astype(np.int64)
+            rows = np.repeat(np.arange(len(some)), sizes[some])
+            counts = np.bincount(rows * dim + flat, minlength=len(some) * dim).reshape(-1, dim).astype(np.float64)
+            unit = counts / np.sqrt((counts * counts).sum(1, keepdims=True))
+            out.iloc[some] = list(unit.astype(np.float32))
+        return out
     return unit_counts
 
 
 def hash_embed(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """array<float> of length ``dim`` with unit norm; null for text with no token."""
     return _unit_counts_udf(dim)(token_buckets(tokens(text), dim))
-
-
-def vector_norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
-                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """C13 for a bounded set of pairs (the top-k path uses a matrix product)."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                      F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return dot / (vector_norm(a) * vector_norm(b))
-
-
-def usable_vector(v: Column) -> Column:
-    """Null and zero-norm vectors are dropped before ranking."""
-    return v.isNotNull() & (F.size(v) > 0) & (vector_norm(v) > 0)

@@ -17,13 +17,14 @@ from quire.functions.vectors import hash_embed
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical results.
-# Effect labels counted (exact, lower case): "positive", "negative", "neutral".
-# Findings kept per report: 5. Report text (C9), lines joined by "\n":
-#   "{compound}对{disease}的分析报告："
-#   "总计分析文献：{total}篇"
-#   "正面效果：{positive}篇，负面效果：{negative}篇，中性效果：{neutral}篇"
-#   "主要发现：{findings joined by ', '}"
+# Effect labels counted (exact, lower case), findings kept per report, and the
+# report text (C9; findings joined by ", ").
+POSITIVE, NEGATIVE, NEUTRAL = "positive", "negative", "neutral"
 MAX_FINDINGS = 5
+REPORT_TEXT = ("%s对%s的分析报告：\n"
+               "总计分析文献：%s篇\n"
+               "正面效果：%s篇，负面效果：%s篇，中性效果：%s篇\n"
+               "主要发现：%s")
 # ---------------------------------------------------------------------------
 
 ON_ERROR = ("fail_topic", "skip")
@@ -33,12 +34,8 @@ def report_content(compound: Column, disease: Column, total: Column, pos: Column
                    neg: Column, neu: Column, findings: Column) -> Column:
     """The report text that is stored and embedded."""
     s = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    return F.concat(
-        s(compound), F.lit("对"), s(disease), F.lit("的分析报告：\n"),
-        F.lit("总计分析文献："), s(total), F.lit("篇\n"),
-        F.lit("正面效果："), s(pos), F.lit("篇，负面效果："), s(neg),
-        F.lit("篇，中性效果："), s(neu), F.lit("篇\n"),
-        F.lit("主要发现："), F.array_join(F.slice(F.coalesce(findings, F.array()), 1, MAX_FINDINGS), ", "))
+    found = F.array_join(F.slice(F.coalesce(findings, F.array()), 1, MAX_FINDINGS), ", ")
+    return F.format_string(REPORT_TEXT, s(compound), s(disease), s(total), s(pos), s(neg), s(neu), found)
 
 
 def evidence_summary(strong: Column, moderate: Column, weak: Column) -> Column:
@@ -56,9 +53,9 @@ def topic_aggregates(annotated: DataFrame) -> DataFrame:
                      "effect_type", "evidence_strength")
     return (annotated.groupBy("topic_id").agg(
         F.count(F.lit(1)).alias("total_papers"),
-        F.count_if(eff == "positive").alias("positive_effects"),
-        F.count_if(eff == "negative").alias("negative_effects"),
-        F.count_if(eff == "neutral").alias("neutral_effects"),
+        F.count_if(eff == POSITIVE).alias("positive_effects"),
+        F.count_if(eff == NEGATIVE).alias("negative_effects"),
+        F.count_if(eff == NEUTRAL).alias("neutral_effects"),
         F.count_if(st == "strong").alias("strong_evidence"),
         F.count_if(st == "moderate").alias("moderate_evidence"),
         F.count_if(st == "weak").alias("weak_evidence"),

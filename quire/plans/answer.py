@@ -67,18 +67,8 @@ def analyze_topics(arts: DataFrame, topics: DataFrame, effect_terms, responses:
     return reports, annotated
 
 
-# Past runs that fill the analysis store of the fixtures (compound, disease,
-# years, time): topic 0 twice, topic 2 once, topic 3 once with no paper.
-HISTORY_RUNS = [
-    (100, "ther", "ble", None, None, _dt.datetime(2024, 1, 1)),
-    (101, "ther", "ble", 2010, None, _dt.datetime(2024, 2, 1)),
-    (102, "thon", "thble", None, 2010, _dt.datetime(2024, 1, 15)),
-    (103, "der", "und", 1900, 1901, _dt.datetime(2024, 1, 20)),
-]
-
-
 def history_store_rows(arts: DataFrame, responses: DataFrame, effect_terms,
-                       runs=HISTORY_RUNS, **kw) -> DataFrame:
+                       runs, **kw) -> DataFrame:
     """``ANALYSIS_STORE`` rows of earlier analyses, computed from the corpus in
     one pass (each run is a topic row with its own timestamp)."""
     spark = arts.sparkSession

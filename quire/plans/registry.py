@@ -9,14 +9,15 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.fixtures import (FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, HISTORY_RUNS, LEXICON_NEGATIVE, LEXICON_POSITIVE,
+                            PHRASE_EFFECTS, PHRASE_TOPICS, cue_model, raw_date, recorded_responses)
 from quire.operators.history import TIME_FORMAT, analysis_history, latest_analysis, plan_topics
 from quire.operators.match import bm25_topk, corpus_stats, corpus_stats_frame, doc_tokens, match_topics
 from quire.plans.answer import (analyze_topics, answer_topics, fetch_ranked, history_store_rows,
                                 RUN_TS)
 from quire.session import configure
 from quire.sources.corpus import articles, read_table, spread
-from quire.sources.responses import recorded_responses
-from quire.sources.topics import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, topics_frame
+from quire.sources.topics import topics_frame
 
 EFFECT = FIXTURE_EFFECT_TERMS
 # Topic 2 again with refresh = true: it must bypass its history.
@@ -31,7 +32,7 @@ class Ctx:
         self.spark = spark
         self.sf_dir = sf_dir
         self.documents = spread(read_table(spark, sf_dir, "documents"))
-        self.arts = articles(self.documents)
+        self.arts = articles(self.documents, dp=raw_date(F.col("doc_id")))
         self.responses = recorded_responses(self.documents)
         self._dt = None
         self._stats = None
@@ -68,7 +69,7 @@ class Ctx:
         return self
 
     def topics(self, rows=None):
-        return topics_frame(self.spark, rows)
+        return topics_frame(self.spark, FIXTURE_TOPICS if rows is None else rows)
 
 
 def _reports(c: Ctx, on_error="skip"):
@@ -156,7 +157,7 @@ def q_annotate_recorded(spark, sf_dir):
 
 
 def _history(c: Ctx):
-    return history_store_rows(c.arts, c.responses, EFFECT, **c.kw())
+    return history_store_rows(c.arts, c.responses, EFFECT, HISTORY_RUNS, **c.kw())
 
 
 def q_latest_analysis(spark, sf_dir):
@@ -180,7 +181,6 @@ def q_plan_topics(spark, sf_dir):
 
 
 def _history_topic_rows():
-    from quire.plans.answer import HISTORY_RUNS
     return [(r[0], r[1], r[2], r[3], r[4], False) for r in HISTORY_RUNS]
 
 
@@ -345,7 +345,7 @@ STORE_RUN_1 = _dt.datetime(2024, 5, 1)
 def _write_article_store(c: Ctx) -> str:
     """Two runs into a fresh store: the history topics, then the answer topics."""
     from quire.operators.store import store_articles
-    from quire.plans.answer import HISTORY_RUNS, stored_articles_of_run
+    from quire.plans.answer import stored_articles_of_run
     from quire.session import fresh_path
     path = fresh_path(c.spark, "article_store")
     hist = [(r[0], r[1], r[2], r[3], r[4], False) for r in HISTORY_RUNS]
@@ -405,13 +405,13 @@ def q_scan_analyses(spark, sf_dir):
 
 def q_report_json(spark, sf_dir):
     from quire.operators.report import report_json
+    from quire.schemas import REPORT
     from quire.session import fresh_path
     c = Ctx(spark, sf_dir)
     r, _ = _reports(c)
     path = fresh_path(spark, "reports_json")
     report_json(r).select("json").write.text(path)
-    schema = r.schema
-    back = spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+    back = spark.read.text(path).select(F.from_json("value", REPORT).alias("r")).select("r.*")
     return back.select("topic_id", "total_papers", "positive_effects",
                        F.array_join("key_findings", "|").alias("key_findings"),
                        flat_articles().alias("articles"), "content", "status")
@@ -481,27 +481,6 @@ def q_annotate_lexicon(spark, sf_dir):
                     F.array_join("findings", "|").alias("findings"), "conclusion")
 
 
-def cue_model(prompts):
-    """A stand-in caller model for K3: counts cue words in each prompt and
-    answers with a JSON object (runs in Python workers via mapInPandas)."""
-    import json
-
-    import regex
-
-    from quire.functions.text import token_pattern
-    rule = regex.compile(token_pattern(r"\p{{{}}}"))
-    out = []
-    for p in prompts:
-        toks = rule.findall((p or "").lower())
-        score = sum(t in LEXICON_POSITIVE for t in toks) - sum(t in LEXICON_NEGATIVE for t in toks)
-        eff = "positive" if score > 0 else "negative" if score < 0 else "neutral"
-        mag = abs(score)
-        strength = "strong" if mag >= 5 else "moderate" if mag >= 2 else "weak"
-        out.append("Result: " + json.dumps({"effect_type": eff, "evidence_strength": strength,
-                                            "findings": [f"score {score}"]}))
-    return out
-
-
 def q_annotate_model(spark, sf_dir):
     from quire.operators.annotate import annotate_with
     c = Ctx(spark, sf_dir)
@@ -511,15 +490,9 @@ def q_annotate_model(spark, sf_dir):
                     F.array_join("findings", "|").alias("findings"))
 
 
-# Cue words that occur in the synthetic corpus.
-LEXICON_POSITIVE = ("er", "ing")
-LEXICON_NEGATIVE = ("ed", "tion")
-
-
 # ------------------------------------------------------------------ phrases, write-back, tools, bad rows
 
 def q_match_topics_phrase(spark, sf_dir):
-    from quire.sources.topics import PHRASE_EFFECTS, PHRASE_TOPICS
     c = Ctx(spark, sf_dir)
     return match_topics(c.arts, c.topics(PHRASE_TOPICS), PHRASE_EFFECTS, dt=c.dt).select("topic_id", "pmid", "score")
 

@@ -39,10 +39,6 @@ TOPIC = T.StructType([
     _f("start_year", I), _f("end_year", I), _f("refresh", T.BooleanType()),
 ])
 
-RESPONSE = T.StructType([
-    _f("topic_id", I), _f("pmid", S, False), _f("response", S),
-])
-
 REPORT_ARTICLE = T.StructType([
     _f("rank", I), _f("pmid", S), _f("title", S), _f("conclusion", S),
     _f("effect_type", S), _f("evidence_strength", S),
@@ -54,5 +50,5 @@ REPORT = T.StructType([
     _f("negative_effects", L), _f("neutral_effects", L),
     _f("key_findings", STRS), _f("evidence_summary", S),
     _f("articles", T.ArrayType(REPORT_ARTICLE)), _f("analysis_date", TS),
-    _f("provenance", S), _f("status", S),
+    _f("provenance", S), _f("status", S), _f("content", S), _f("failed_annotations", L),
 ])

@@ -29,28 +29,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target)
 
 
-def _pad2(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 2, "0")
-
-
-def raw_date(doc_id: Column) -> Column:
-    """The stand-in MEDLINE ``DP`` string of a document (seven shapes)."""
-    y = (F.lit(1990) + F.pmod(doc_id, F.lit(35))).cast("string")
-    mm = _pad2(F.lit(1) + F.pmod(doc_id, F.lit(12)))
-    dd = _pad2(F.lit(1) + F.pmod(doc_id, F.lit(28)))
-    kind = F.pmod(doc_id, F.lit(7))
-    return (F.when(kind == 0, F.concat(y, F.lit("-"), mm, F.lit("-"), dd))
-            .when(kind == 1, F.concat(y, F.lit("/"), mm))
-            .when(kind == 2, y)
-            .when(kind == 3, F.concat(y, F.lit(" Jan 15")))
-            .when(kind == 4, F.concat(y, F.lit("Spring")))
-            .when(kind == 5, F.lit(""))
-            .otherwise(F.concat(y, F.lit("-13-01"))))
-
-
-def articles(documents: DataFrame,
-             fallback: _dt.datetime = DEFAULT_FALLBACK) -> DataFrame:
-    """Article rows (``ARTICLE`` schema plus ``doc_id`` and raw ``dp``)."""
+def articles(documents: DataFrame, fallback: _dt.datetime = DEFAULT_FALLBACK,
+             dp: Column | None = None) -> DataFrame:
+    """Article rows (``ARTICLE`` schema plus ``doc_id`` and raw ``dp``). ``dp``:
+    the raw publication date over the documents' columns (default: none)."""
+    dp = F.lit("") if dp is None else dp
     text = F.coalesce(F.col("text"), F.lit(""))
     title = F.split_part(text, F.lit("\n"), F.lit(1))
     d = F.col("doc_id")
@@ -65,7 +48,7 @@ def articles(documents: DataFrame,
                 F.array().cast("array<string>").alias("authors"),
                 F.coalesce(F.col("source"), F.lit("")).alias("journal"),
                 F.array(F.coalesce(F.col("lang"), F.lit(""))).alias("keywords"),
-                raw_date(d).alias("dp"))
+                dp.alias("dp"))
             .withColumn("publication_date_parsed", parse_pub_date(F.col("dp")))
             .withColumn("publication_date",
                         with_fallback(F.col("publication_date_parsed"), fallback))

@@ -8,39 +8,14 @@ from pyspark.sql import functions as F
 from quire.functions.text import is_blank
 from quire.schemas import TOPIC
 
-# Topics with phrases and letters beyond a-z that occur in the synthetic corpus.
-PHRASE_TOPICS = [
-    (0, "Thanedble the", "of the", None, None, False),
-    (1, "anea eriner thanea", "the and", None, None, False),
-    (2, "für", "und der", None, None, False),
-    (3, "de la", "ré", None, None, False),
-    (4, "the the", "is", 2000, None, False),
-    (5, "the of anea eriner", "für", None, None, False),
-    (6, "维生素D", "抑郁症", None, None, False),
-]
-PHRASE_EFFECTS = ("er", "attion to", "la de")
-
-# Topics of the test fixtures: (topic_id, compound, disease, start, end, refresh).
-FIXTURE_TOPICS = [
-    (0, "ther", "ble", None, None, False),
-    (1, "thth", "tion", 2000, None, False),
-    (2, "thon", "thble", None, 2010, False),
-    (3, "der", "und", 1995, 2015, False),
-    (4, "than", "thre", 0, 0, False),
-    (5, "le", "que", None, None, False),
-    (6, "quercetin", "cancer", None, None, False),
-]
-# Effect terms that occur in the synthetic corpus (the default three do not).
-FIXTURE_EFFECT_TERMS = ("er", "ing", "ed")
-
-
-def topics_frame(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows if rows is not None else FIXTURE_TOPICS, TOPIC)
+
+def topics_frame(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame(rows, TOPIC)
 
 
 def read_topics(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A topic table from files (Parquet, CSV, JSON, ...), with the declared
-    schema; an optional ``pmids`` column of a Parquet or JSON table is kept."""
+    schema; an optional ``pmids`` column of a Parquet table is kept."""
     reader = spark.read.format(fmt).options(**options)
     if fmt == "parquet":
         found = reader.load(path)
@@ -52,7 +27,3 @@ def read_topics(spark: SparkSession, path: str, fmt: str = "parquet", **options)
 def valid_topics(topics: DataFrame) -> DataFrame:
     """P5: blank compound or disease is rejected."""
     return topics.filter(~is_blank(F.col("compound")) & ~is_blank(F.col("disease")))
-
-
-def invalid_topics(topics: DataFrame) -> DataFrame:
-    return topics.filter(is_blank(F.col("compound")) | is_blank(F.col("disease")))

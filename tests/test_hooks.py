@@ -54,7 +54,7 @@ def test_validation_split(spark):
 
 def test_tools_chain_with_transform(spark, ctx001):
     from quire.tools import search_literature
-    from quire.sources.topics import FIXTURE_EFFECT_TERMS
+    from quire.fixtures import FIXTURE_EFFECT_TERMS
     r = ctx001.topics().transform(search_literature, ctx001.arts, 3, FIXTURE_EFFECT_TERMS)
     assert r.groupBy("topic_id").count().filter("count > 3").count() == 0
     assert r.count() > 0

@@ -1,7 +1,6 @@
 """P1/J6 including multi-word (phrase) terms, checked against brute force."""
 import re
 
-from pyspark.sql import functions as F
 
 from quire.operators.match import match_topics
 from quire.sources.corpus import articles
@@ -46,7 +45,7 @@ def test_phrase_match(spark):
 
 def test_postings_index_gives_same_matches(spark, ctx001):
     from quire.operators.match import build_index, topic_vocabulary
-    from quire.sources.topics import FIXTURE_EFFECT_TERMS
+    from quire.fixtures import FIXTURE_EFFECT_TERMS
     t = ctx001.topics()
     words = topic_vocabulary(t, FIXTURE_EFFECT_TERMS).unionByName(spark.createDataFrame([("unused",)], "token string"))
     idx = build_index(ctx001.dt, words)
@@ -85,7 +84,7 @@ def test_a_topic_without_a_token_is_an_error_not_a_zero_report(spark):
 def test_topics_that_match_nothing_emit_no_rows(spark, ctx001):
     """Rows leaving the candidate join are bounded by the rarest token."""
     from quire.operators.match import build_index, topic_vocabulary
-    from quire.sources.topics import FIXTURE_EFFECT_TERMS
+    from quire.fixtures import FIXTURE_EFFECT_TERMS
     topics = spark.createDataFrame([(i, f"absent{i}", "ther", None, None, False) for i in range(200)], TOPIC)
     out = match_topics(ctx001.arts, topics, FIXTURE_EFFECT_TERMS, dt=ctx001.dt,
                        index=build_index(ctx001.dt, topic_vocabulary(topics, FIXTURE_EFFECT_TERMS)))

@@ -1,7 +1,6 @@
 """First write wins; store twice = store once; append-only log."""
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from quire.operators.store import (article_rows, create_store, read_store, store_analyses,
                                    store_articles)
