@@ -73,8 +73,12 @@ def postings(dt: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, pmid, year, dl, token, tf, pos) of the tokens of ``vocabulary``
     (column token) and one ``DOC_ROW`` per document; ``pos`` are positions."""
     marker = vocabulary.sparkSession.createDataFrame([(DOC_ROW,)], "token string")
-    rows = dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
-                     F.posexplode(F.concat("toks", F.array(F.lit(DOC_ROW)))).alias("pos", "token"))
+    # Two selects: the exploded rows must not carry the token array along. The
+    # outer explode (no array is empty) keeps Spark from adding a filter on the
+    # array, which would tokenise the text once more.
+    rows = (dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
+                      F.concat("toks", F.array(F.lit(DOC_ROW))).alias("marked"))
+            .select("doc_id", "pmid", "year", "dl", F.posexplode_outer("marked").alias("pos", "token")))
     rows = rows.join(vocabulary.select("token").unionByName(marker).distinct(), "token", "left_semi")
     return (rows.groupBy("doc_id", "pmid", "year", "dl", "token")
             .agg(F.collect_list("pos").alias("pos")).withColumn("tf", F.size("pos")))
