@@ -13,7 +13,8 @@ used up; then up to ``FILL`` documents that leave the smallest gap are added.
 
 Scale: the order is never sorted whole. The rank is mapped to (0, 1) and cut
 into ``BINS``; per source and bin one partial sum of words finds the bin where
-the sample ends, and only that bin's documents are sorted.
+the sample ends, and only that bin's documents are sorted. Joins with the
+source table split a source's rows over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from quire.session import cut_lineage
 MAX_COPIES = 3
 BINS = 4096
 FILL = 2
+SALTS = 32
 SEED = 9
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +65,14 @@ def targets(sources: DataFrame, budget: float | None = None, max_copies: int = M
     return sources.withColumn("target", F.least(limit.cast("double"), F.col("weight") * F.lit(level)))
 
 
+def by_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the source; the rows of one source are split over ``SALTS``
+    tasks, each with a copy of the source's single row."""
+    copies = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(ROW_ID), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(copies, ["key", "salt"], how).drop("salt")
+
+
 def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """``slim`` (row id, doc_id, source, size, tie and, if documents differ in
     weight, doc_weight) plus source_size, target, copies."""
@@ -80,7 +90,7 @@ def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = No
                                                                                 F.lit("null")))), 1, 13), 16, 10)
           .cast("double") + 0.5) / float(2**52))
     expected = F.least(F.col("rate") * F.col("doc_weight"), F.lit(float(MAX_COPIES)))
-    ranked = (slim.join(rate, "key").withColumn("u", u)
+    ranked = (by_source(slim, rate).withColumn("u", u)
               .withColumn("whole", F.floor(expected)).withColumn("p", expected - F.col("whole"))
               # q / (1 + q) of the Pareto rank q = odds(u) / odds(p): same order, within (0, 1).
               .withColumn("rank", F.when(F.col("p") > 0, F.col("u") * (1 - F.col("p"))
@@ -97,7 +107,7 @@ def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = No
            .agg(F.max(F.struct("bin", "before")).alias("x"), F.max("need").alias("need"))
            .select("key", F.col("x.bin").alias("cut_bin"), F.col("x.before").alias("before"), "need"))
     cut = cut_lineage(cut, "mix-cut")
-    placed = ranked.join(cut, "key", "left")
+    placed = by_source(ranked, cut, "left")
     order = ["rank", "doc_id", "size", "tie", ROW_ID]
     edge = (placed.where("p > 0 AND bin = cut_bin")
             .withColumn("upto", F.sum("size").over(Window.partitionBy("key").orderBy(*order)
@@ -111,7 +121,7 @@ def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = No
 
     for _ in range(FILL):
         gap = chosen.groupBy("key").agg((F.max("need") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
-        left = (chosen.where("extra = 0 AND p > 0").join(gap, "key")
+        left = (by_source(chosen.where("extra = 0 AND p > 0"), gap)
                 .withColumn("off", F.abs(F.col("gap") - F.col("size"))).where("off < abs(gap)"))
         add = left.groupBy("key").agg(F.min(F.struct("off", *order)).alias("x")).select(
             F.col(f"x.{ROW_ID}").alias(ROW_ID), F.lit(1).alias("fill"))
