@@ -9,9 +9,10 @@ from __future__ import annotations
 from quire.fixtures import FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, HISTORY_RUNS, PHRASE_EFFECTS, PHRASE_TOPICS
 
 NL = "chr(10)"
-# Runs of letters, marks and digits; single characters in unspaced scripts.
-_ONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_RUN = rf"[{_ONE}]|(?:[^\P{{L}}{_ONE}]|[\p{{M}}\p{{N}}])+"
+# Runs of letters, marks and digits; single characters in unspaced blocks.
+_ONE = (r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}"
+        r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}")
+_RUN = "[" + _ONE + "]|(?:" + "|".join(rf"[^\P{{{c}}}{_ONE}]" for c in "LMN") + ")+"
 
 
 def toks(x: str) -> str:

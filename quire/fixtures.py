@@ -111,8 +111,8 @@ def cue_model(prompts):
 
     import regex
 
-    from quire.functions.text import token_pattern
-    rule = regex.compile(token_pattern(r"\p{{{}}}"))
+    from quire.functions.text import TOKEN_RUN
+    rule = regex.compile(regex.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), TOKEN_RUN), regex.V1)
     out = []
     for p in prompts:
         toks = rule.findall((p or "").lower())

@@ -10,16 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Token rule: lower-case; a token is a run of letters, marks and digits of any
-# script, but a single character in scripts written without spaces (such terms
-# then match as phrases of adjacent characters).
-UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
-
-
-def token_pattern(script: str) -> str:
-    """The rule as a regular expression; ``script`` formats a script's name."""
-    unspaced = "".join(script.format(s) for s in UNSPACED)
-    return rf"[{unspaced}]|(?:[^\P{{L}}{unspaced}]|[\p{{M}}\p{{N}}])+"
-
+# script, but a single character in blocks of scripts written without spaces
+# (such terms then match as phrases of adjacent characters): Thai and Lao,
+# Myanmar, Khmer, kana, Han.
+UNSPACED = (r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}"
+            r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}")
+# One class per run, so that a run of any length is matched without recursion.
+TOKEN_RUN = rf"[{UNSPACED}]|[a-z0-9[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]]+"
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical results.
@@ -49,9 +46,6 @@ PROMPT_TEMPLATE = """
 # ---------------------------------------------------------------------------
 
 
-TOKEN_RUN = token_pattern(r"\p{{Is{}}}")
-
-
 def tokens(text: Column) -> Column:
     """array<string> of the lower-cased text's tokens, as one expression."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RUN), 0)

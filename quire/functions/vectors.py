@@ -39,7 +39,8 @@ def _unit_counts_udf(dim: int):
         out = pd.Series([None] * len(sizes), dtype=object)
         some = np.flatnonzero(sizes)
         if len(some):
-            flat = np.concatenate([buckets.iloc[i] for i in some]).astype(np.int64)
+            values = buckets.to_numpy()
+            flat = np.concatenate([values[i] for i in some]).astype(np.int64)
             rows = np.repeat(np.arange(len(some)), sizes[some])
             counts = np.bincount(rows * dim + flat, minlength=len(some) * dim).reshape(-1, dim).astype(np.float64)
             unit = counts / np.sqrt((counts * counts).sum(1, keepdims=True))

@@ -92,3 +92,16 @@ def test_topics_that_match_nothing_emit_no_rows(spark, ctx001):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "CartesianProduct" not in plan
+
+
+def test_tokens_of_long_runs_and_mixed_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions.text import tokens
+    texts = ["é" * 200_000, "x" * 200_000 + " y", "Ünï-code 12a ٣٤ naïve", "維生素D・ビタミン ไทย", None, "_-!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["k"] for r in df.select("i", tokens(F.col("t")).alias("k")).collect()}
+    assert got[0] == [texts[0]] and [len(x) for x in got[1]] == [200_000, 1]
+    assert got[2] == ["ünï", "code", "12a", "٣٤", "naïve"]
+    assert got[3] == ["維", "生", "素", "d", "・", "ビ", "タ", "ミ", "ン", "ไ", "ท", "ย"]
+    assert got[4] == got[5] == []
