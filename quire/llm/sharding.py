@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.llm.common import table
+from quire.llm.common import ROW_ID, number_rows, quoted, table, without
 from quire.session import cut_lineage
 
 N_SHARDS = 24
@@ -113,11 +113,11 @@ def assign(slim: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
             .drop("cell", "sub", "at", "total", "position"))
 
 
-def slim_rows(docs: DataFrame) -> DataFrame:
+def slim_rows(docs: DataFrame, *extra) -> DataFrame:
     """Size (UTF-8 bytes plus 8), checksum and dimensions of every row, no text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    return docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"),
+    return docs.select(*extra, "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"),
                        *(c.alias(f"d{i}") for i, c in enumerate(dimensions(size))))
 
 
@@ -133,6 +133,24 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     return assign(slim, n_shards).drop(*(f"d{i}" for i in range(DIMS)))
 
 
+def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Writes ``docs`` in folders ``shard=N``, rows in curve order and at most
+    ``rows_per_file`` to a task, and returns the manifest: per shard its rows
+    and the ranges of the dimensions, by which readers skip whole shards. An
+    input column named shard is replaced by the folder's number."""
+    numbered = number_rows(docs, "shard-docs")
+    placed = assign(cut_lineage(slim_rows(numbered, ROW_ID), "shard-rows"), n_shards)
+    own = [quoted(c) for c in without(numbered, ROW_ID, "shard", "__slot", "__file")]
+    rows = numbered.select(ROW_ID, *own).join(placed.select(ROW_ID, "shard", F.col("slot").alias("__slot")), ROW_ID)
+    rows = rows.withColumn("__file", F.expr(f"__slot DIV {rows_per_file}"))
+    (rows.repartition("shard", "__file").sortWithinPartitions("shard", "__slot")
+     .select(*own, "shard").write.partitionBy("shard").parquet(path))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size", "doc_id") for n, f in (("min", F.min), ("max", F.max))]
+    labels = numbered.select(ROW_ID, "source", "lang")
+    return (placed.select(ROW_ID, "shard", "size", "doc_id").join(labels, ROW_ID)
+            .groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ends))
+
+
 def op7(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",

@@ -218,6 +218,30 @@ def test_shards_odd_rows(odd, odd_docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_written_shards_are_pruned_in_every_dimension(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    manifest = sharding.write_shards(docs, str(tmp_path / "s"), 24, rows_per_file=20).collect()
+    assert sum(r.rows for r in manifest) == docs.count() and len(manifest) == 24
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert rows(back.drop("shard"), *docs.columns) == rows(docs, *docs.columns)
+    for r in back.groupBy("shard").agg({"doc_id": "min", "lang": "max"}).collect():
+        own = next(m for m in manifest if m.shard == r.shard)
+        assert (own.min_doc_id, own.max_lang) == (r["min(doc_id)"], r["max(lang)"])
+    hit = {
+        "lang": sum(m.min_lang <= "fr" <= m.max_lang for m in manifest),
+        "source": sum(m.min_source <= "src5" <= m.max_source for m in manifest),
+        "size": sum(m.max_size >= 16_000 for m in manifest),
+        "doc_id": sum(m.min_doc_id <= 100 for m in manifest),
+    }
+    assert all(n < 20 for n in hit.values()) and sum(hit.values()) < 60, hit
+
+
+def test_written_shards_of_odd_rows(odd, empty, spark, tmp_path):
+    assert sum(r.rows for r in sharding.write_shards(odd, str(tmp_path / "a"), 3, 2).collect()) == odd.count()
+    assert spark.read.parquet(str(tmp_path / "a")).count() == odd.count()
+    assert sharding.write_shards(empty, str(tmp_path / "b")).count() == 0
+
+
 # -- WARC -----------------------------------------------------------------------------
 
 def test_warc_round_trip(spark):
