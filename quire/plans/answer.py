@@ -46,6 +46,9 @@ def fetch_given(arts: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def _labelled(arts: DataFrame, topics: DataFrame, ranked: DataFrame) -> DataFrame:
+    # Written first: Spark then knows how few rows there are and scans the
+    # corpus against them instead of shuffling its texts.
+    ranked = cut_lineage(ranked, "ranked")
     fetched = fetch_articles(arts, ranked, keep=("topic_id", "rank", "score"))
     return fetched.join(topics.select("topic_id", "compound", "disease"), "topic_id")
 
@@ -57,6 +60,7 @@ def analyze_topics(arts: DataFrame, topics: DataFrame, effect_terms, responses:
     ``pmids`` column are analysed on those articles, others on a search."""
     fetched = (fetch_given(arts, topics) if "pmids" in topics.columns
                else fetch_ranked(arts, topics, effect_terms, k, **kw))
+    fetched = cut_lineage(fetched, "fetched")  # at most k rows per topic, read by both sides of the next join
     if annotator == "recorded":
         annotated = annotate_recorded(fetched, responses)
     elif annotator == "lexicon":

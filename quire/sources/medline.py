@@ -34,8 +34,9 @@ def _rstrip(c: Column) -> Column:
 
 def record_blocks(text: Column) -> Column:
     """One row per record block of a read block, line ends normalised."""
-    return F.explode(F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n\n+"),
-                              lambda b: F.regexp_replace(b, r"\s", "") != F.lit("")))
+    blocks = F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n\n+")
+    blocks = F.when(text.contains("\r") | text.contains("\n\n"), blocks).otherwise(F.array(text))
+    return F.explode_outer(blocks)
 
 
 def parse_records(blocks: Column) -> Column:
@@ -74,6 +75,7 @@ def read_medline(spark: SparkSession, path: str) -> DataFrame:
     """A3: one row per record block: (record array<struct<key, parts>>)."""
     return (spark.read.option("lineSep", RECORD_SEP).text(path)
             .select(record_blocks(F.col("value")).alias("block"))
+            .filter(F.regexp_replace("block", r"\s", "") != F.lit(""))
             .select(parse_records(F.col("block")).alias("record")))
 
 

@@ -36,6 +36,7 @@ def medline_stream(spark: SparkSession, src: str) -> DataFrame:
            .option("recursiveFileLookup", "true").load(src))
     raw = raw.select(F.struct("_metadata.file_modification_time", "_metadata.file_path",
                               "_metadata.file_block_start").alias("file"), record_blocks(F.col("value")).alias("block"))
+    raw = raw.filter(F.regexp_replace("block", r"\s", "") != F.lit(""))
     return map_medline(raw.select(parse_records(F.col("block")).alias("record"), "file"), keep=("file",))
 
 
