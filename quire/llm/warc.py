@@ -1,8 +1,8 @@
 """WARC records in ZIP-packaged archives: writer, and a reader without extraction.
 
-An archive is a ZIP of stored (uncompressed) members: ``archive/data.warc``
-with the records, ``indexes/index.cdxj`` with one line per record (target,
-date, offset, length, digest) and ``datapackage.json``. Each writing task
+An archive is a ZIP of stored members: ``archive/data.warc.gz`` with the
+records, each a gzip member of its own, ``indexes/index.cdxj`` with one line
+per record (target, date, offset, length, digest) and ``datapackage.json``. Each writing task
 fills archives of bounded size in the session's shared folder and returns a
 manifest row per finished archive; files of failed attempts are in no
 manifest. The manifest is a written table, so archives are written once.
@@ -19,6 +19,7 @@ an object store.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -35,11 +36,12 @@ from quire.llm.common import id_key, id_of, table
 from quire.session import checkpoint_root, cut_lineage
 
 MIN_REVISIT = 100          # bytes; smaller payloads are always stored
-ARCHIVE_BYTES = 64 << 20   # payload after which a task starts the next archive
+GZIP_LEVEL = 1
+ARCHIVE_BYTES = 64 << 20   # bytes of records after which a task starts the next archive
 ARCHIVE_RECORDS = 50_000
 RANGE_BYTES = 4 << 20      # bytes of records per read
 DATE = "1970-01-01T00:00:00Z"  # pages have no crawl date
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -178,7 +180,7 @@ class _Archive:
         self.records = 0
 
     def add(self, page_id, url, payload, digest, refers_to):
-        raw = record(page_id, url, payload, digest, refers_to)
+        raw = gzip.compress(record(page_id, url, payload, digest, refers_to), GZIP_LEVEL, mtime=0)
         self.data.write(raw)
         entry = {"offset": self.at, "length": len(raw), "digest": f"sha256:{digest}"}
         self.index.write(f"{target(url, page_id)} 19700101000000 {json.dumps(entry)}\n")
@@ -276,7 +278,7 @@ def _parse(batches):
             with fs.open_input_file(name) as f:
                 data, at = read_at(f, start, sum(lengths)), 0
             for n in lengths:
-                rows.append(parse_record(data[at:at + n]))
+                rows.append(parse_record(gzip.decompress(data[at:at + n])))
                 at += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
