@@ -72,7 +72,7 @@ DOC_ROW = ""
 def postings(dt: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, pmid, year, dl, token, tf, pos) of the tokens of ``vocabulary``
     (column token) and one ``DOC_ROW`` per document; ``pos`` are positions."""
-    marker = vocabulary.sparkSession.createDataFrame([(DOC_ROW,)], "token string")
+    marker = vocabulary.sparkSession.range(1).select(F.lit(DOC_ROW).alias("token"))
     # Two selects: the exploded rows must not carry the token array along. The
     # outer explode (no array is empty) keeps Spark from adding a filter on the
     # array, which would tokenise the text once more.
@@ -197,8 +197,9 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
 
     # The effect terms are the same for every topic: found once per document.
     places = post.select("doc_id", "token", "pos")
-    effects = (post.sparkSession.createDataFrame([(i, t) for i, t in enumerate(effect_terms)], "gidx int, term string")
-               .select(F.lit("effect").alias("kind"), "gidx", tokens(F.col("term")).alias("toks"))
+    named_effects = F.array(*(F.struct(F.lit(i).alias("gidx"), tokens(F.lit(t)).alias("toks"))
+                              for i, t in enumerate(effect_terms))).cast("array<struct<gidx:int,toks:array<string>>>")
+    effects = (post.sparkSession.range(1).select(F.lit("effect").alias("kind"), F.inline(named_effects))
                .select("kind", "gidx", F.size("toks").alias("glen"), F.posexplode("toks").alias("offset", "token")))
     with_effect = phrase_hits(places.join(effects, "token"), "doc_id").select("doc_id").distinct()
     pairs = pairs.join(with_effect, "doc_id", "left_semi")
