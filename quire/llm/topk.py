@@ -28,11 +28,10 @@ K = 20
 SCALE = 64
 PIVOTS = 16
 PIVOT_POOL = 512       # rows (of smallest id hash) among which pivots are chosen
-BLOCK = 1024           # candidates per block
+BLOCK = 4096           # candidates per block
 QUERY_BLOCK = 2048     # queries per block
 SPLITS = 8             # tasks that share a query block
-STEP = 128             # candidates evaluated at a time, in bound order
-_EXACT = 1 << 20       # components below this are exact in double products
+STEP = 128             # candidates evaluated first, in bound order; then twice as many each time
 
 
 def integer_rows(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -73,7 +72,7 @@ def _pack(dim: int, pivots: np.ndarray, size: int):
         far = np.sqrt(((d[:, None, :] - pivots[None]) ** 2).sum(2)).astype(np.float32)
         top = int(np.abs(v).max(initial=0))
         kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max)
-        return (np.dtype(kind).str, ids.tobytes(), v.astype(kind).tobytes(), (d * d).sum(1).tobytes(), far.tobytes())
+        return (np.dtype(kind).str, ids.tobytes(), v.astype(kind).tobytes(), (d * d).sum(1).tobytes(), far.T.tobytes())
 
     def run(batches):
         ids, rows = np.empty(0, np.int64), np.empty((0, dim), np.int64)
@@ -97,36 +96,50 @@ class _Block:
     def __init__(self, row: dict, dim: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
         v = np.frombuffer(row["vectors"], row["kind_of"]).reshape(len(self.ids), dim)
-        self.small = v.dtype.itemsize < 4 or (len(v) and int(np.abs(v.astype(np.int64)).max(initial=0)) < _EXACT)
-        self.v = v.astype(np.float64 if self.small else np.int64)
+        self.v, self.top, self._as = v, int(np.abs(v.astype(np.int64)).max(initial=0)), {}
         self.norms = np.frombuffer(row["norms"], np.float64)
-        self.far = np.frombuffer(row["far"], np.float32).reshape(len(self.ids), -1)
+        # One row per pivot, so that the maximum over pivots runs along memory.
+        self.far = np.frombuffer(row["far"], np.float32).reshape(-1, max(1, len(self.ids)))
 
-    def ints(self):
-        return self.v.astype(np.int64)
+    def values(self, kind):
+        """The vectors as ``kind``, converted once."""
+        if kind not in self._as:
+            self._as[kind] = self.v.astype(kind)
+        return self._as[kind]
+
+
+def exact_type(q: _Block, c: _Block):
+    """The cheapest type in which all inner products of two blocks are exact
+    (beyond doubles: 64-bit integers, which hold any score that is a long)."""
+    most = q.top * c.top * q.v.shape[1]
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
 def search_block(q: _Block, c: _Block, best: list, k: int) -> int:
     """Updates ``best`` (per query: scores, ids by rank) with one candidate
     block; returns how many candidates were evaluated."""
-    exact = q.small and c.small
-    qv, cv = (q.v, c.v) if exact else (q.ints(), c.ints())
+    kind = exact_type(q, c)
+    qv, cv = q.values(kind), c.values(kind)
     slack = 1e-3 + 1e-5 * (q.norms.max(initial=0) + c.norms.max(initial=0))  # float32 distances
     evaluated = 0
     for i in range(len(q.ids)):
         scores, ids = best[i]
         least = scores[-1] if len(scores) == k else -np.inf
-        low = np.abs(c.far - q.far[i]).max(1).astype(np.float64)
+        low = np.abs(c.far - q.far[:, i, None]).max(0).astype(np.float64)
         high = (q.norms[i] + c.norms - low * low) / 2 + slack
         left = np.flatnonzero((high >= least) & (c.ids != q.ids[i]))
         left = left[np.argsort(-high[left])]
-        for lo in range(0, len(left), STEP):
-            part = left[lo:lo + STEP]
-            if high[part[0]] < least:
-                break
+        lo, step = 0, STEP
+        while lo < len(left) and high[left[lo]] >= least:
+            part = left[lo:lo + step]
+            lo, step = lo + step, 2 * step
             evaluated += len(part)
-            s = np.concatenate([scores, (cv[part] @ qv[i]).astype(np.int64)])
-            n = np.concatenate([ids, c.ids[part]])
+            new = cv[part] @ qv[i]
+            good = new >= least
+            if not good.any():
+                continue
+            s = np.concatenate([scores, new[good].astype(np.int64)])
+            n = np.concatenate([ids, c.ids[part[good]]])
             top = np.lexsort((n, -s))[:k]
             scores, ids = s[top], n[top]
             least = scores[-1] if len(scores) == k else -np.inf
