@@ -118,6 +118,30 @@ def test_line_frequency_rejects_depleted_documents_and_cuts_lines(spark):
     assert all(footer in clean[i] for i in range(400, 410)) and clean[200] == copy
 
 
+@pytest.mark.parametrize("n_lines", [12, 20])
+def test_pages_of_a_template_with_many_lines_are_depleted(spark, n_lines):
+    random.seed(n_lines)
+    word = lambda: "".join(random.choices("abcdefgh", k=6))
+    body = lambda n: " ".join(word() for _ in range(n))
+    template = [body(12) for _ in range(n_lines)]
+    docs = [(i, "\n".join([*template, body(20)]), "h") for i in range(300)]
+    docs += [(1000 + i, "\n".join(body(20) for _ in range(5)), "h") for i in range(300)]
+    docs += [(2000 + i, "\n".join([*template, body(20)]), "few") for i in range(20)]   # not above MIN_DOCS
+    copy = [body(20) for _ in range(6)]
+    for i in range(60):                                                               # near copies are few documents
+        at = i % 6
+        docs.append((3000 + i, "\n".join([*copy[:at], f"{copy[at]} {word()}", *copy[at + 1:]]), "near"))
+    # 8 % of a host's rows, but 20 % of its documents once copies count as one
+    docs += [(4000 + i, f"{template[0]}\n{body(60)}", "copies") for i in range(40)]
+    bodies = [body(30) for _ in range(160)]
+    docs += [(5000 + i, bodies[i % 160], "copies") for i in range(460)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert not any(i in clean for i in range(300))
+    assert all(clean[i] == t for i, t, _ in docs if 1000 <= i < 4000 or i >= 5000)
+    assert not any(template[0] in clean[4000 + i] for i in range(40))
+
+
 # -- mixing -----------------------------------------------------------------------
 
 def test_mix_meets_targets(docs_table, docs):
