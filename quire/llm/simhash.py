@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import ROW_ID, id_key, id_of, quoted, table, without
+from quire.llm.common import ROW_ID, id_key, id_of, number_rows, quoted, table, without
 from quire.llm.components import components
 from quire.session import cut_lineage
 
@@ -60,12 +60,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, fp) per row: the id (``NULL_ID`` for null) and the signed fingerprint."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *extra) -> DataFrame:
+    """(doc, fp) per row: the id (``NULL_ID`` for null) and the signed
+    fingerprint, and the columns ``extra``."""
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, shingle)) for t in text], dtype="int64")
-    return docs.select(id_key().alias("doc"), fp("text").alias("fp"))
+    return docs.select(id_key().alias("doc"), fp("text").alias("fp"), *extra)
 
 
 # -- anchors -------------------------------------------------------------------
@@ -156,6 +157,19 @@ def _compare(max_bits: int):
 
 # -- groups --------------------------------------------------------------------
 
+def _roots(prints: DataFrame, first, max_bits: int) -> DataFrame:
+    """(fp, root, first) per distinct fingerprint of the written table
+    ``prints``: the group's root and the fingerprint's aggregate ``first``."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("the anchors cover at most 3 differing bits")
+    nodes = cut_lineage(prints.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    links = (nodes.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+             .repartition("anchor").sortWithinPartitions("anchor")
+             .mapInArrow(_compare(max_bits), "a long, b long"))
+    return nodes.join(components(links), F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("component", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc, fp, component) per row of ``docs``: ids as ``id_key`` gives them,
     ``component`` the smallest id reachable over links, itself included.
@@ -165,31 +179,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     where rows share an id. An empty table gives an empty table. The covering
     holds for ``max_bits`` up to 3.
     """
-    if not 0 <= max_bits <= 3:
-        raise ValueError("the anchors cover at most 3 differing bits")
     prints = cut_lineage(fingerprints(docs, shingle), "simhash")
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc").alias("least")), "simhash-nodes")
-    links = (nodes.select("fp").mapInArrow(_replicate, "anchor long, fp long")
-             .repartition("anchor").sortWithinPartitions("anchor")
-             .mapInArrow(_compare(max_bits), "a long, b long"))
-    groups = nodes.join(components(links), F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = groups.groupBy("root").agg(F.min("least").alias("component"))
+    groups = _roots(prints, F.min("doc"), max_bits)
+    least = groups.groupBy("root").agg(F.min("first").alias("component"))
     final = groups.join(least, "root").select("fp", "component")
     return prints.join(final, "fp").select("doc", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id (of
-    rows that repeat it, the one with the smallest text hash)."""
-    from pyspark.sql import Window
-
-    keep = (near_duplicates(docs, shingle, max_bits).where("doc = component")
-            .select(F.col("doc").alias("__doc")).distinct())
-    cols = without(docs, "__doc", "__first", ROW_ID)
-    first = F.row_number().over(Window.partitionBy("__doc").orderBy(F.xxhash64("text"), F.col("text")))
-    return (docs.select(*map(quoted, cols), id_key().alias("__doc")).join(keep, "__doc", "left_semi")
-            .withColumn("__first", first).where("__first = 1").select(*map(quoted, cols)))
+    """``docs`` with one row of each group: that of the smallest doc_id, null
+    last (of rows that repeat it, the one with the smallest text hash). Groups
+    are of rows, so rows of different groups stay, whatever their ids."""
+    numbered = number_rows(docs, "simhash-docs")
+    prints = cut_lineage(fingerprints(numbered, shingle, F.xxhash64("text").alias("hash"), F.col(ROW_ID)), "simhash")
+    groups = _roots(prints, F.min(F.struct("doc", "hash", ROW_ID)), max_bits)
+    keep = groups.groupBy("root").agg(F.min("first").alias("x")).select(F.col(f"x.{ROW_ID}").alias(ROW_ID))
+    return numbered.join(keep, ROW_ID, "left_semi").select(*map(quoted, without(docs, ROW_ID)))
 
 
 def op10(spark, sf_dir):

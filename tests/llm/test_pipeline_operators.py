@@ -61,6 +61,18 @@ def test_simhash_odd_rows(odd, odd_docs, empty):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == first and kept.count() == len(first)
 
 
+def test_rows_without_or_with_equal_ids_stay_unless_their_texts_are_near(spark):
+    random.seed(5)
+    text = lambda: " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(40))
+    nulls, repeated, other = [text() for _ in range(5)], [text() for _ in range(4)], text()
+    docs = [(None, t, i) for i, t in enumerate(nulls)] + [(7, t, 0) for t in repeated] + [(8, other, 0)]
+    docs += [(None, other, 1), (None, nulls[0], 9), (7, nulls[1], 0), (9, nulls[1], 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, component int")
+    got = simhash.drop_near_duplicates(df)
+    want = [(None, t) for t in nulls if t != nulls[1]] + [(7, t) for t in [*repeated, nulls[1]]] + [(8, other)]
+    assert rows(got, "doc_id", "text") == sorted(want, key=str) and got.columns == df.columns
+
+
 def test_anchors_meet_for_every_half_within_one_bit():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**32, 500, dtype=np.uint32)
