@@ -8,13 +8,16 @@ Copies: a document expects ``target / source size`` copies (times its own
 relative weight, if a weight column is given). Its whole part is certain; the
 rest ``p`` is its inclusion probability in a sample whose size in words is
 fixed. The sample is Pareto's: rank by ``(u / (1 - u)) / (p / (1 - p))`` with
-``u`` a hash of the id, and take documents in that order until the words are
-used up; then up to ``FILL`` documents that leave the smallest gap are added.
+``u`` a hash of the id, and go down that order, taking every document that
+fits in the words still needed, until none fits. One larger document is added
+at last where that leaves a smaller gap.
 
 Scale: the order is never sorted whole. The rank is mapped to (0, 1) and cut
 into ``BINS``; per source and bin one partial sum of words finds the bin where
-the sample ends, and only that bin's documents are sorted. Joins with the
-source table split a source's rows over ``SALTS`` tasks.
+a document first does not fit, and only that bin's documents are sorted. The
+next round does the same with the documents behind that are no larger than
+what is still needed, few after the first rounds. Joins with the source table
+split a source's rows over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from quire.session import cut_lineage
 
 MAX_COPIES = 3
 BINS = 4096
-FILL = 2
 SALTS = 32
 SEED = 9
+ORDER = ["rank", "doc_id", "size", "tie", ROW_ID]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,36 +102,47 @@ def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = No
               .withColumn("bin", F.floor(F.col("rank") * BINS).cast("int")))
     ranked = cut_lineage(ranked, "mix-ranked")
 
-    need = ranked.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
-    by_bin = ranked.where("p > 0").groupBy("key", "bin").agg(F.sum("size").alias("words"))
+    need = cut_lineage(ranked.groupBy("key").agg(
+        (F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")), "mix-need")
+    left, taken = ranked.where("p > 0").select("key", "bin", *ORDER), None
+    while True:
+        now = cut_lineage(_fitting(left, need).select("key", "size", ROW_ID), "mix-taken")
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.groupBy("key").agg(F.sum("size").alias("used"))
+        need = cut_lineage(need.join(used, "key", "left").select(
+            "key", (F.col("need") - F.coalesce("used", F.lit(0))).alias("need")), "mix-need")
+        # Documents of size 0 fill nothing, so they are taken in the first round or not at all.
+        left = cut_lineage(by_source(left.where("size > 0").join(now.select(ROW_ID), ROW_ID, "left_anti"), need)
+                           .where("size <= need").drop("need"), "mix-left")
+        if left.isEmpty():
+            break
+    taken = taken.select(ROW_ID, F.lit(1).alias("extra"))
+    chosen = cut_lineage(ranked.join(taken, ROW_ID, "left").withColumn("extra", F.coalesce("extra", F.lit(0))), "mix-chosen")
+
+    # All that are left are larger than the need: the nearest one, if that leaves less.
+    more = (by_source(chosen.where("extra = 0 AND p > 0 AND size > 0"), need)
+            .withColumn("off", F.col("size") - F.col("need")).where("off < need")
+            .groupBy("key").agg(F.min(F.struct("off", *ORDER)).alias("x"))
+            .select(F.col(f"x.{ROW_ID}").alias(ROW_ID), F.lit(1).alias("more")))
+    chosen = chosen.join(more, ROW_ID, "left").withColumn("extra", F.coalesce("more", "extra")).drop("more")
+    return chosen.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+
+
+def _fitting(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """Of ``rows`` (key, bin and ``ORDER``) those ahead of the first of their
+    source that does not fit in its need."""
+    by_bin = rows.groupBy("key", "bin").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cut = (by_bin.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(need, "key")
            .where("before <= need").groupBy("key")
            .agg(F.max(F.struct("bin", "before")).alias("x"), F.max("need").alias("need"))
            .select("key", F.col("x.bin").alias("cut_bin"), F.col("x.before").alias("before"), "need"))
-    cut = cut_lineage(cut, "mix-cut")
-    placed = by_source(ranked, cut, "left")
-    order = ["rank", "doc_id", "size", "tie", ROW_ID]
-    edge = (placed.where("p > 0 AND bin = cut_bin")
-            .withColumn("upto", F.sum("size").over(Window.partitionBy("key").orderBy(*order)
+    placed = by_source(rows, cut_lineage(cut, "mix-cut"))
+    edge = (placed.where("bin = cut_bin")
+            .withColumn("upto", F.sum("size").over(Window.partitionBy("key").orderBy(*ORDER)
                                                    .rowsBetween(Window.unboundedPreceding, 0)))
-            .where("before + upto <= need").select(ROW_ID, F.lit(1).alias("at_edge")))
-    chosen = cut_lineage(
-        placed.join(edge, ROW_ID, "left")
-        .withColumn("extra", F.when((F.col("p") > 0) & ((F.col("bin") < F.col("cut_bin"))
-                                                        | F.col("at_edge").isNotNull()), 1).otherwise(0))
-        .select(*ranked.columns, "need", "extra"), "mix-chosen")
-
-    for _ in range(FILL):
-        gap = chosen.groupBy("key").agg((F.max("need") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
-        left = (by_source(chosen.where("extra = 0 AND p > 0"), gap)
-                .withColumn("off", F.abs(F.col("gap") - F.col("size"))).where("off < abs(gap)"))
-        add = left.groupBy("key").agg(F.min(F.struct("off", *order)).alias("x")).select(
-            F.col(f"x.{ROW_ID}").alias(ROW_ID), F.lit(1).alias("fill"))
-        chosen = cut_lineage(
-            chosen.join(add, ROW_ID, "left").withColumn("extra", F.coalesce("fill", "extra")).drop("fill"),
-            "mix-filled")
-    return chosen.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+            .where("before + upto <= need").select(*rows.columns))
+    return placed.where("bin < cut_bin").select(*rows.columns).unionByName(edge)
 
 
 def _slim(docs: DataFrame):

@@ -186,6 +186,23 @@ def test_mix_orders_by_odds_and_takes_whole_copies(spark):
     assert {r.copies for r in mixing.plan_mix(slim.drop("doc_weight"), budget=50_000.0).collect()} == {2, 3}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_goes_on_behind_a_document_that_does_not_fit(spark, seed):
+    sizes = [300] * 200 + [50_000] + [7] * 20
+    docs = spark.createDataFrame([(i, n, "a", str(i)) for i, n in enumerate(sizes)],
+                                 "doc_id long, size long, source string, tie string")
+    plan = mixing.plan_mix(mixing.number_rows(docs, "t"), budget=40_000.0, seed=seed).collect()
+    # The long document fits nowhere; the rest is the order walked one by one.
+    need, want = 40_000, set()
+    for r in sorted(plan, key=lambda r: (r.rank, r.doc_id)):
+        if r.size <= need:
+            need -= r.size
+            want.add(r.doc_id)
+    got = {r.doc_id for r in plan if r.copies}
+    assert want <= got and len(got - want) <= 1
+    assert abs(sum(r.size * r.copies for r in plan) - 40_000) <= 150
+
+
 def test_mix_odd_rows(odd, odd_docs, empty):
     got = mixing.mix_plan(odd).collect()
     assert len(got) == len(odd_docs) and all(r.taken <= 3 * r.size for r in got)
