@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL, where SQL can say it."""
 
-from quire.llm import bpe, language, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, topk, warc
+from quire.llm import (bpe, divergence, exact_dedup, language, line_dedup, mixing, periods, quality, sharding,
+                       simhash, suffix_dedup, topk, warc)
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -13,10 +14,15 @@ QUERIES = {
     "op8_warc": warc.op8,
     "op9_mixing": mixing.op9,
     "op10_simhash": simhash.op10,
+    "op11_periods": periods.op11,
+    "op12_exact_dedup": exact_dedup.op12,
+    "op13_divergence": divergence.op13,
 }
 
 ORACLE = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_topk": topk.OP3_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op12_exact_dedup": exact_dedup.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }

@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import xxhash
 
@@ -144,3 +145,84 @@ def components(docs):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def smallest_period(w):
+    fail, k = [0] * len(w), 0
+    for i in range(1, len(w)):
+        while k and w[i] != w[k]:
+            k = fail[k - 1]
+        k += w[i] == w[k]
+        fail[i] = k
+    return len(w) - fail[-1] if w else 0
+
+
+def periodic_runs(w):
+    out = []
+    for q in range(1, len(w) // 3 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            n = j - i + q
+            if n >= max(24, 3 * q) and smallest_period(w[i:i + n]) == q:
+                out.append((i, n, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periods(docs):
+    out = []
+    for d in docs:
+        w = words(d["text"])
+        h = zlib.crc32(("" if d["doc_id"] is None else str(d["doc_id"])).encode())
+        n, g = len(w), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = periodic_runs(w)
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None,) * 3
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        out.append((d["doc_id"], len(runs), *best, 1000 * best[1] // best[2] if runs else None,
+                    sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)),
+                    sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
+
+
+def exact_dedup(docs):
+    key = lambda i: (i is not None, i or 0)
+    texts = [(d["text"] or "").translate(LOW) for d in docs]
+    groups = defaultdict(list)
+    for d, t in zip(docs, texts):
+        groups[t].append(d["doc_id"])
+    return [(d["doc_id"], max(groups[t], key=key), len(groups[t]), sha(t)) for d, t in zip(docs, texts)]
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(docs, min_docs=30, top=50):
+    counts, held = defaultdict(Counter), defaultdict(Counter)
+    for d in docs:
+        lang, source = d["lang"] or "", d["source"] or ""
+        terms = TERM.findall((d["text"] or "").translate(LOW))
+        counts[lang, source].update(terms)
+        held[lang].update(set(terms))
+    kept = {lang: [t for t, n in c.items() if n >= min_docs] for lang, c in held.items()}
+
+    def shares(lang, c):
+        total, v = sum(c[t] for t in kept[lang]), len(kept[lang])
+        return {t: 1 + 10**9 * (c[t] + 5) // (total + 5 * v) for t in kept[lang]}
+    p = {g: shares(g[0], c) for g, c in counts.items()}
+    q = {lang: shares(lang, sum((counts[g] for g in counts if g[0] == lang), Counter())) for lang in kept}
+    out = []
+    for lang, source in counts:
+        own = p[lang, source]
+        pair = [(-sum(abs(own[t] - p[lang, s][t]) for t in own), s) for x, s in counts if x == lang and s != source]
+        term = [(q[lang][t] - own[t], t) for t in own if counts[lang, source][t] and own[t] > q[lang][t]]
+        for part, items, most in (("pair", pair, None), ("term", term, top)):
+            items.sort(key=lambda x: (x[0], x[1].encode()))
+            out += [(lang, source, part, t, -v, i + 1) for i, (v, t) in enumerate(items[:most])]
+    return out
