@@ -35,6 +35,8 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # All stores of an executor share one bounded block cache and write buffer.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # A store per state partition: files are not padded in advance.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # A batch uploads its changes, not whole snapshots.
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
