@@ -1,31 +1,32 @@
-"""Topic matching and text relevance: P1, P2, J6, G7, R1, R4, W1.
+"""Topic matching and text relevance: P1, P2, J6, G7, R1, W1.
 
 Plan shape (one pass over the corpus text per match, or none with an index):
 
-  documents --tokenise, explode--> (doc, token, position)
+  documents --tokenise (effect terms are decided here, per document), explode-->
      --left semi join with the query vocabulary
-     --partial agg (doc, token)--> postings with positions, written once
-        |-- length rows ......................... N, average length (G7)
+     --partial agg by document--> one row per document: its query tokens with
+        their positions, its length, whether it holds an effect term; written once
+        |-- lengths ............................. N, average length (G7)
         '-- agg by token (partial) .............. document frequency
 
-  topics: each takes its rarest compound or disease token as anchor; a topic
-  with a token that no document holds has no anchor and emits no row
-     anchors x postings ......................... candidates (topic, doc)
-     --semi join with the documents that hold an effect term (found once per
-       document, not per topic)
-     --join the topic's terms, their postings ... phrases (positions intersect)
-     --survivors only ........................... BM25 --> top-k per topic
-
-Every step is a join or a partial aggregate, the same at any size; Spark picks
-broadcasts from the sizes it measures and splits skewed partitions. Candidates
-are bounded by the document frequency of each topic's rarest token.
+  topics: one row each, with its terms, the weights of its tokens and its
+  rarest compound or disease token as anchor; a topic with a token that no
+  document holds has no anchor and emits no row
+     anchors x tokens of documents with an effect term --> ids only (topic, doc)
+     --join the topic, join the document's row--> phrases and BM25 are
+       expressions over that one row; survivors --> top-k per topic
+
+Beyond the postings exchange nothing is grouped: the two joins are all that a
+match shuffles, and they carry candidates. Spark picks broadcasts from the
+sizes it measures and splits skewed partitions. Candidates are bounded by the
+document frequency of each topic's rarest token.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.dates import in_year_range, year_bounds
@@ -65,44 +66,52 @@ def corpus_stats(dt: DataFrame) -> CorpusStats:
 
 
 # Every document emits one posting of this (otherwise impossible, empty) token,
-# carrying its length, so corpus statistics come out of the same pass.
+# so that it has a row, and corpus statistics come out of the same pass.
 DOC_ROW = ""
 
 
-def postings(dt: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, pmid, year, dl, token, tf, pos) of the tokens of ``vocabulary``
-    (column token) and one ``DOC_ROW`` per document; ``pos`` are positions."""
+def holds_any(toks, terms) -> Column:
+    """Whether a token array holds one of the constant ``terms``, a term's
+    tokens adjacent and in order."""
+    phrases = F.array(*(tokens(F.lit(t)) for t in terms)).cast("array<array<string>>")
+    spaced = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    return F.exists(phrases, lambda p: (F.size(p) > 0) & F.when(
+        F.size(p) == 1, F.array_contains(toks, F.get(p, F.lit(0)))).otherwise(
+        F.contains(spaced, F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" ")))))
+
+
+def postings(dt: DataFrame, vocabulary: DataFrame, effect_terms=()) -> DataFrame:
+    """One row per document: doc_id, pmid, year, dl (length), effect (whether
+    it holds an effect term) and words, the places (token, pos) of its tokens
+    of ``vocabulary`` (column token)."""
     marker = vocabulary.sparkSession.range(1).select(F.lit(DOC_ROW).alias("token"))
+    doc = ["doc_id", "pmid", "year", "dl", "effect"]
     # Two selects: the exploded rows must not carry the token array along. The
     # outer explode (no array is empty) keeps Spark from adding a filter on the
     # array, which would tokenise the text once more.
-    rows = (dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"),
+    rows = (dt.select("doc_id", "pmid", "year", F.size("toks").alias("dl"), holds_any(F.col("toks"), effect_terms).alias("effect"),
                       F.concat("toks", F.array(F.lit(DOC_ROW))).alias("marked"))
-            .select("doc_id", "pmid", "year", "dl", F.posexplode_outer("marked").alias("pos", "token")))
+            .select(*doc, F.posexplode_outer("marked").alias("pos", "token")))
     rows = rows.join(vocabulary.select("token").unionByName(marker).distinct(), "token", "left_semi")
-    return (rows.groupBy("doc_id", "pmid", "year", "dl", "token")
-            .agg(F.collect_list("pos").alias("pos")).withColumn("tf", F.size("pos")))
+    places = F.collect_list(F.when(F.col("token") != DOC_ROW, F.struct("token", "pos")))
+    return rows.groupBy(*doc).agg(places.alias("words"))
 
 
 @dataclass(frozen=True)
 class PostingsIndex:
-    """Postings of a corpus written once for a vocabulary; matches whose
-    tokens are in it share it instead of scanning the corpus again."""
+    """Postings of a corpus written once for a vocabulary and effect terms;
+    matches whose tokens are in it share it instead of scanning the corpus."""
     df: DataFrame
-
-    @property
-    def words(self) -> DataFrame:
-        return self.df.filter(F.col("token") != DOC_ROW)
+    effect_terms: tuple = ()
 
     def stats(self) -> CorpusStats:
-        """G7 from the length rows: a small aggregate, no pass over the texts."""
-        row = (self.df.filter(F.col("token") == DOC_ROW)
-               .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("a")).first())
+        """G7 from the lengths: a small aggregate, no pass over the texts."""
+        row = self.df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("a")).first()
         return CorpusStats(int(row["n"]), float(row["a"] or 0.0))
 
 
-def build_index(dt: DataFrame, vocabulary: DataFrame) -> PostingsIndex:
-    return PostingsIndex(cut_lineage(postings(dt, vocabulary), "postings"))
+def build_index(dt: DataFrame, vocabulary: DataFrame, effect_terms=()) -> PostingsIndex:
+    return PostingsIndex(cut_lineage(postings(dt, vocabulary, effect_terms), "postings"), tuple(effect_terms))
 
 
 def topic_vocabulary(topics: DataFrame, effect_terms) -> DataFrame:
@@ -111,16 +120,19 @@ def topic_vocabulary(topics: DataFrame, effect_terms) -> DataFrame:
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return (post.select(F.explode(F.array_distinct("words.token")).alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+
 
+def idf(df, n_docs: int) -> Column:
+    n = F.lit(float(n_docs))
+    return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
-def bm25_part(stats: CorpusStats, k1: float = K1, b: float = B):
-    n = F.lit(float(stats.n_docs))
+
+def bm25_part(weight, tf, dl, stats: CorpusStats, k1: float = K1, b: float = B) -> Column:
     avgdl = F.lit(stats.avgdl if stats.avgdl > 0 else 1.0)
-    idf = F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    tf = F.col("tf").cast("double")
-    norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    return idf * tf * F.lit(k1 + 1.0) / norm
+    tf = tf.cast("double")
+    return weight * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl))
 
 
 # --------------------------------------------------------------------------- topics
@@ -156,15 +168,24 @@ def topic_terms(topics: DataFrame, effect_terms) -> DataFrame:
         "topic_id", "lo", "hi", "kind", "gidx", "glen", F.posexplode("toks").alias("offset", "token"))
 
 
-def phrase_hits(occurrences: DataFrame, *key: str) -> DataFrame:
-    """Groups that stand in a document in order: ``key``, kind, gidx of those
-    whose tokens (rows with offset, glen and positions ``pos``) have a common
-    start. A group of one token is a phrase of length one."""
-    starts = F.transform("pos", lambda p: p - F.col("offset"))
-    common = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0], F.array_intersect)
-    return (occurrences.withColumn("starts", starts)
-            .groupBy(*key, "kind", "gidx", "glen").agg(F.collect_list("starts").alias("s"))
-            .filter((F.size("s") == F.col("glen")) & (F.size(common) > 0)).select(*key, "kind", "gidx"))
+def holds_phrase(words, toks) -> Column:
+    """Whether the places ``words`` (token, pos) have the tokens ``toks``
+    adjacent and in order; one token is a phrase of length one."""
+    starts = F.transform(toks, lambda t, i: F.transform(F.filter(words, lambda w: w["token"] == t), lambda w: w["pos"] - i))
+    common = F.aggregate(F.slice(starts, 2, F.size(starts)), F.get(starts, F.lit(0)), F.array_intersect)
+    return F.size(common) > 0
+
+
+def topic_score(words, stats: CorpusStats) -> Column:
+    """BM25 of a document's places over a topic's ``weights``, null unless it
+    holds both phrases of the topic."""
+    def scored(own):
+        score = F.aggregate("weights", F.lit(0.0), lambda s, w: s + bm25_part(
+            w["idf"], F.size(F.filter(own, lambda x: x["token"] == w["token"])), F.col("dl"), stats))
+        return F.when(holds_phrase(own, F.col("compound")) & holds_phrase(own, F.col("disease")), F.round(score, SCORE_DP))
+    # The lambda over a one-element array binds the topic's places to one name.
+    own = F.filter(words, lambda x: F.array_contains("weights.token", x["token"]))
+    return F.get(F.transform(F.array(own), scored), F.lit(0))
 
 
 def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
@@ -175,45 +196,37 @@ def match_topics(arts: DataFrame, topics: DataFrame, effect_terms,
     the topic's year range, scored by BM25 over the topic's distinct tokens.
 
     A topic whose compound or disease has no token matches nothing here and is
-    reported as an error by ``topic_reports``."""
+    reported as an error by ``topic_reports``. An ``index`` has the effect
+    terms built in; other ones are an error."""
     terms = topic_terms(topics, effect_terms)
     if index is None:
-        index = build_index(dt if dt is not None else doc_tokens(arts), terms.select("token").distinct())
-    post, stats = index.words, stats or index.stats()
-    dfreq = document_frequency(post)
+        index = build_index(dt if dt is not None else doc_tokens(arts), terms.select("token").distinct(), effect_terms)
+    if index.effect_terms != tuple(effect_terms):
+        raise ValueError("the index was built for other effect terms")
+    post, stats = index.df, stats or index.stats()
 
     # One row per topic: its rarest compound or disease token as anchor (df 0
-    # where no document holds one of them), and its terms, a short list.
+    # where no document holds one of them), its two phrases and its weights.
     named = F.col("kind") != "effect"
-    rarest = (terms.join(dfreq, "token", "left").groupBy("topic_id", "lo", "hi")
-              .agg(F.min(F.when(named, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("a"),
-                   F.count_distinct(F.when(named, F.col("kind"))).alias("kinds"),
-                   F.collect_list(F.when(named, F.struct("kind", "gidx", "glen", "offset", "token"))).alias("terms"),
-                   F.collect_set("token").alias("words")))
-    anchors = rarest.filter("a.df > 0 AND kinds = 2").select(
-        "topic_id", "lo", "hi", F.col("a.token").alias("token"), "terms", "words")
-    pairs = (post.join(anchors, "token").filter(in_year_range(F.col("year"), F.col("lo"), F.col("hi")))
-             .select("topic_id", "doc_id", "pmid", "year", "terms", "words"))
-
-    # The effect terms are the same for every topic: found once per document.
-    places = post.select("doc_id", "token", "pos")
-    named_effects = F.array(*(F.struct(F.lit(i).alias("gidx"), tokens(F.lit(t)).alias("toks"))
-                              for i, t in enumerate(effect_terms))).cast("array<struct<gidx:int,toks:array<string>>>")
-    effects = (post.sparkSession.range(1).select(F.lit("effect").alias("kind"), F.inline(named_effects))
-               .select("kind", "gidx", F.size("toks").alias("glen"), F.posexplode("toks").alias("offset", "token")))
-    with_effect = phrase_hits(places.join(effects, "token"), "doc_id").select("doc_id").distinct()
-    pairs = pairs.join(with_effect, "doc_id", "left_semi")
-
-    # A topic's candidates stay dealt by document: no join or group is by topic.
-    key = ["topic_id", "doc_id", "pmid", "year", "words"]
-    wanted = pairs.select(*key, F.inline("terms"))
-    found = phrase_hits(wanted.join(places, ["doc_id", "token"]), *key)
-    matched = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
-
-    scored = (matched.select("topic_id", "doc_id", "pmid", "year", F.explode("words").alias("token"))
-              .join(post.select("doc_id", "token", "tf", "dl"), ["doc_id", "token"]).join(dfreq, "token"))
-    return (scored.groupBy("topic_id", "doc_id", "pmid", "year")
-            .agg(F.round(F.sum(bm25_part(stats)), SCORE_DP).alias("score")))
+    dfreq = document_frequency(post)
+    weighed = terms.join(dfreq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+
+    def phrase(kind):
+        found = F.collect_list(F.when(F.col("kind") == kind, F.struct("offset", "token")))
+        return F.transform(F.array_sort(found), lambda x: x["token"]).alias(kind)
+    rows = cut_lineage(weighed.groupBy("topic_id", "lo", "hi").agg(
+        F.min(F.when(named, F.struct("df", "token"))).alias("a"), phrase("compound"), phrase("disease"),
+        F.array_sort(F.collect_set(F.struct("token", idf(F.col("df"), stats.n_docs).alias("idf")))).alias("weights")),
+        "topic-rows").filter("a.df > 0 AND size(compound) > 0 AND size(disease) > 0")
+
+    anchors = rows.select("topic_id", "lo", "hi", F.col("a.token").alias("token"))
+    candidates = (post.filter("effect").select("doc_id", "year", F.explode(F.array_distinct("words.token")).alias("token"))
+                  .join(anchors, "token").filter(in_year_range(F.col("year"), F.col("lo"), F.col("hi")))
+                  .select("topic_id", "doc_id"))
+    pairs = (candidates.join(rows.select("topic_id", "compound", "disease", "weights"), "topic_id")
+             .join(post.select("doc_id", "pmid", "year", "dl", "words"), "doc_id"))
+    return (pairs.select("topic_id", "doc_id", "pmid", "year", topic_score(F.col("words"), stats).alias("score"))
+            .filter("score IS NOT NULL"))
 
 
 def top_k(scored: DataFrame, key: str, k: int, order_key: str = "pmid") -> DataFrame:
@@ -232,26 +245,3 @@ def search_literature(arts: DataFrame, topics: DataFrame, effect_terms,
                       k: int = 5, **kw) -> DataFrame:
     """The k most relevant matching articles per topic, with ``rank``."""
     return top_k(match_topics(arts, topics, effect_terms, **kw), "topic_id", k)
-
-
-# --------------------------------------------------------------------------- free text
-
-
-def bm25_topk(arts: DataFrame, queries: DataFrame, k: int = 5,
-              stats: CorpusStats | None = None, dt: DataFrame | None = None,
-              index: PostingsIndex | None = None) -> DataFrame:
-    """BM25 of free-text queries ``(query_id, text)``; any article sharing a
-    token is scored; top k per query: (query_id, doc_id, pmid, score, rank).
-
-    Postings are dealt by document, so a document's scores for all queries are
-    summed where its postings are, and only the k best rows per query and task
-    are shuffled (the partial limit of ``top_k``)."""
-    qt = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    if index is None:
-        index = build_index(dt if dt is not None else doc_tokens(arts), qt.select("token").distinct())
-    post, stats = index.words, stats or index.stats()
-    parts = post.join(document_frequency(post), "token").select("doc_id", "pmid", "token", bm25_part(stats).alias("part"))
-    scored = (parts.repartition("doc_id").join(qt, "token")
-              .groupBy("query_id", "doc_id", "pmid")
-              .agg(F.round(F.sum("part"), SCORE_DP).alias("score")))
-    return top_k(scored, "query_id", k)

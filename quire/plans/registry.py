@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quire.fixtures import (FIXTURE_EFFECT_TERMS, FIXTURE_TOPICS, HISTORY_RUNS, LEXICON_NEGATIVE, LEXICON_POSITIVE,
                             PHRASE_EFFECTS, PHRASE_TOPICS, cue_model, raw_date, recorded_responses)
 from quire.operators.history import TIME_FORMAT, analysis_history, latest_analysis, plan_topics
-from quire.operators.match import bm25_topk, corpus_stats, corpus_stats_frame, doc_tokens, match_topics
+from quire.operators.bm25 import bm25_topk
+from quire.operators.match import corpus_stats, corpus_stats_frame, doc_tokens, match_topics
 from quire.plans.answer import (analyze_topics, answer_topics, fetch_ranked, history_store_rows,
                                 RUN_TS)
-from quire.session import configure
+from quire.session import configure, cut_lineage
 from quire.sources.corpus import articles, read_table, spread
 from quire.sources.topics import topics_frame
 
@@ -65,7 +66,7 @@ class Ctx:
         once and shared by every match of this run."""
         from quire.operators.match import build_index, topic_vocabulary
         words = [topic_vocabulary(self.topics(rows), EFFECT) for rows in topic_rows]
-        self.index = build_index(self.dt, functools.reduce(DataFrame.unionByName, words))
+        self.index = build_index(self.dt, functools.reduce(DataFrame.unionByName, words), EFFECT)
         return self
 
     def topics(self, rows=None):
@@ -303,7 +304,7 @@ def _bench_queries(c):
 def q_search_similar_analyses(spark, sf_dir):
     from quire.operators.search import search_similar_analyses
     c = Ctx(spark, sf_dir)
-    return search_similar_analyses(_history(c), _bench_queries(c), 5).select(
+    return search_similar_analyses(cut_lineage(_history(c), "stored"), _bench_queries(c), 5).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "compound", "disease",
         F.date_format("created_at", TIME_FORMAT).alias("analysis_time"), "score")
 
@@ -316,7 +317,7 @@ def _article_store_rows(c: Ctx):
 def q_search_similar_articles(spark, sf_dir):
     from quire.operators.search import search_similar_articles
     c = Ctx(spark, sf_dir)
-    return search_similar_articles(_article_store_rows(c), _bench_queries(c), 5).select(
+    return search_similar_articles(cut_lineage(_article_store_rows(c), "stored"), _bench_queries(c), 5).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "pmid", "compound", "disease",
         "similarity")
 
@@ -324,7 +325,7 @@ def q_search_similar_articles(spark, sf_dir):
 def q_search_similar_filtered(spark, sf_dir):
     from quire.operators.search import search_similar_articles
     c = Ctx(spark, sf_dir)
-    return search_similar_articles(_article_store_rows(c), _bench_queries(c), 5,
+    return search_similar_articles(cut_lineage(_article_store_rows(c), "stored"), _bench_queries(c), 5,
                                    compound="ther").select(
         "query_id", F.col("rank").cast("int").alias("rank"), "pmid", "compound", "disease",
         "similarity")
@@ -544,7 +545,7 @@ def q_tool_query_previous_analyses(spark, sf_dir):
 def q_tool_search_similar_articles(spark, sf_dir):
     from quire.tools import search_similar_articles
     c = Ctx(spark, sf_dir)
-    return _bench_queries(c).transform(search_similar_articles, _article_store_rows(c), 5).select(
+    return _bench_queries(c).transform(search_similar_articles, cut_lineage(_article_store_rows(c), "stored"), 5).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "pmid", "compound", "disease", "similarity")
 
 

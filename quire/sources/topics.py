@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.text import is_blank
 from quire.schemas import TOPIC
 
 
 def topics_frame(spark: SparkSession, rows) -> DataFrame:
-    return spark.createDataFrame(rows, TOPIC)
+    """A table of given rows; made from Arrow, so that Spark knows its size."""
+    schema = to_arrow_schema(TOPIC)
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema), TOPIC)
 
 
 def read_topics(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

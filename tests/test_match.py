@@ -48,7 +48,7 @@ def test_postings_index_gives_same_matches(spark, ctx001):
     from quire.fixtures import FIXTURE_EFFECT_TERMS
     t = ctx001.topics()
     words = topic_vocabulary(t, FIXTURE_EFFECT_TERMS).unionByName(spark.createDataFrame([("unused",)], "token string"))
-    idx = build_index(ctx001.dt, words)
+    idx = build_index(ctx001.dt, words, FIXTURE_EFFECT_TERMS)
     a = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, stats=ctx001.stats)
     b = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, dt=ctx001.dt, index=idx)
     assert sorted(a.collect()) == sorted(b.collect())
@@ -87,7 +87,7 @@ def test_topics_that_match_nothing_emit_no_rows(spark, ctx001):
     from quire.fixtures import FIXTURE_EFFECT_TERMS
     topics = spark.createDataFrame([(i, f"absent{i}", "ther", None, None, False) for i in range(200)], TOPIC)
     out = match_topics(ctx001.arts, topics, FIXTURE_EFFECT_TERMS, dt=ctx001.dt,
-                       index=build_index(ctx001.dt, topic_vocabulary(topics, FIXTURE_EFFECT_TERMS)))
+                       index=build_index(ctx001.dt, topic_vocabulary(topics, FIXTURE_EFFECT_TERMS), FIXTURE_EFFECT_TERMS))
     out.write.format("noop").mode("overwrite").save()
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()

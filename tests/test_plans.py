@@ -31,8 +31,8 @@ def test_match_scan_reads_only_needed_columns(spark, ctx001):
     assert scans and all("ReadSchema: struct<doc_id:bigint,text:string>" in l for l in scans)
 
 
-def test_hits_of_many_queries_get_no_broadcast_hint(spark):
-    from quire.operators.search import MAX_QUERY_BLOCK, search_similar_articles
+def test_one_plan_for_any_number_of_queries(spark):
+    from quire.operators.search import search_similar_articles
     store = spark.createDataFrame([("p1", "t", "a", [1.0, 0.0], "c", "d")],
                                   "pmid string, title string, abstract string, content_vector array<float>, "
                                   "compound string, disease string")
@@ -40,7 +40,20 @@ def test_hits_of_many_queries_get_no_broadcast_hint(spark):
 
     def embed(text):
         return F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
-    for n, hint in ((10, True), (MAX_QUERY_BLOCK + 1, False)):
+    for n in (10, 5000):
         q = spark.range(n).select(F.col("id").alias("query_id"), F.lit("text").alias("text"))
-        plan = search_similar_articles(store, q, 5, embed=embed)._jdf.queryExecution().analyzed().toString()
-        assert ("strategy=broadcast" in plan) == hint
+        out = search_similar_articles(store, q, 5, embed=embed)
+        assert "strategy=broadcast" not in out._jdf.queryExecution().analyzed().toString()
+        assert out.count() == n
+
+
+def test_a_match_groups_nothing_by_topic_or_document(spark, ctx001):
+    """Beyond the postings, a match is two joins of ids; effect terms cost no exchange."""
+    from quire.fixtures import FIXTURE_EFFECT_TERMS
+    from quire.operators.match import build_index, match_topics, topic_vocabulary
+    t = ctx001.topics()
+    index = build_index(ctx001.dt, topic_vocabulary(t, FIXTURE_EFFECT_TERMS), FIXTURE_EFFECT_TERMS)
+    plan = match_topics(ctx001.arts, t, FIXTURE_EFFECT_TERMS, index=index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" not in plan and plan.count("Join ") <= 3
+    with pytest.raises(ValueError):
+        match_topics(ctx001.arts, t, ("other",), index=index)
