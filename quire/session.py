@@ -6,6 +6,7 @@ settings that are not already present, so cluster values win.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 
@@ -91,9 +92,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_root(spark: SparkSession) -> str:
+_SCOPES: list[str] = []
+
+
+@contextlib.contextmanager
+def stage_scope(name: str):
+    """Stages materialised inside go to a folder of their own (``name``), which
+    ``release_stages`` can delete while the others stay."""
+    _SCOPES.append(name)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def stage_root(spark: SparkSession, *scopes: str) -> str:
     """Folder of this application's materialised stages (under the checkpoint root)."""
-    return os.path.join(checkpoint_root(spark), "quire-stages", spark.sparkContext.applicationId)
+    return os.path.join(checkpoint_root(spark), "quire-stages", spark.sparkContext.applicationId, *scopes)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -102,15 +117,16 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     and writes row objects), the files survive executor loss, and later reads
     are column-pruned. Never a local checkpoint. ``release_stages`` removes
     them once the results that read them are written."""
-    path = os.path.join(stage_root(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(stage_root(df.sparkSession, *_SCOPES), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_stages(spark: SparkSession) -> bool:
-    """Delete this application's materialised stages (any Hadoop filesystem).
-    Call it after the DataFrames built on them have been written or collected."""
+def release_stages(spark: SparkSession, *scopes: str) -> bool:
+    """Delete this application's materialised stages (any Hadoop filesystem), or
+    only those of a scope. Call it after the DataFrames built on them have been
+    written or collected."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path = jvm.org.apache.hadoop.fs.Path(stage_root(spark, *scopes))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.delete(path, True)) if fs.exists(path) else False
