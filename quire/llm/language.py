@@ -24,7 +24,9 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.1
 CHUNK = 1 << 19      # characters vectorised at a time
 UNKNOWN = "und"
-_GAP = "   "         # between texts: longer than any n-gram's reach
+#: Before, between and after texts: no n-gram holds letters of two texts, and
+#: those that reach into a gap belong to the text whose letter they hold.
+_GAP = " " * (max(ORDERS) - 1)
 
 
 def _fold_table() -> np.ndarray:
@@ -56,7 +58,7 @@ def _chunks(texts):
 def grams(texts: list[str]):
     """(codes, starts, buckets): ``starts`` are the texts' first positions; for
     each order, the bucket of the n-gram at each position (BUCKETS: none)."""
-    joined = " " + _GAP.join(texts) + _GAP
+    joined = _GAP + _GAP.join(texts) + _GAP
     codes = _fold_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + len(_GAP))[:-1]])
@@ -105,7 +107,7 @@ def _count(batches):
 
 
 class Model:
-    """Languages (sorted) and their log-probabilities, one row per bucket."""
+    """Languages (sorted), log-priors and log-probabilities, one row per bucket."""
 
     def __init__(self, counts: pd.DataFrame, smoothing: float = SMOOTHING):
         self.languages = sorted(counts["lang"].unique())
@@ -118,24 +120,28 @@ class Model:
         self.logp = np.vstack([logp, np.zeros((1, len(self.languages)))]).astype(np.float32)
 
     def predict(self, texts: list[str]):
-        """(language, posterior) per text; 'und' and 0 without a letter or model."""
-        names = np.full(len(texts), UNKNOWN, object)
-        score = np.zeros(len(texts))
-        if not self.languages:
-            return names, score
-        for first, part in _chunks(texts):
-            letter, starts, buckets = grams(part)
-            total = np.add.reduceat(self.logp[buckets[0]], starts, axis=0, dtype=np.float64)
-            for b in buckets[1:]:
-                total += np.add.reduceat(self.logp[b], starts, axis=0, dtype=np.float64)
-            total += self.prior
-            some = np.add.reduceat(letter.astype(np.int64), starts) > 0
-            best = total.argmax(1)
-            sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            rows = first + np.flatnonzero(some)
-            names[rows] = np.array(self.languages, object)[best[some]]
-            score[rows] = sure[some]
+        return classify(self.languages, self.prior, self.logp, texts)
+
+
+def classify(languages, prior, logp, texts: list[str]):
+    """(language, posterior) per text; 'und' and 0 without a letter or model."""
+    names = np.full(len(texts), UNKNOWN, object)
+    score = np.zeros(len(texts))
+    if not languages:
         return names, score
+    for first, part in _chunks(texts):
+        letter, starts, buckets = grams(part)
+        total = np.add.reduceat(logp[buckets[0]], starts, axis=0, dtype=np.float64)
+        for b in buckets[1:]:
+            total += np.add.reduceat(logp[b], starts, axis=0, dtype=np.float64)
+        total += prior
+        some = np.add.reduceat(letter.astype(np.int64), starts) > 0
+        best = total.argmax(1)
+        sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        rows = first + np.flatnonzero(some)
+        names[rows] = np.array(languages, object)[best[some]]
+        score[rows] = sure[some]
+    return names, score
 
 
 def train(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -> Model:
@@ -156,10 +162,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Texts that are null or have no letter give 'und' and 0, and so does a
     model without languages. Ties go to the first language by code point.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast class would have to be importable on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.logp))
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        names, score = shared.value.predict([t or "" for t in texts])
+        names, score = classify(*shared.value, [t or "" for t in texts])
         return pd.DataFrame({"lang_pred": names, "score": score})
 
     out = F.pandas_udf(run, "lang_pred string, score double")

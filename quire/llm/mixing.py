@@ -8,7 +8,8 @@ Copies: a document expects ``target / source size`` copies (times its own
 relative weight, if a weight column is given). Its whole part is certain; the
 rest ``p`` is its inclusion probability in a sample whose size in words is
 fixed. The sample is Pareto's: rank by ``(u / (1 - u)) / (p / (1 - p))`` with
-``u`` a hash of the id, and go down that order, taking every document that
+``u`` a hash of the id, the text and, among rows equal in both, a number (rows
+without an id are not drawn together), and go down that order, taking every document that
 fits in the words still needed, until none fits. One larger document is added
 at last where that leaves a smaller gap.
 
@@ -76,10 +77,28 @@ def by_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFr
     return rows.withColumn("salt", salt).join(copies, ["key", "salt"], how).drop("salt")
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` (row id, doc_id, source, tie) plus ``copy``: 0, or a number from
+    1 among rows equal in the three, which are interchangeable. A large group
+    is numbered in ``SALTS`` parts, shifted by the sizes of those before."""
+    same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in ("doc_id", "source")]
+    groups = (rows.groupBy("doc_id", "source", "tie").agg(F.count("*").alias("n")).where("n > 1")
+              .select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"),
+                      F.xxhash64("doc_id", "source", "tie").alias("group")))
+    again = cut_lineage(rows.join(groups, [*same, rows["tie"] == F.col("__tie")]).select(
+        ROW_ID, "group", F.pmod(F.xxhash64(ROW_ID), F.lit(SALTS)).cast("int").alias("part")), "mix-copies")
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = again.groupBy("group", "part").agg(F.count("*").alias("n")).select(
+        "group", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    number = F.row_number().over(Window.partitionBy("group", "part").orderBy(ROW_ID))
+    copies = again.withColumn("i", number).join(shift, ["group", "part"]).select(ROW_ID, (F.col("i") + F.col("shift")).alias("copy"))
+    return rows.join(copies, ROW_ID, "left").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
+
+
 def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """``slim`` (row id, doc_id, source, size, tie and, if documents differ in
     weight, doc_weight) plus source_size, target, copies."""
-    slim = slim.withColumn("key", source_key(F.col("source")))
+    slim = cut_lineage(numbered_copies(slim), "mix-numbered").withColumn("key", source_key(F.col("source")))
     if "doc_weight" not in slim.columns:
         slim = slim.withColumn("doc_weight", F.lit(1.0))
     per = slim.groupBy("key", "source").agg(
@@ -89,9 +108,9 @@ def plan_mix(slim: DataFrame, weights=cycling_weights, budget: float | None = No
         F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0).alias("rate")), "mix-rates")
 
     # First 52 bits of an MD5 as a uniform number strictly inside (0, 1).
-    u = ((F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"),
-                                                                                F.lit("null")))), 1, 13), 16, 10)
-          .cast("double") + 0.5) / float(2**52))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                       F.col("tie"), F.col("copy").cast("string"))
+    u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     expected = F.least(F.col("rate") * F.col("doc_weight"), F.lit(float(MAX_COPIES)))
     ranked = (by_source(slim, rate).withColumn("u", u)
               .withColumn("whole", F.floor(expected)).withColumn("p", expected - F.col("whole"))
@@ -154,9 +173,10 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     Nulls: a null text has size 0, a null source is a source of its own
-    (last), a null doc_id hashes as 'null'. Documents of size 0 take 0 words.
-    Equal rows are told apart by a row id only. Ties of the rank go by id,
-    size, text hash. An empty table gives an empty table.
+    (last), a null doc_id hashes as 'null', beside the text. Documents of size 0
+    take 0 words. Rows equal in id, source and text are numbered, so that each
+    has an own random number; which of them has which is not determined. Ties
+    of the rank go by id, size, text hash. An empty table gives an empty table.
     """
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
                        F.md5(F.coalesce("text", F.lit(""))).alias("tie"))

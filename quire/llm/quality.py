@@ -6,14 +6,9 @@ than ``HOST_SHARE`` of its distinct documents have it. Such lines are removed,
 and a document that loses more than ``MAX_LOST`` of its words is depleted and
 rejected. Documents that fail the base rules are rejected as well.
 
-Distinct documents: copies and near copies of one text are one document here,
-or a group of them would make all its own lines look like boilerplate. A first
-count over distinct sets of lines finds the crowded lines (more than
-``MIN_DOCS`` sets), a superset of those above limit. A document is then known
-by what is its own: the least hash among the ``SHINGLE``-word shingles of its
-other lines, or its whole set of lines if all are crowded. Pages that share a
-template of any length differ in that; copies and texts with a few changed
-words mostly do not. Both sides of the share test count these documents.
+Distinct documents: a document counts by its whole set of normalised lines, on
+both sides of the share test. Copies, in whatever order, case or number their
+lines stand, are one document; pages of a template are as many as they differ.
 
 Plan: one scan computes the base figures and the line hashes and writes them
 without the texts; the counts are partial aggregates over hashes; the verdict
@@ -30,7 +25,6 @@ from quire.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
-SHINGLE = 3
 MIN_WORDS = 10
 MAX_REPEAT = 20        # percent of words in repeated windows
 MIN_DOCS = 20
@@ -87,9 +81,7 @@ def measured(docs: DataFrame, *extra) -> DataFrame:
         F.when(F.size(F.array_distinct("wins")) < F.size("wins"), repeated_words(F.col("wins")))
         .otherwise(0).cast("long").alias("n_repeat_words"),
         F.transform("lines", lambda x: F.struct(
-            line_hash(x).alias("line"), word_figures(x).alias("w"))).alias("lines"))
-    df = df.withColumn("lines", F.transform("lines", lambda x: F.struct(
-        x["line"].alias("line"), x["w"]["words"].alias("words"), x["w"]["least"].alias("least"))))
+            line_hash(x).alias("line"), F.size(words(x)).alias("words"))).alias("lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
@@ -103,35 +95,11 @@ def line_hash(line):
     return F.xxhash64(line_key(line))
 
 
-def word_figures(line):
-    """Words of a line and the least hash among the shingles of its key; a
-    shorter line is one shingle."""
-    hashed = F.transform(words(F.translate(line, UPPER, LOWER)), lambda w: F.xxhash64(w))
-    # As in repeated_words: the lambda binds the hashes to one name.
-    return F.get(F.transform(F.array(hashed), lambda h: F.struct(
-        F.size(h).alias("words"), _least(h).alias("least"))), F.lit(0))
-
-
-def _least(h):
-    starts = F.slice(h, 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1)))
-    return F.array_min(F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(h, i + k) for k in range(1, SHINGLE)))))
-
-
 def lines_above_limit(slim: DataFrame, min_docs: int, host_share: float) -> DataFrame:
-    """(host, line) of the lines above limit; ``slim`` has row ids, host and lines."""
-    whole = F.xxhash64(F.sort_array(F.array_distinct(F.col("lines.line"))))
-    own = slim.select(ROW_ID, "host", whole.alias("whole"), F.explode_outer("lines").alias("x")).select(
-        ROW_ID, "host", "whole", F.col("x.line").alias("line"), F.col("x.least").alias("least"))
-    sets = own.where("line IS NOT NULL").select("host", "line", "whole").distinct()
-    crowded = sets.groupBy("host", "line").agg(F.count("*").alias("sets")).where(F.col("sets") > min_docs)
-    # Per document: its identity and the crowded lines that it holds.
-    held = own.join(crowded, ["host", "line"], "left").groupBy(ROW_ID, "host", "whole").agg(
-        F.min(F.when(F.col("sets").isNull(), F.col("least"))).alias("least"),
-        F.collect_set(F.when(F.col("sets").isNotNull(), F.col("line"))).alias("held"))
-    docs = cut_lineage(held.select("host", F.coalesce("least", "whole").alias("doc"), "held"), "quality-docs")
-
-    hosts = docs.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = (docs.select("host", "doc", F.explode("held").alias("line")).distinct()
+    """(host, line) of the lines above limit; ``slim`` has host and lines."""
+    whole = F.xxhash64(F.sort_array(F.array_distinct("lines.line"))).alias("doc")
+    hosts = slim.select("host", whole).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    counts = (slim.select("host", whole, F.explode("lines.line").alias("line")).distinct()
               .groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs))
     return counts.join(hosts, "host").where(F.col("docs") > host_share * F.col("host_docs")).select("host", "line")
 

@@ -1,7 +1,9 @@
 """Sharding along a Hilbert curve (DataFrame functions only).
 
 Four metadata dimensions (source, language, size, id) are quantised to
-``BITS`` bits each. Rows are ordered by the Hilbert index of their cell, and
+``BITS`` bits each, by rank: the bins of a dimension hold about equally many
+rows, whatever its values (long common prefixes, outliers), and null has a bin
+of its own. Rows are ordered by the Hilbert index of their cell, and
 the order is cut into runs of equal row counts, so that a shard covers a
 compact region in all dimensions at once and filters on any of them prune
 shards.
@@ -28,22 +30,39 @@ DIMS = 4
 SUBS = 4096
 
 
-def text_number(c):
-    """Order-preserving number of the first 6 bytes of a string (null: 0)."""
-    first = F.substring(F.hex(F.coalesce(c, F.lit(""))), 1, 12)
-    return F.conv(F.rpad(first, 12, "0"), 16, 10).cast("long")
+VALUES = (1 << BITS) - 1   # bins of a dimension's values; bin 0 is for null
 
 
-def dimensions(size) -> list:
-    """The columns that are quantised, as longs: source, lang, log2 of size, id."""
-    return [text_number(F.col("source")), text_number(F.col("lang")),
-            F.floor(F.log2(size.cast("double"))).cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))]
+def cut_points(slim: DataFrame) -> list[list]:
+    """Per dimension the ``VALUES`` - 1 values where a bin ends (none: no value
+    is in or below that bin; no ends: no value at all).
 
+    Numbers: quantiles of a sketch of fixed size. Names: their counts, cut
+    into ranges by value; sums of the ranges, then sums within them, give every
+    name the rows before it, so no task sorts all names."""
+    shares = [i / VALUES for i in range(1, VALUES)]
+    numbers = slim.agg(*(F.percentile_approx(c, shares, 10_000).alias(c) for c in ("d2", "d3"))).first()
+    out = []
+    for c in ("d0", "d1"):
+        names = slim.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n"))
+        names = cut_lineage(names.repartitionByRange("name").withColumn("part", F.spark_partition_id()), "shard-names")
+        parts = names.groupBy("part").agg(F.sum("n").alias("rows"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"),
+                             F.sum("rows").over(Window.partitionBy()).alias("total"))
+        within = F.sum("n").over(Window.partitionBy("part").orderBy("name"))
+        # A name belongs where the middle of its rows lies.
+        bins = names.withColumn("middle", within - F.col("n") / 2).join(parts, "part").select(
+            "name", F.floor((F.col("base") + F.col("middle")) * VALUES / F.col("total")).alias("bin"))
+        ends = {r.bin: r.end for r in bins.groupBy("bin").agg(F.max("name").alias("end")).collect()}  # at most VALUES
+        out.append([max((e for b, e in ends.items() if b <= i), default=None) for i in range(VALUES - 1)] if ends else [])
+    return out + [numbers[c] or [] for c in ("d2", "d3")]
 
-def _bin(x, low, high):
-    """Equal-width bin of x below 2 ** BITS; doubles, so no overflow."""
-    width = (high.cast("double") - low.cast("double") + 1) / (1 << BITS)
-    return F.least(F.floor((x.cast("double") - low.cast("double")) / width), F.lit((1 << BITS) - 1)).cast("int")
+
+def _bin(x, ends: list):
+    """0 for null, else 1 plus the number of bin ends below the value."""
+    above = sum((F.lit(1) if e is None else (x > F.lit(e)).cast("int") for e in ends), F.lit(1))
+    return F.when(x.isNull(), F.lit(0)).otherwise(above).cast("int")
 
 
 def _rot(x, by, left: bool):
@@ -90,9 +109,7 @@ def hilbert_index(cell):
 def assign(slim: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """``slim`` (doc_id, size, text_crc32 and dimensions d0..d3, a written
     table) plus curve (index), shard and slot."""
-    ends = slim.agg(*(f(f"d{i}").alias(f"{n}{i}") for i in range(DIMS) for n, f in (("low", F.min), ("high", F.max))))
-    low_high = ends.first()  # eight numbers
-    bins = [_bin(F.col(f"d{i}"), F.lit(low_high[f"low{i}"]), F.lit(low_high[f"high{i}"])) for i in range(DIMS)]
+    bins = [_bin(F.col(f"d{i}"), ends) for i, ends in enumerate(cut_points(slim))]
     cell = reduce(lambda a, b: a * (1 << BITS) + b, bins)
     rows = slim.withColumn("cell", cell).withColumn(
         "sub", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(SUBS)).cast("int"))
@@ -117,16 +134,17 @@ def slim_rows(docs: DataFrame, *extra) -> DataFrame:
     """Size (UTF-8 bytes plus 8), checksum and dimensions of every row, no text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
+    dims = [F.col("source").cast("string"), F.col("lang").cast("string"), size, F.col("doc_id").cast("long")]
     return docs.select(*extra, "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"),
-                       *(c.alias(f"d{i}") for i, c in enumerate(dimensions(size))))
+                       *(c.alias(f"d{i}") for i, c in enumerate(dims)))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, curve, shard, slot) of every row: counts of
     shards differ by one at most, slots are gapless from 0 in curve order.
 
-    A null text is empty, a null source or lang sorts first, a null id is 0 on
-    the curve. Repeated rows get positions of their own. With fewer rows than
+    A null text is empty; a null source, lang or id has the first bin of its
+    dimension. Repeated rows get positions of their own. With fewer rows than
     shards some shards are empty; an empty table gives an empty table.
     """
     slim = cut_lineage(slim_rows(docs), "shard-rows")

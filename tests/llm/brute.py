@@ -98,6 +98,29 @@ def base_rules(text):
             len(w) < 10 or 100 * len(hit) > 20 * len(w))
 
 
+def quality_verdicts(docs, min_docs=20, share=0.1, max_lost=0.8):
+    """kept and the remaining text of each document."""
+    keyed = []
+    for d in docs:
+        lines = (d["text"] or "").split("\n")
+        keyed.append([(x, x.strip(WS).translate(LOW) if WORD.search(x) else None) for x in lines])
+    hosts, holders = defaultdict(set), defaultdict(set)
+    for d, lines in zip(docs, keyed):
+        whole = frozenset(k for _, k in lines if k is not None)
+        hosts[d["source"] or ""].add(whole)
+        for k in whole:
+            holders[d["source"] or "", k].add(whole)
+    out = []
+    for d, lines in zip(docs, keyed):
+        host = d["source"] or ""
+        gone = {k for _, k in lines if k is not None and len(holders[host, k]) > min_docs
+                and len(holders[host, k]) > share * len(hosts[host])}
+        lost, n = sum(len(words(x)) for x, k in lines if k in gone), len(words(d["text"]))
+        out.append((not base_rules(d["text"])[-1] and not lost > max_lost * n,
+                    "\n".join(x for x, k in lines if k not in gone) if gone else d["text"]))
+    return out
+
+
 def targets(sizes):
     """sizes by source -> target by source."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

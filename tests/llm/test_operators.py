@@ -171,6 +171,30 @@ def test_language_equals_a_plain_naive_bayes(odd, spark):
     assert [a for t in texts for a in model.predict([t])[0]] == list(model.predict(texts)[0])
 
 
+def test_language_scores_do_not_depend_on_neighbours(odd):
+    model = language.train(odd)
+    texts = ["der cat", "x", "été", "", "the", "  lead", "der cat", "9 a", "word1 and2 " * 50]
+    rnd = random.Random(1)
+    alone = {t: tuple(x[0] for x in model.predict([t])) for t in texts}
+    for _ in range(20):
+        rnd.shuffle(texts)
+        names, score = model.predict(texts)
+        assert [(n, s) for n, s in zip(names, score)] == [alone[t] for t in texts]
+
+
+def test_language_broadcasts_no_class_of_the_package(odd, monkeypatch):
+    """Executors need not have the package: what is broadcast is plain data."""
+    import pickle
+    import pickletools
+    sent = []
+    sc = odd.sparkSession.sparkContext
+    real = type(sc).broadcast
+    monkeypatch.setattr(type(sc), "broadcast", lambda self, v: sent.append(v) or real(self, v))
+    language.predict(odd, language.train(odd)).collect()
+    names = [str(x) for v in sent for _, x, _ in pickletools.genops(pickle.dumps(v)) if isinstance(x, str)]
+    assert sent and not any("quire" in n for n in names)
+
+
 def test_language_odd_rows(odd, empty):
     got = language.predict(odd.withColumn("score", odd.doc_id), language.train(odd)).collect()
     assert [(r.lang_pred, r.score) for r in got if not (r.text or "").strip()] == [("und", 0.0)] * 3
@@ -236,6 +260,41 @@ def test_written_shards_are_pruned_in_every_dimension(spark, tmp_path):
     assert all(n < 20 for n in hit.values()) and sum(hit.values()) < 60, hit
 
 
+@pytest.mark.parametrize("case", ["plain", "nulls", "prefix", "outlier"])
+def test_shards_are_pruned_whatever_the_values(spark, case):
+    """Nulls, names that share long prefixes and one outlying id cost no dimension its pruning."""
+    prefix = "https://a-common-prefix.example/" if case == "prefix" else ""
+    rnd = random.Random(2)
+    rows_ = [(i, "w " * rnd.randint(1, 400), f"{prefix}{rnd.choice(['de', 'en', 'es', 'fr'])}", f"{prefix}src{rnd.randrange(20)}")
+             for i in range(4000)]
+    if case == "nulls":
+        rows_ += [(None, None, None, None)] * 40
+    if case == "outlier":
+        rows_.append((10**17, "w", "de", "src0"))
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string")
+    placed = sharding.shard_documents(df).join(df.select("doc_id", "lang", "source"), "doc_id").collect()
+    shards = collections.defaultdict(list)
+    for r in placed:
+        shards[r.shard].append(r)
+    span = [{c: (min(r[c] for r in own), max(r[c] for r in own)) for c in ("lang", "source", "doc_id", "size")}
+            for own in shards.values()]
+    # Mean number of shards that a filter on one value (ids: a range of 100) must read, of 24.
+    values = {c: sorted({r[c] for r in placed}) for c in ("lang", "source")}
+    values["doc_id"], values["size"] = range(0, 4000, 400), range(10, 800, 50)
+    read = {c: np.mean([sum(s[c][0] <= v <= s[c][1] for s in span) for v in vs]) for c, vs in values.items()}
+    assert read["lang"] < 17 and read["source"] < 14 and read["doc_id"] < 13 and read["size"] < 14, read
+
+
+def test_cut_points_are_by_rank(spark):
+    rows_ = [("a",)] * 700 + [(f"b{i:02}",) for i in range(50)] + [(None,)] * 30 + [("z",)] * 250
+    df = spark.createDataFrame(rows_, "d0 string").selectExpr("d0", "d0 AS d1", "1L AS d2", "CAST(NULL AS long) AS d3")
+    names, _, ones, none = sharding.cut_points(df)
+    assert set(ones) == {1} and none == [] and len(names) == len(ones) == sharding.VALUES - 1
+    from pyspark.sql import functions as F
+    bins = {r[0]: r[1] for r in df.select("d0", sharding._bin(F.col("d0"), names)).distinct().collect()}
+    assert bins[None] == 0 and bins["a"] == 6 and bins["z"] == 14 and 11 <= bins["b00"] <= bins["b49"] <= 12
+
+
 def test_written_shards_of_odd_rows(odd, empty, spark, tmp_path):
     assert sum(r.rows for r in sharding.write_shards(odd, str(tmp_path / "a"), 3, 2).collect()) == odd.count()
     assert spark.read.parquet(str(tmp_path / "a")).count() == odd.count()

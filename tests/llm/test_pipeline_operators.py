@@ -120,7 +120,7 @@ def test_line_frequency_rejects_depleted_documents_and_cuts_lines(spark):
     docs += [(100 + i, f"{body(2)}\n{footer.upper()}  ", "h") for i in range(5)]   # depleted
     copy = "\n".join(body(20) for _ in range(6))
     docs += [(200 + i, copy, "h") for i in range(60)]                              # copies are one document
-    docs += [(300 + i, copy.replace("\n", f" {word()}\n", 1), "h") for i in range(60)]
+    docs += [(300 + i, "\n".join(random.sample(copy.upper().split("\n"), 6)), "h") for i in range(60)]   # one set of lines
     docs += [(400 + i, f"{body(30)}\n{footer}", "other") for i in range(10)]       # below the other host's limit
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality.judge(df).collect()}
@@ -140,9 +140,9 @@ def test_pages_of_a_template_with_many_lines_are_depleted(spark, n_lines):
     docs += [(1000 + i, "\n".join(body(20) for _ in range(5)), "h") for i in range(300)]
     docs += [(2000 + i, "\n".join([*template, body(20)]), "few") for i in range(20)]   # not above MIN_DOCS
     copy = [body(20) for _ in range(6)]
-    for i in range(60):                                                               # near copies are few documents
+    for i in range(60):                                                               # six sets of lines
         at = i % 6
-        docs.append((3000 + i, "\n".join([*copy[:at], f"{copy[at]} {word()}", *copy[at + 1:]]), "near"))
+        docs.append((3000 + i, "\n".join([*copy[:at], f"{copy[at]} more", *copy[at + 1:]]), "near"))
     # 8 % of a host's rows, but 20 % of its documents once copies count as one
     docs += [(4000 + i, f"{template[0]}\n{body(60)}", "copies") for i in range(40)]
     bodies = [body(30) for _ in range(160)]
@@ -154,6 +154,38 @@ def test_pages_of_a_template_with_many_lines_are_depleted(spark, n_lines):
     assert not any(template[0] in clean[4000 + i] for i in range(40))
 
 
+OWN_LINES = ["more info about item {}", "posted on day {} by the web team", "read article number {}", "unique{0} words{0} here{0}",
+             "{}", "page {} of the catalogue, as of today, with all prices and all names of the items that are on it"]
+
+
+@pytest.mark.parametrize("n", [25, 100])
+@pytest.mark.parametrize("own", OWN_LINES)
+def test_template_pages_are_as_many_documents_as_they_differ(spark, own, n):
+    random.seed(7)
+    body = lambda n: " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(n))
+    template = [body(10) for _ in range(12)]
+    docs = [{"doc_id": i, "text": "\n".join([*template, own.format(i)]), "source": "h"} for i in range(n)]
+    docs += [{"doc_id": 1000 + i, "text": body(40), "source": "h"} for i in range(30)]
+    docs += [{"doc_id": 2000 + i, "text": docs[0]["text"], "source": "copies"} for i in range(60)]
+    df = spark.createDataFrame([tuple(d.values()) for d in docs], "doc_id long, text string, source string")
+    want = brute.quality_verdicts(docs)
+    assert [k for k, _ in want] == [False] * n + [True] * 90
+    got = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert [got[d["doc_id"]] for d in docs] == [k for k, _ in want]
+    clean = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert clean == {d["doc_id"]: t for d, (k, t) in zip(docs, want) if k}
+
+
+def test_verdicts_equal_brute_force(spark, docs_table, docs, odd, odd_docs):
+    """On the given documents with low limits, so that lines are removed, and on odd rows."""
+    got = {r.doc_id: r.kept for r in quality.verdicts(quality.number_rows(quality.measured(
+        docs_table, docs_table.doc_id, quality._host()), "t"), 1, 0.02, 0.5).collect()}
+    want = brute.quality_verdicts(docs, 1, 0.02, 0.5)
+    assert got == {d["doc_id"]: k for d, (k, _) in zip(docs, want)}
+    assert any(t != d["text"] for d, (_, t) in zip(docs, want))
+    assert sorted((r.kept for r in quality.judge(odd).collect())) == sorted(k for k, _ in brute.quality_verdicts(odd_docs))
+
+
 # -- mixing -----------------------------------------------------------------------
 
 def test_mix_meets_targets(docs_table, docs):
@@ -211,6 +243,33 @@ def test_mix_odd_rows(odd, odd_docs, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mix_draws_rows_without_or_with_equal_ids_apart(spark):
+    """Null ids: long and short documents are taken alike; equal rows too, and reruns agree."""
+    rnd = random.Random(1)
+    rows_ = [(None, "w " * rnd.choice([5, 20, 80]) + f"t{i}", s) for i in range(1500) for s in ("a", "b")]
+    rows_ += [(7, "the same text in every one of these rows", "a")] * 300 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(df, budget=0.3 * sum(len(brute.words(t)) for _, t, _ in rows_)).collect()
+    mean = lambda x: sum(r.size for r in x) / len(x)
+    free = [r for r in plan if r.doc_id is None and r.size]
+    some, none = [r for r in free if r.taken], [r for r in free if not r.taken]
+    assert len(some) > 300 and abs(mean(some) / mean(none) - 1) < 0.25
+    same = [r.copies for r in plan if r.doc_id == 7]
+    assert 0 < sum(same) < 300 and set(same) == {0, 1}
+    again = mixing.mix_plan(df.repartition(7), budget=0.3 * sum(len(brute.words(t)) for _, t, _ in rows_)).collect()
+    key = lambda r: (str(r.doc_id), r.size, r.copies)
+    assert sorted(map(key, again)) == sorted(map(key, plan))
+
+
+def test_copies_are_numbered_without_gaps(spark):
+    rows_ = [(1, "a", "x")] * 5000 + [(None, None, "x")] * 40 + [(2, "a", "y"), (2, "b", "y")]
+    df = spark.createDataFrame(rows_, "doc_id long, source string, tie string").repartition(6)
+    got = mixing.numbered_copies(mixing.number_rows(df, "t")).collect()
+    assert sorted(r.copy for r in got if r.doc_id == 1) == list(range(1, 5001))
+    assert sorted(r.copy for r in got if r.doc_id is None) == list(range(1, 41))
+    assert [r.copy for r in got if r.doc_id == 2] == [0, 0]
+
+
 # -- BPE --------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
