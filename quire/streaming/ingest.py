@@ -1,13 +1,13 @@
 """Incremental ingest of MEDLINE files into the article store.
 
 File source -> parse (A3/C1) -> per micro-batch: one row per pmid, then
-insert-if-absent against the store (J2) -> append. The store itself is the
-dedup state, so streaming state stays empty however many PMIDs arrive, and a
-restart (same checkpoint) cannot insert a PMID twice. A re-run of a batch
-after a failure rewrites only its own run directory and compares against the
-other runs, so retries are idempotent. The directory is named by the streaming
-query's id (kept in its checkpoint) and the batch number, so a new checkpoint
-on the same store never touches what another one has written.
+insert-if-absent against the buckets that the batch touches (J2) -> commit. The
+store itself is the dedup state, so streaming state stays empty however many
+PMIDs arrive, and other writers of the store are seen too. A run is named by
+the streaming query's id (kept in its checkpoint) and the batch number: a batch
+that is run again after a failure is skipped if the manifest names it and
+written anew otherwise, so a restart cannot insert a PMID twice and a new
+checkpoint on the same store never touches what another one has written.
 """
 
 from __future__ import annotations
@@ -18,17 +18,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions.text import article_content
 from quire.functions.vectors import hash_embed
-from quire.operators.store import create_store, new_articles, read_store
+from quire.operators.manifest import latest
+from quire.operators.store import create_store, read_store, stage_insert
 from quire.schemas import ARTICLE_STORE
 from quire.session import cut_lineage
 from quire.sources.medline import RECORD_SEP, map_medline, parse_records, record_blocks
 
-STORE_WITH_RUN = T.StructType(ARTICLE_STORE.fields + [T.StructField("run_id", T.StringType())])
-
 
 def medline_stream(spark: SparkSession, src: str) -> DataFrame:
     """Mapped records, with ``arrival``: file time, file, place in the read."""
@@ -46,24 +44,25 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def _batch_writer(store: str, checkpoint: str, run_ts: _dt.datetime, embed):
+    def article_store_rows(new: DataFrame) -> DataFrame:
+        return new.select("pmid", "title", "abstract",
+                          embed(article_content(F.col("title"), F.col("abstract"))).alias("content_vector"),
+                          F.lit(None).cast("string").alias("compound"),
+                          F.lit(None).cast("string").alias("disease"),
+                          F.lit(run_ts).cast("timestamp_ntz").alias("created_at"))
+
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         run = f"stream-{query_id(spark, checkpoint)}-{batch_id}"
+        if run in latest(spark, store).runs:     # committed before a restart
+            return
         # One row per pmid inside the batch: the first to arrive wins.
         placed = batch.withColumn("place", F.monotonically_increasing_id())
         first = (placed.groupBy("pmid")
                  .agg(F.min_by(F.struct("title", "abstract"), F.struct("file", "place")).alias("w"))
                  .select("pmid", "w.title", "w.abstract"))
-        first = cut_lineage(first, "ingest-batch")  # read by both joins
-        stored = (spark.read.schema(STORE_WITH_RUN).parquet(store)
-                  .filter(F.col("run_id") != run).select("pmid"))
-        rows = (new_articles(first, stored)
-                .select("pmid", "title", "abstract",
-                        embed(article_content(F.col("title"), F.col("abstract"))).alias("content_vector"),
-                        F.lit(None).cast("string").alias("compound"),
-                        F.lit(None).cast("string").alias("disease"),
-                        F.lit(run_ts).cast("timestamp_ntz").alias("created_at")))
-        rows.write.mode("overwrite").parquet(os.path.join(store, f"run_id={run}"))
+        first = cut_lineage(first, "ingest-batch")  # read by the joins
+        stage_insert(spark, store, first, run, article_store_rows).commit()
     return write
 
 

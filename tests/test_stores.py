@@ -2,8 +2,11 @@
 import datetime as dt
 
 
-from quire.operators.store import (article_rows, create_store, read_store, store_analyses,
-                                   store_articles)
+from pyspark.sql import functions as F
+
+from quire.operators.manifest import latest
+from quire.operators.store import (article_rows, create_store, new_articles, read_runs, read_store, stage_insert,
+                                   store_analyses, store_articles)
 from quire.schemas import ANALYSIS_STORE, ARTICLE_STORE
 from quire.session import fresh_path
 
@@ -49,3 +52,54 @@ def test_release_stages(spark):
     assert df.count() == 10 and os.path.isdir(stage_root(spark).replace("file:", ""))
     assert release_stages(spark)
     assert not os.path.exists(stage_root(spark).replace("file:", ""))
+
+
+def _articles(spark, pmids, title):
+    from quire.session import cut_lineage
+    return cut_lineage(spark.createDataFrame([(p, title, "a", None, "c", "d", TS1) for p in pmids], ARTICLE_STORE))
+
+
+def test_interleaved_writers_keep_one_row_per_pmid(spark):
+    path = fresh_path(spark, "t-two-writers")
+    store_articles(spark, path, _articles(spark, ["p0"], "zero"))
+    a = stage_insert(spark, path, _articles(spark, ["p0", "p1", "p2"], "a"))
+    b = stage_insert(spark, path, _articles(spark, ["p0", "p2", "p3"], "b"))
+    c = stage_insert(spark, path, _articles(spark, ["p1", "p3"], "c"))
+    for staged in (b, a, c):                      # the first commit wins, not the first to write
+        staged.commit()
+    got = sorted((r["pmid"], r["title"]) for r in read_store(spark, path, ARTICLE_STORE).collect())
+    assert got == [("p0", "zero"), ("p1", "a"), ("p2", "b"), ("p3", "b")]
+
+
+def test_what_is_not_committed_is_not_seen(spark):
+    path = fresh_path(spark, "t-uncommitted")
+    staged = stage_insert(spark, path, _articles(spark, ["p1"], "a"), name="run")
+    again = stage_insert(spark, path, _articles(spark, ["p1"], "retry"), name="run")
+    assert read_store(spark, path, ARTICLE_STORE).count() == 0
+    assert again.commit() and staged.commit() is None          # one of two attempts at a run counts
+    assert [r["title"] for r in read_store(spark, path, ARTICLE_STORE).collect()] == ["retry"]
+
+
+def test_two_log_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    path = fresh_path(spark, "t-log")
+    create_store(spark, path, ANALYSIS_STORE)
+    rows = spark.createDataFrame([("c", "d", [1.0], "x", TS1, 3)], ANALYSIS_STORE)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: store_analyses(spark, path, rows), range(6)))
+    assert read_store(spark, path, ANALYSIS_STORE).count() == 6
+
+
+def test_insert_reads_touched_buckets_only(spark):
+    path = fresh_path(spark, "t-buckets")
+    create_store(spark, path, ARTICLE_STORE, buckets=16)
+    store_articles(spark, path, _articles(spark, [f"p{i}" for i in range(400)], "t"))
+    runs = latest(spark, path).runs.values()
+    stored = read_runs(spark, path, ARTICLE_STORE, runs)
+    assert len(stored.inputFiles()) == 16
+    delta = new_articles(_articles(spark, ["p7", "new"], "t"), stored, 16)
+    assert [r["pmid"] for r in delta.collect()] == ["new"]
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    touched = {r[0] for r in stored.filter(F.col("pmid") == "p7").select("bucket").collect()}
+    assert "PartitionFilters: [bucket#" in plan or "PartitionFilters: [isnotnull(bucket" in plan, plan
+    assert all(str(b) in plan for b in touched)

@@ -36,3 +36,19 @@ def test_the_first_record_of_a_batch_wins(spark):
     _write(src, "f1.txt", "PMID- 1\nTI  - zzz\n\nPMID- 1\nTI  - aaa\n")
     out = run_ingest(spark, src, store, fresh_path(spark, "s-ck"), dt.datetime(2024, 1, 1))
     assert [r["title"] for r in out.collect()] == ["zzz"]
+
+
+def test_a_batch_that_was_committed_is_not_inserted_again(spark):
+    """A restart after the store's commit, but before the checkpoint's."""
+    from quire.operators.manifest import latest
+    src, store, ck = fresh_path(spark, "s-src"), fresh_path(spark, "s-store"), fresh_path(spark, "s-ck")
+    _write(src, "f1.txt", "PMID- 1\nTI  - one\n\nPMID- 2\nTI  - two\n")
+    run_ingest(spark, src, store, ck, dt.datetime(2024, 1, 1))
+    before = latest(spark, store)
+    local = ck.removeprefix("file:")
+    for name in os.listdir(os.path.join(local, "commits")):
+        os.remove(os.path.join(local, "commits", name))          # the batch counts as not done
+    out = run_ingest(spark, src, store, ck, dt.datetime(2024, 2, 1))
+    assert latest(spark, store) == before
+    assert sorted((r["pmid"], r["created_at"].year, r["created_at"].month) for r in out.collect()) == [
+        ("1", 2024, 1), ("2", 2024, 1)]
