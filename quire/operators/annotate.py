@@ -3,7 +3,8 @@
 Three ways to obtain the response text of a (topic, article):
   * ``annotate_recorded`` joins a recorded ``(pmid, response)`` table (A6 a);
   * ``annotate_with`` runs a caller's model over Arrow batches of prompts with
-    ``mapInPandas`` (A6 b / K3), so a model is loaded once per task;
+    ``mapInPandas`` (A6 b / K3); ``annotate_loaded`` has each task load its
+    model once, before its first prompt;
   * ``annotate_lexicon`` is a deterministic Catalyst rule for offline runs.
 All three feed the same parse, so the report code sees one shape:
 ``annotation_ok`` plus ``effect_type``, ``evidence_strength``, ``findings``,
@@ -59,14 +60,30 @@ def annotate_with(fetched: DataFrame, model: Callable[[Iterable[str]], Iterable[
 
     It runs inside ``mapInPandas``; each task builds its batches from its own
     partition, so the work spreads with the data."""
+    return annotate_loaded(fetched, lambda: model)
+
+
+def annotate_loaded(fetched: DataFrame, load: Callable[[], Callable[[Iterable[str]], Iterable[str]]],
+                    batch_size: int | None = None) -> DataFrame:
+    """K3 with a model that is costly to set up: ``load`` returns the model. It is
+    called at most once in a task, and only where the task has a prompt; what
+    it returns lives in the worker and is not shipped. ``batch_size``: most
+    prompts that a call of the model gets (default: an Arrow batch). The model
+    must answer each prompt it gets."""
     base = with_prompt(fetched)
     out_schema = T.StructType(base.schema.fields + [T.StructField("response", T.StringType())])
 
     def run(batches):
+        model = None
         for pdf in batches:
-            pdf = pdf.copy()
-            pdf["response"] = list(model(pdf["prompt"].tolist())) if len(pdf) else []
-            yield pdf
+            if len(pdf) and model is None:
+                model = load()
+            prompts, answers = pdf["prompt"].tolist(), []
+            for i in range(0, len(prompts), batch_size or len(prompts) or 1):
+                answers += model(prompts[i:i + (batch_size or len(prompts))])
+            if len(answers) != len(prompts):
+                raise ValueError(f"the model gave {len(answers)} answers to {len(prompts)} prompts")
+            yield pdf.assign(response=pd.Series(answers, index=pdf.index, dtype="object"))
 
     drop = [c for c in ("conclusion", "effect_type", "evidence_strength") if c in fetched.columns]
     return parse_responses(base.mapInPandas(run, out_schema).drop(*drop))

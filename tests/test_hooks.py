@@ -58,3 +58,47 @@ def test_tools_chain_with_transform(spark, ctx001):
     r = ctx001.topics().transform(search_literature, ctx001.arts, 3, FIXTURE_EFFECT_TERMS)
     assert r.groupBy("topic_id").count().filter("count > 3").count() == 0
     assert r.count() > 0
+
+
+def test_a_loaded_model_is_set_up_once_per_task(spark, tmp_path):
+    from quire.operators.annotate import annotate_loaded
+    log = str(tmp_path)
+
+    def load():
+        import json
+        import os
+        import uuid
+        token, calls = uuid.uuid4().hex, [0]
+        open(os.path.join(log, token), "w").close()
+
+        def model(prompts):
+            calls[0] += 1
+            assert len(prompts) <= 5
+            return [json.dumps({"effect_type": "neutral", "findings": [token, str(calls[0])]}) for _ in prompts]
+        return model
+
+    fetched = spark.range(300).repartition(3).selectExpr(
+        "0 topic_id", "cast(id as int) rank", "concat('p', id) pmid", "'t' title", "'a' abstract",
+        "'c' compound", "'d' disease")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rows = annotate_loaded(fetched, load, batch_size=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokens = {r["findings"][0] for r in rows}
+    assert len(rows) == 300 and len(tokens) == 3 == len(list(tmp_path.iterdir()))
+    assert max(int(r["findings"][1]) for r in rows) >= 15       # many calls, one load
+
+
+def test_no_prompt_no_load_and_a_short_answer_fails(spark):
+    import pytest
+    from quire.operators.annotate import annotate_loaded
+    schema = "topic_id int, rank int, pmid string, title string, abstract string, compound string, disease string"
+
+    def broken():
+        raise RuntimeError("loaded")
+
+    assert annotate_loaded(spark.createDataFrame([], schema), broken).count() == 0
+    one = spark.createDataFrame([(0, 1, "p1", "t", "a", "c", "d")], schema)
+    with pytest.raises(Exception, match="0 answers to 1 prompts"):
+        annotate_loaded(one, lambda: lambda prompts: []).collect()
