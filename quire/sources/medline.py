@@ -1,10 +1,11 @@
 """MEDLINE tagged text: reader (A3), tag-to-column mapping (C1, P3), writer.
 
 Records are blocks separated by a blank line, so the text source splits on
-"\\n\\n" (``lineSep``); a file is therefore split across tasks like any text
-file, and a record never needs more than its own block. Files with CRLF lines
-hold no "\\n\\n", so a block is cut once more at its blank CRLF lines; such a
-file is read by one task. Inside a block:
+"\\n\\n" or, for files with CRLF lines, on "\\r\\n\\r\\n" (``lineSep``): a file is
+split across tasks like any text file, and a record never needs more than its
+own block. The first line end of each file says which; a block that holds
+blank lines of the other kind is cut once more. A stream does not look into
+its files beforehand and reads a CRLF file as one block. Inside a block:
 
 * a line starting with six spaces continues the previous tag;
 * a tag line is ``KEY`` (first four characters, right-trimmed), then from the
@@ -17,12 +18,16 @@ file is read by one task. Inside a block:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.dates import DEFAULT_FALLBACK, parse_pub_date, with_fallback
 
-RECORD_SEP = "\n\n"
+RECORD_SEP, CRLF_RECORD_SEP = "\n\n", "\r\n\r\n"
+SNIFF_BYTES = 8192  # the first line end of a file lies within them, or LF is assumed
 CONT = "\u0001"  # marks a folded continuation line inside one tag line
 # Tags whose continuation lines fold into the last element.
 FOLD_TAGS = ("MH", "AD")
@@ -71,9 +76,39 @@ def tag_list(rec: Column, key: str) -> Column:
     return F.flatten(F.transform(hits, lambda e: e["parts"]))
 
 
+def has_crlf(spark: SparkSession, file: str) -> bool:
+    """Whether the first line of a file ends with CRLF."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).open(path)
+    try:
+        head = bytes(sc._jvm.org.apache.commons.io.IOUtils.toByteArray(
+            sc._jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFF_BYTES)))
+    finally:
+        stream.close()
+    end = head.find(b"\n")
+    return end > 0 and head[end - 1:end] == b"\r"
+
+
+def _raw_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(value): what lies between blank lines, by each file's own line ends."""
+    def blocks(sep, source):
+        return spark.read.option("lineSep", sep).text(source)
+
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    with ThreadPoolExecutor(16) as pool:
+        crlf = list(pool.map(lambda f: has_crlf(spark, f), files))
+    if not any(crlf):
+        return blocks(RECORD_SEP, path)
+    if all(crlf):
+        return blocks(CRLF_RECORD_SEP, path)
+    return blocks(RECORD_SEP, [f for f, c in zip(files, crlf) if not c]).unionByName(
+        blocks(CRLF_RECORD_SEP, [f for f, c in zip(files, crlf) if c]))
+
+
 def read_medline(spark: SparkSession, path: str) -> DataFrame:
     """A3: one row per record block: (record array<struct<key, parts>>)."""
-    return (spark.read.option("lineSep", RECORD_SEP).text(path)
+    return (_raw_blocks(spark, path)
             .select(record_blocks(F.col("value")).alias("block"))
             .filter(F.regexp_replace("block", r"\s", "") != F.lit(""))
             .select(parse_records(F.col("block")).alias("record")))
