@@ -120,17 +120,23 @@ class Bpe:
     def pre_tokens(self, text: str):
         """Lists of pre-tokens of a text without special tokens: NFC, lower
         case of each character, then the file's split, which drops white space.
-        Long texts are cut before a space, across which nothing interacts."""
+        Long texts are cut before white space, across which nothing interacts,
+        and what is long without any is split a block of pre-tokens at a time."""
         start = 0
         while start < len(text):
             end = len(text)
             if end - start > CHUNK:
-                at = text.find(" ", start + CHUNK)
-                end = at if at > 0 else end
+                gap = _GAP.search(text, start + CHUNK)
+                end = gap.start() if gap else end
             part = text[start:end] if start or end < len(text) else text
             start = end
             if part.isascii() or _PLAIN.fullmatch(part):
-                yield _plain_split().findall(part.lower())
+                if len(part) <= 2 * CHUNK:
+                    yield _plain_split().findall(part.lower())
+                    continue
+                found = (m.group() for m in _plain_split().finditer(part.lower()))
+                while words := list(itertools.islice(found, BLOCK)):
+                    yield words
             else:
                 yield self._library_split(part)
 
@@ -204,14 +210,26 @@ class Bpe:
             yield self.merge([inner[b] for b in word[start:n - 1]] + [self.final[word[n - 1]]])
 
     def encode(self, text: str | None):
-        """Lists of ids of ``text`` (null: none), one for each chunk of it."""
+        """Lists of ids of ``text`` (null: none), one for each chunk of it and
+        for each stable part of a pre-token longer than the buffer."""
         parts = self.cut.split(text or "") if self.cut else [text or ""]
         for i, part in enumerate(parts):
             if i % 2:
                 yield [self.special[part]]
                 continue
             for words in self.pre_tokens(part):
-                yield list(itertools.chain.from_iterable(map(self.kept.__getitem__, words)))
+                yield from self._ids(words)
+
+    def _ids(self, words: list[str]):
+        if max(map(len, words), default=0) <= self.buffer:
+            yield list(itertools.chain.from_iterable(map(self.kept.__getitem__, words)))
+            return
+        for streams, some in itertools.groupby(words, lambda w: len(w) > self.buffer):
+            if streams:
+                for word in some:
+                    yield from self.encode_word(word.encode())
+            else:
+                yield list(itertools.chain.from_iterable(map(self.kept.__getitem__, some)))
 
     # -- decoder -----------------------------------------------------------------
 
@@ -251,6 +269,7 @@ class _Kept(dict):
 
 
 _NEVER = 1 << 60
+_GAP = re.compile("[ \\t\\n\\r]")
 # Characters below U+0180 and some punctuation: all single code points that NFC
 # leaves alone, with the same categories in every Unicode version.
 _PLAIN = re.compile("[\x00-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")

@@ -329,3 +329,26 @@ def test_columns_round_trip(spark, docs_table):
     got = texts.withColumn("back", bpe.decode_column("ids")).collect()
     fold = lambda s: "".join(s.lower().split())
     assert all(fold(r.back) == fold(r.text) for r in got)
+
+
+@pytest.mark.parametrize("unit", ["some words here ", "some\nlines\nhere\n", "a1,b2;", "wordwithoutend"])
+def test_bpe_memory_does_not_grow_with_the_text(both, unit):
+    import tracemalloc
+    small, large = (unit * (n // len(unit)) for n in (900_000, 2_700_000))
+
+    def peak(text):
+        tracemalloc.start()
+        bpe.digests(both[0], text)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+    peak(small)
+    # The text's own copies (lower case, bytes) are all that may grow.
+    assert peak(large) - peak(small) < 3 * (len(large) - len(small)) + 2_000_000
+
+
+@pytest.mark.parametrize("unit", ["some\tlines\r\nhere\n", "a1,b2;", "wordwithoutend", "é́\ńx"])
+def test_bpe_long_texts_without_spaces_equal_the_library(both, unit):
+    text = unit * (700_000 // len(unit))
+    want = both[1].encode(text, add_special_tokens=False).ids
+    assert [i for ids in both[0].encode(text) for i in ids] == want
