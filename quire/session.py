@@ -98,10 +98,11 @@ _SCOPES: list[str] = []
 @contextlib.contextmanager
 def stage_scope(name: str):
     """Stages materialised inside go to a folder of their own (``name``), which
-    ``release_stages`` can delete while the others stay."""
+    ``release_stages`` can delete while the others stay. Gives the names of all
+    scopes around, outermost first, which ``release_stages`` takes."""
     _SCOPES.append(name)
     try:
-        yield
+        yield tuple(_SCOPES)
     finally:
         _SCOPES.pop()
 
