@@ -10,7 +10,11 @@ same such phrase are one run, so there is a row for some 150 positions.
 Dictionary. Runs are identified by a 128-bit hash of all bytes their strings
 cover. A phrase that occurs in one run only proves all strings of that run
 unique. Equal runs prove all their strings repeated, and one of them stands
-for all from here on: highly repetitive text shrinks to its dictionary.
+for all from here on: highly repetitive text shrinks to its dictionary. Equal
+runs that a task sees together become one before the exchange; phrases and
+runs are counted by partial aggregates, and the counts go back to the rows by
+joins of written tables, whose hot keys Spark splits: a phrase held by a third
+of all documents is not one task's work.
 
 Combination. What is left are phrases with several different runs (edges of
 copies). For each phrase, the suffix order of what precedes it (read backwards)
@@ -27,15 +31,16 @@ no whole phrase (long stretches without a trigger).
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.common import id_key, per_worker, quoted, table, without
-from quire.session import cut_lineage
+from quire.session import cut_lineage, release_stages, stage_scope
 
 LENGTH = 400
 TRIGGER = 32
@@ -130,7 +135,9 @@ _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 
 def _parse(length: int):
     """(doc, th, bytes) -> runs (kind 0), positions without a phrase (kind 1)
-    and stretches that repeat within what a task sees at once (kind 2)."""
+    and stretches that repeat within what a task sees at once (kind 2). Of equal
+    runs or positions that a task sees at once, one is a row of kind 0 or 1 and
+    all are of kind 2."""
     def rows(units):
         parts = [t[a:a + SEGMENT + length - 1] for _, _, t, a in units]
         counts = [min(SEGMENT, max(0, len(p) - length + 1)) for p in parts]
@@ -150,24 +157,33 @@ def _parse(length: int):
             cols = [np.full(len(pos), kind, np.int32), docs[own], texts[own], pos + base[own], n, key, h[:, 0], h[:, 1], at]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_NAMES)
 
+        def stretches(o, pos, n):
+            # A key of its own (the position) keeps these rows spread.
+            zero = np.zeros((len(pos), 2), np.int64)
+            return batch(2, o, pos, n, docs[o] ^ (pos << 20), zero, zero[:, 0])
+
+        def alike(h):
+            _, one, back, n = np.unique(h, axis=0, return_index=True, return_inverse=True, return_counts=True)
+            return one, n[back.reshape(-1)] > 1
+
         has = phrase >= 0
         o, s, e = own[has], start[has], end[has]
-        yield batch(0, o, s, e - s, name[has].view(np.int64), hashes(s, e - 1 + length), phrase[has] - s)
+        key, at, h = name[has].view(np.int64), phrase[has] - s, hashes(s, e - 1 + length)
+        one, again = alike(h)
+        yield batch(0, o[one], s[one], (e - s)[one], key[one], h[one], at[one])
+        if again.any():
+            yield stretches(o[again], s[again], (e - s)[again])
         o, s, e = own[~has], start[~has], end[~has]
         if len(s):
             pos = np.concatenate([np.arange(a, b) for a, b in zip(s, e)])
             o = np.repeat(o, e - s)
             h = hashes(pos, pos + length)
-            _, one, back, n = np.unique(h, axis=0, return_index=True, return_inverse=True, return_counts=True)
-            again = n[back] > 1
+            one, again = alike(h)
             yield batch(1, o[one], pos[one], np.ones(len(one), np.int64), h[one, 0], h[one], np.zeros(len(one), np.int64))
             if again.any():
                 o, pos = o[again], pos[again]
                 head = np.flatnonzero(np.append(True, (np.diff(pos) != 1) | (np.diff(o) != 0)))
-                n = np.diff(np.append(head, len(pos)))
-                zero = np.zeros((len(head), 2), np.int64)
-                # A key of its own (the position) keeps these rows spread.
-                yield batch(2, o[head], pos[head], n, docs[o[head]] ^ (pos[head] << 20), zero, zero[:, 0])
+                yield stretches(o[head], pos[head], np.diff(np.append(head, len(pos))))
 
     def run(batches):
         held, size = [], 0
@@ -273,13 +289,13 @@ def combine(groups, texts, at, n, length: int = LENGTH):
 
 
 _STRETCH = "doc long, th long, start long, stop long"
-_OPEN = "key long, doc long, th long, pos long, n long, at long, covers binary, different long"
+_OPEN = "key long, doc long, th long, pos long, n long, at long, covers binary, hot boolean"
 
 
 def _cut_runs(length: int):
     """(doc, th, bytes, list of runs) -> one row per run with the bytes it covers."""
     def out(rows):
-        types = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
+        types = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                           names=[c.split()[0] for c in _OPEN.split(", ")])
 
@@ -290,7 +306,7 @@ def _cut_runs(length: int):
                 for r in found:
                     pos = r["pos"]
                     rows.append((r["key"], doc, th, pos, r["n"], r["at"], text[pos:pos + r["n"] - 1 + length],
-                                 r["different"]))
+                                 r["hot"]))
                 if len(rows) >= BATCH:
                     yield out(rows)
                     rows = []
@@ -345,31 +361,45 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     """(doc, th, start, stop): byte ranges covered by repeated strings. ``docs``
     has doc, th (hash of the text) and bytes; rows equal in doc and th are
     equal texts, which repeat each other."""
-    parsed = docs.select("doc", "th", "bytes").mapInArrow(_parse(length), _ROWS)
-    by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "h1", "h2")
-    # One exchange by key and one sort serve all four windows.
-    known = (parsed.withColumn("total", F.count("*").over(by_key)).where("total > 1 OR kind = 2")
-             .withColumn("same", F.count("*").over(by_run))
-             .withColumn("first", (F.row_number().over(by_run.orderBy("doc", "th", "pos")) == 1) & (F.col("kind") == 0))
-             .withColumn("different", F.count(F.when(F.col("first"), 1)).over(by_key)))
-    # Rows that decide nothing: unique positions without a phrase.
-    known = cut_lineage(known.where("kind = 2 OR same > 1 OR different > 1")
-                        .select("kind", "doc", "th", "pos", "n", "key", "at", "same", "first", "different"), "suffix-runs")
-    sure = known.where("kind = 2 OR same > 1").select("doc", "th", F.col("pos").alias("start"),
-                                                      (F.col("pos") + F.col("n") - 1 + length).alias("stop"))
-
-    open_runs = known.where("first AND different > 1").groupBy("doc", "th").agg(
-        F.collect_list(F.struct("key", "pos", "n", "at", "different")).alias("found"))
+    spark = docs.sparkSession
+    stop = F.col("pos") + F.col("n") - 1 + length
+    with stage_scope(f"suffix-parse-{uuid.uuid4().hex[:12]}") as scopes:
+        parsed = cut_lineage(docs.select("doc", "th", "bytes").mapInArrow(_parse(length), _ROWS), "runs")
+    # Phrases of two or more rows; their runs differ unless both hash halves are constant.
+    phrases = cut_lineage(
+        parsed.where("kind < 2").groupBy("key")
+        .agg(F.count("*").alias("total"), *(f(h).alias(f"{f.__name__}_{h}") for f in (F.min, F.max) for h in ("h1", "h2")))
+        .where("total > 1")
+        .select("key", F.expr("min_h1 < max_h1 OR min_h2 < max_h2").alias("differs")), "suffix-phrases")
+    known = cut_lineage(parsed.where("kind < 2").join(phrases, "key")
+                        .unionByName(parsed.where("kind = 2").withColumn("differs", F.lit(False))), "suffix-runs")
+    release_stages(spark, *scopes)
+    alike = known.where("NOT differs").select("doc", "th", F.col("pos").alias("start"), stop.alias("stop"))
+
+    several = known.where("differs")
+    distinct = cut_lineage(
+        several.groupBy("key", "h1", "h2")
+        .agg(F.count("*").alias("same"), F.min("kind").alias("kind"), F.min(F.struct("doc", "th", "pos", "n", "at")).alias("run"))
+        .select("key", "h1", "h2", "same", "kind", "run.*"), "suffix-distinct")
+    equal = (several.join(distinct.where("same > 1").select("key", "h1", "h2"), ["key", "h1", "h2"])
+             .select("doc", "th", F.col("pos").alias("start"), stop.alias("stop")))
+
+    runs = distinct.where("kind = 0")
+    split_keys = cut_lineage(runs.groupBy("key").count().where(F.col("count") > hot)
+                             .select("key", F.lit(True).alias("split")), "suffix-hot")
+    open_runs = (runs.join(split_keys, "key", "left").groupBy("doc", "th")
+                 .agg(F.collect_list(F.struct("key", "pos", "n", "at", F.coalesce("split", F.lit(False)).alias("hot")))
+                      .alias("found")))
     runs_of = cut_lineage(
         open_runs.join(docs.select("doc", "th", "bytes"), ["doc", "th"]).select("doc", "th", "bytes", "found")
         .mapInArrow(_cut_runs(length), _OPEN), "suffix-open")
-    found = (runs_of.where(F.col("different") <= hot).drop("different").repartition("key")
+    found = (runs_of.where("NOT hot").drop("hot").repartition("key")
              .sortWithinPartitions("key").mapInArrow(_combine(length), _STRETCH))
-    split = (runs_of.where(F.col("different") > hot).drop("different")
-             .mapInArrow(_positions(length), "doc long, th long, pos long, h1 long, h2 long")
-             .withColumn("same", F.count("*").over(Window.partitionBy("h1", "h2"))).where("same > 1")
+    strings = runs_of.where("hot").drop("hot").mapInArrow(_positions(length), "doc long, th long, pos long, h1 long, h2 long")
+    twice = cut_lineage(strings.groupBy("h1", "h2").count().where(F.col("count") > 1).select("h1", "h2"), "suffix-twice")
+    split = (strings.join(twice, ["h1", "h2"])
              .select("doc", "th", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop")))
-    return sure.unionByName(found).unionByName(split)
+    return alike.unionByName(equal).unionByName(found).unionByName(split)
 
 
 def _cut(bytes_: pd.Series, stretches: pd.Series) -> pd.DataFrame:

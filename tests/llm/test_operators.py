@@ -58,6 +58,31 @@ def test_suffix_dedup_equals_brute_force(spark, seed, monkeypatch):
         assert rows(suffix_dedup.remove_repeated(df, hot=2), *STRETCHES) == want
 
 
+@pytest.mark.parametrize("hot", [20, suffix_dedup.HOT])
+def test_suffix_dedup_of_a_passage_that_most_documents_hold(spark, hot):
+    """A passage in contexts of their own, exact copies and rows equal in id and text."""
+    rnd = random.Random(11)
+    text = lambda k: "".join(rnd.choice("abcdefghij klmno") for _ in range(k))
+    passage, copy = text(1000), text(1500)
+    docs = [{"doc_id": i, "text": text(rnd.randint(0, 300)) + passage + text(rnd.randint(0, 300))} for i in range(60)]
+    docs += [{"doc_id": 100 + i, "text": copy} for i in range(60)] + [{"doc_id": 200, "text": copy}] * 3
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string").repartition(7)
+    got = suffix_dedup.remove_repeated(df, hot=hot)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, *STRETCHES) == sorted(brute.substring_dedup(docs), key=str)
+
+
+def test_equal_runs_of_a_task_are_one_row():
+    import pyarrow as pa
+    text = "".join(random.Random(5).choices("abcdefgh ", k=2000)).encode()
+
+    def kinds(n):
+        batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(n), pa.int64()), "th": pa.array([0] * n, pa.int64()),
+                                            "bytes": pa.array([text] * n, pa.binary())})
+        return collections.Counter(r["kind"] for b in suffix_dedup._parse(400)([batch]) for r in b.to_pylist())
+    assert kinds(50)[0] == kinds(1)[0] and kinds(50)[2] == 50 * kinds(1)[0] and kinds(1)[2] == 0
+
+
 def test_suffix_dedup_documents(docs_table, docs):
     want = sorted(brute.substring_dedup(docs), key=str)
     assert rows(suffix_dedup.remove_repeated(docs_table), *STRETCHES) == want
