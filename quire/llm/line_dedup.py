@@ -7,10 +7,11 @@
    slot of a hash indexes three compact arrays: fingerprint, count, owner.
 3. Documents probe the arrays: probe rows stream through the task that holds
    their shard's arrays (sorted so that the arrays come first), so a task
-   keeps one shard and one Arrow batch. A shard is copied to ``SALTS`` tasks
-   and a document's probes choose one by id, so a line held by a third of all
-   documents is not one task's work. Nothing is broadcast and lines are not
-   joined with lines.
+   keeps one shard and one Arrow batch. The probes of every shard are counted
+   first; a shard is copied once per ``PROBES_PER_TASK`` of them and a
+   document's probes choose a copy by id, so a line held by a third of all
+   documents is never one task's work, at any size. Lines are not joined with
+   lines.
 4. Each document gets the hashes it loses and drops those lines.
 
 The probability that a line is dropped wrongly is that of a 128-bit collision.
@@ -31,7 +32,7 @@ from quire.session import cut_lineage
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 100_000
-SALTS = 8
+PROBES_PER_TASK = 200_000
 _GAMMA = 2.0
 _MAX_LEVELS = 48
 
@@ -189,13 +190,14 @@ def _probe(batches):
             found, counts, owner = shard.probe(h1[a:b], h2[a:b])
             lose = found & (counts >= 2) & (owner != doc[a:b])
             if lose.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[a:b][lose]), pa.array(h1[a:b][lose])], names=["doc", "h1"])
+                both = np.stack([h1[a:b][lose], h2[a:b][lose]], 1)
+                lines = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][lose]), lines.cast(pa.binary())], names=["doc", "line"])
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
-                   keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
-    """(doc, h1): first hash halves of the line keys that each document loses.
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD,
+                   probes_per_task: int = PROBES_PER_TASK) -> DataFrame:
+    """(doc, line): hashes of the line keys that each document loses.
 
     ``doc`` is the id (``NULL_ID`` for null). Rows that share an id are one
     document. A key in two or more documents stays only in the smallest id.
@@ -211,14 +213,18 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
     arrays = (counts.select(shard, "h1", "h2", "docs", "owner")
               .groupBy("shard").applyInPandas(_build, "shard int, arrays binary"))
-    salted = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-                           F.lit(0).alias("kind"), *(F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "doc")),
-                           "arrays")
-    probes = keys.select(shard, F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"),
-                         F.lit(1).alias("kind"), "h1", "h2", "doc", F.lit(None).cast("binary").alias("arrays"))
+    # One row per shard: into how many copies its probes are dealt.
+    copies = cut_lineage(keys.groupBy(shard).agg(F.ceil(F.count("*") / probes_per_task).cast("int").alias("copies")),
+                         "line-copies")
+    salted = arrays.join(copies, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"),
+        *(F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "doc")), "arrays")
+    probes = keys.select("*", shard).join(copies, "shard").select(
+        "shard", F.pmod(F.xxhash64("doc"), F.col("copies")).cast("int").alias("salt"),
+        F.lit(1).alias("kind"), "h1", "h2", "doc", F.lit(None).cast("binary").alias("arrays"))
     return (salted.unionByName(probes).repartition("shard", "salt")
             .sortWithinPartitions("shard", "salt", "kind")
-            .mapInArrow(_probe, "doc long, h1 long"))
+            .mapInArrow(_probe, "doc long, line binary"))
 
 
 def _cut_lines(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
@@ -231,15 +237,15 @@ def _cut_lines(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
             out.append(t)
             dropped.append(0)
             continue
-        gone = set(np.asarray(h, np.int64).tolist())
-        kept = [p for p, k in zip(parts, line_keys(t))
-                if not k or struct.unpack_from("<q", key_hash(k))[0] not in gone]
+        gone = {bytes(x) for x in h}
+        kept = [p for p, k in zip(parts, line_keys(t)) if not k or key_hash(k) not in gone]
         out.append("\n".join(kept))
         dropped.append(len(parts) - len(kept))
     return pd.DataFrame({"text": out, "n_lines": lines, "n_dropped": dropped})
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD,
+                probes_per_task: int = PROBES_PER_TASK) -> DataFrame:
     """``docs`` with ``text`` cut to its kept lines, plus ``n_lines`` (before)
     and ``n_dropped``; input columns with these two names are replaced.
 
@@ -248,8 +254,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id are one document, a null doc_id counts as the largest id. An empty
     table gives an empty table.
     """
-    lost = (repeated_lines(docs, min_chars).groupBy("doc")
-            .agg(F.collect_set("h1").alias("__lost")).withColumnRenamed("doc", "__doc"))
+    lost = (repeated_lines(docs, min_chars, keys_per_shard, probes_per_task).groupBy("doc")
+            .agg(F.collect_set("line").alias("__lost")).withColumnRenamed("doc", "__doc"))
     kept = without(docs, "n_lines", "n_dropped", "__doc", "__lost", ROW_ID)
     cut = F.col("__cut")
     cut_lines = F.pandas_udf(_cut_lines, "text string, n_lines long, n_dropped long")

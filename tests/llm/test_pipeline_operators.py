@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from quire.llm import bpe, line_dedup, mixing, quality, simhash
 from tests.llm import brute
 
@@ -16,11 +18,26 @@ def rows(df, *cols):
 
 # -- line dedup -----------------------------------------------------------------
 
-@pytest.mark.parametrize("shard", [50, 100_000])
-def test_line_dedup_equals_brute_force(docs_table, docs, shard, monkeypatch):
-    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", shard)
-    got = line_dedup.dedup_lines(docs_table).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256)")
+@pytest.mark.parametrize("shard,probes", [(50, 100), (100_000, 200_000)])
+def test_line_dedup_equals_brute_force(docs_table, docs, shard, probes):
+    got = (line_dedup.dedup_lines(docs_table, keys_per_shard=shard, probes_per_task=probes)
+           .selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256)"))
+    assert rows(got, *got.columns) == sorted(brute.line_dedup(docs), key=str)
+
+
+def test_probes_of_a_line_that_most_documents_hold_are_dealt_out(spark):
+    docs = [{"doc_id": i, "text": f"shared by everyone\nown line number {i}\n Shared By Everyone "} for i in range(2000)]
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
+    got = line_dedup.dedup_lines(df, probes_per_task=50).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256)")
     assert rows(got, *got.columns) == sorted(brute.line_dedup(docs), key=str)
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        lost = line_dedup.repeated_lines(df, probes_per_task=50)
+        sizes = [r["count"] for r in lost.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset(conf)
+    assert sum(sizes) == 1999 and max(sizes) < 700
 
 
 def test_line_dedup_odd_rows(odd, odd_docs, empty):
