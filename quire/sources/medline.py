@@ -33,8 +33,17 @@ CONT = "\u0001"  # marks a folded continuation line inside one tag line
 FOLD_TAGS = ("MH", "AD")
 
 
+# Characters before or at which ``$`` matches, beyond "\n": a pattern that ends
+# in ``$`` is tried on strings alone whose last character lets it match.
+_LINE_ENDS = ("\r", "\u0085", "\u2028", "\u2029")
+
+
 def _rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
+    return F.when(F.substring(c, -1, 1).isin(*" \t\n\x0b\f", *_LINE_ENDS), F.regexp_replace(c, r"\s+$", "")).otherwise(c)
+
+
+def _is_blank(c: Column) -> Column:
+    return ~c.rlike(r"\S")
 
 
 def record_blocks(text: Column) -> Column:
@@ -47,15 +56,16 @@ def record_blocks(text: Column) -> Column:
 def parse_records(blocks: Column) -> Column:
     """array<struct<key:string, parts:array<string>>>: one entry per tag line,
     ``parts`` = its value and its continuation lines, in order."""
-    b = F.regexp_replace(blocks, r"^\n+|\n+$", "")
-    folded = F.regexp_replace(b, "\n      ", CONT)
-    lines = F.filter(F.split(folded, "\n"), lambda l: _rstrip(l) != F.lit(""))
+    b = F.when(blocks.startswith("\n") | F.substring(blocks, -1, 1).isin("\n", *_LINE_ENDS),
+               F.regexp_replace(blocks, r"^\n+|\n+$", "")).otherwise(blocks)
+    folded = F.replace(b, F.lit("\n      "), F.lit(CONT))
+    lines = F.filter(F.split(folded, "\n"), lambda l: ~_is_blank(l))
 
     def entry(line):
         segs = F.split(line, CONT)
         parts = F.transform(segs, lambda s, i: F.when(
             i == 0, _rstrip(F.substring(s, 7, 1 << 30))).otherwise(
-            F.when(_rstrip(s) == F.lit(""), F.lit("\n")).otherwise(_rstrip(s))))
+            F.when(_is_blank(s), F.lit("\n")).otherwise(_rstrip(s))))
         return F.struct(_rstrip(F.substring(line, 1, 4)).alias("key"), parts.alias("parts"))
 
     return F.filter(F.transform(lines, entry), lambda e: e["key"] != F.lit(""))
@@ -110,7 +120,7 @@ def read_medline(spark: SparkSession, path: str) -> DataFrame:
     """A3: one row per record block: (record array<struct<key, parts>>)."""
     return (_raw_blocks(spark, path)
             .select(record_blocks(F.col("value")).alias("block"))
-            .filter(F.regexp_replace("block", r"\s", "") != F.lit(""))
+            .filter(~_is_blank(F.col("block")))
             .select(parse_records(F.col("block")).alias("record")))
 
 
@@ -119,10 +129,11 @@ def map_medline(records: DataFrame, fallback=DEFAULT_FALLBACK, keep: tuple[str,
     PMID are dropped. Also keeps the raw date ``dp``."""
     r = F.col("record")
     s = lambda k: F.coalesce(tag_text(r, k), F.lit(""))
-    out = records.select(
+    # Inlined: the filter below would else be pushed down with a parse of its own.
+    out = records.select(F.inline(F.array(F.struct(
         s("PMID").alias("pmid"), s("TI").alias("title"), s("AB").alias("abstract"),
         tag_list(r, "AU").alias("authors"), s("DP").alias("dp"), s("TA").alias("journal"),
-        tag_list(r, "MH").alias("keywords"), *keep)
+        tag_list(r, "MH").alias("keywords")))), *keep)
     return (out.filter(F.col("pmid") != F.lit(""))
             .withColumn("publication_date_parsed", parse_pub_date(F.col("dp")))
             .withColumn("publication_date", with_fallback(F.col("publication_date_parsed"), fallback)))

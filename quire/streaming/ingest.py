@@ -34,7 +34,7 @@ def medline_stream(spark: SparkSession, src: str) -> DataFrame:
            .option("recursiveFileLookup", "true").load(src))
     raw = raw.select(F.struct("_metadata.file_modification_time", "_metadata.file_path",
                               "_metadata.file_block_start").alias("file"), record_blocks(F.col("value")).alias("block"))
-    raw = raw.filter(F.regexp_replace("block", r"\s", "") != F.lit(""))
+    raw = raw.filter(F.col("block").rlike(r"\S"))
     return map_medline(raw.select(parse_records(F.col("block")).alias("record"), "file"), keep=("file",))
 
 
@@ -43,6 +43,17 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(os.path.join(checkpoint, "metadata")).first()[0])["id"]
 
 
+def rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``rows`` (a written table) at some places, joined by the shorter of two
+    lists, those of the rows wanted and of the others: a batch that is all new
+    or all known takes no shuffle of its texts."""
+    wanted = cut_lineage(places.select("place"), "ingest-wanted")
+    if 2 * wanted.count() <= rows.count():
+        return rows.join(wanted, "place", "left_semi")
+    return rows.join(cut_lineage(rows.select("place").join(wanted, "place", "left_anti"), "ingest-other"),
+                     "place", "left_anti")
+
+
 def _batch_writer(store: str, checkpoint: str, run_ts: _dt.datetime, embed):
     def article_store_rows(new: DataFrame) -> DataFrame:
         return new.select("pmid", "title", "abstract",
@@ -56,13 +67,12 @@ def _batch_writer(store: str, checkpoint: str, run_ts: _dt.datetime, embed):
         run = f"stream-{query_id(spark, checkpoint)}-{batch_id}"
         if run in latest(spark, store).runs:     # committed before a restart
             return
+        # Parsed once; who is first and who is stored is settled without the texts.
+        placed = cut_lineage(batch.withColumn("place", F.monotonically_increasing_id()), "ingest-batch")
         # One row per pmid inside the batch: the first to arrive wins.
-        placed = batch.withColumn("place", F.monotonically_increasing_id())
-        first = (placed.groupBy("pmid")
-                 .agg(F.min_by(F.struct("title", "abstract"), F.struct("file", "place")).alias("w"))
-                 .select("pmid", "w.title", "w.abstract"))
-        first = cut_lineage(first, "ingest-batch")  # read by the joins
-        stage_insert(spark, store, first, run, article_store_rows).commit()
+        first = placed.groupBy("pmid").agg(F.min(F.struct("file", "place")).alias("w")).select("pmid", "w.place")
+        first = cut_lineage(first, "ingest-first")  # read by the joins
+        stage_insert(spark, store, first, run, lambda new: article_store_rows(rows_at(placed, new))).commit()
     return write
 
 
@@ -71,7 +81,8 @@ def start_ingest(spark: SparkSession, src: str, store: str, checkpoint: str,
     """Start the ingest query; with ``available_now`` it stops when the files
     present at start are done."""
     create_store(spark, store, ARTICLE_STORE)
-    w = (medline_stream(spark, src).writeStream
+    # What a batch need not have is left out here: its plan is fixed before the writer sees it.
+    w = (medline_stream(spark, src).select("pmid", "title", "abstract", "file").writeStream
          .foreachBatch(_batch_writer(store, checkpoint, run_ts, embed))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
