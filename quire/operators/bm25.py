@@ -33,7 +33,8 @@ from quire.operators.match import B, K1, SCORE_DP, CorpusStats, doc_tokens, top_
 from quire.session import cut_lineage
 
 BLOCK = 128
-RUN_TOKENS = 4_000_000
+RUN_TOKENS = 2_000_000  # a run and its lists are held by one task, in the index and in the search
+ROWS = 256              # index rows turned into Python objects at a time
 MARGIN = 2e-6          # two units of a rounded score
 DOCUMENTS = ""         # the token of a run's document row (no real token is empty)
 
@@ -60,10 +61,21 @@ def _run_rows(run: int, pmids, doc_ids, toks):
     dl = np.diff(toks.offsets.to_numpy()).astype(np.int32)
     flat = toks.flatten().dictionary_encode()
     n = max(1, len(dl))
-    key = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(len(dl)), dl)
-    key, tf = np.unique(key, return_counts=True)
-    code, doc = key // n, (key % n).astype(np.int32)
-    tf, length = tf.astype(np.int32), dl[doc]
+    # One array of a long per token, sorted in place: a task's memory is a few of them.
+    key = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key *= n
+    key += np.repeat(np.arange(len(dl), dtype=np.int32), dl)
+    key.sort()
+    flat, tokens_in = flat.dictionary, len(key)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:tokens_in]).astype(np.int32)
+    key = key[at]
+    tf = np.diff(at, append=np.int32(tokens_in))
+    del at
+    code, doc = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
+    np.floor_divide(key, n, out=code, casting="unsafe")
+    np.remainder(key, n, out=doc, casting="unsafe")
+    del key
+    length = dl[doc]
     first = np.flatnonzero(np.diff(code, prepend=-1))
     size = np.diff(np.append(first, len(code)))
     blocks = -(-size // BLOCK)
@@ -79,7 +91,7 @@ def _run_rows(run: int, pmids, doc_ids, toks):
 
     def only_first(value, kind):
         return pa.concat_arrays([pa.array([value], kind), pa.nulls(lists, kind)])
-    words = flat.dictionary.take(pa.array(code[first])).cast(pa.string())
+    words = flat.take(pa.array(code[first])).cast(pa.string())
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(lists + 1, run)), pa.concat_arrays([pa.array([DOCUMENTS]), words]),
          pa.array(np.append(len(dl), size)), only_first(int(dl.sum()), pa.int64()),
@@ -97,13 +109,14 @@ def _index(batches):
     for batch in batches:
         toks = batch.column("toks")
         ends = np.cumsum(np.diff(toks.offsets.to_numpy()))
-        start = 0
+        start, part = 0, None
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + RUN_TOKENS, "right")))
             part = batch.slice(start, stop - start)
             yield _run_rows(run, part.column("pmid"), part.column("doc_id"), part.column("toks"))
             run, start = run + 1, stop
+        del batch, toks, part       # before the next one is read
 
 
 class BlockIndex:
@@ -224,7 +237,7 @@ def _search(k: int, avgdl: float, query_type, counts=None):
     def run(batches):
         group, runs, out = None, {}, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for a in range(0, batch.num_rows, ROWS) for r in batch.slice(a, ROWS).to_pylist()):
                 if row["g"] != group:
                     group, runs = row["g"], {}
                 if row["kind"] == 0:

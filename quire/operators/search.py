@@ -49,9 +49,11 @@ def _matrix(column) -> np.ndarray:
 
 def _unit_rows(m: np.ndarray):
     """(unit rows, their places): rows with a null, a non-finite value or no length are left out."""
-    norms = np.sqrt((m * m).sum(axis=1))
+    norms = np.sqrt(np.concatenate([(m[a:a + 4096] * m[a:a + 4096]).sum(axis=1) for a in range(0, len(m), 4096)] or [[]]))
     keep = np.flatnonzero(np.isfinite(norms) & (norms > 0))
-    return m[keep] / norms[keep][:, None], keep
+    unit = m[keep]
+    unit /= norms[keep][:, None]
+    return unit, keep
 
 
 class VectorBlocks:
@@ -113,9 +115,13 @@ def _topk_groups(k: int, key_type, query_type, item_key: str, counts=None):
     def hold(parts):
         keys = [x for own, _ in parts for x in own]
         dim = max(m.shape[1] for _, m in parts)
-        unit, rows = _unit_rows(np.concatenate([m if m.shape[1] else np.zeros((len(m), dim)) for _, m in parts]))
+        m = np.concatenate([m if m.shape[1] else np.zeros((len(m), dim)) for _, m in parts])
+        parts.clear()
+        unit, rows = _unit_rows(m)
+        del m
         order = sorted(range(len(rows)), key=lambda i: (keys[rows[i]] is not None, keys[rows[i]]))
-        return (VectorBlocks(unit[order]) if len(rows) else None), [keys[rows[i]] for i in order]
+        unit = unit[order]
+        return (VectorBlocks(unit) if len(rows) else None), [keys[rows[i]] for i in order]
 
     def run(batches):
         group, parts, blocks, keys = None, [], None, []

@@ -211,3 +211,44 @@ def test_bm25_shuffles_at_most_k_rows_per_query_and_group(spark):
     assert out.count() == 40
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _index_bytes_per_token(n_tokens: int) -> float:
+    import tracemalloc
+
+    import pyarrow as pa
+    from quire.operators import bm25
+    rng = np.random.default_rng(1)
+    ends = np.arange(0, n_tokens + 1, 200, dtype=np.int32)
+    words = pa.array([f"t{x}" for x in rng.integers(0, 20_000, n_tokens)])
+    toks = pa.ListArray.from_arrays(pa.array(ends), words)
+    ids = pa.array([str(i) for i in range(len(toks))])
+    tracemalloc.start()
+    bm25._run_rows(0, ids, ids.cast(pa.int64()), toks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / n_tokens
+
+
+def test_index_run_holds_few_numbers_per_token():
+    assert _index_bytes_per_token(400_000) < 36
+
+
+def test_embedding_by_slices_equals_the_rule(monkeypatch):
+    """Words of any script, lists that are null or empty, slices of any size."""
+    import hashlib
+
+    import pyarrow as pa
+    from quire.functions import vectors
+    lists = [["a", "b", "a"], None, [], ["été", "漢"], [f"w{i}" for i in range(300)], [], ["a"]]
+    want = []
+    for words in lists:
+        v = np.zeros(64)
+        for w in words or []:
+            v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+        want.append((v / np.sqrt((v * v).sum())).astype(np.float32).tolist() if words else None)
+    toks = pa.array([["unseen"]] + lists, pa.list_(pa.string())).slice(1)
+    for size in (1, 4, 500_000):
+        monkeypatch.setattr(vectors, "SLICE_TOKENS", size)
+        assert vectors.unit_counts(toks).to_pylist() == want
+    assert vectors.unit_counts(toks.slice(0, 0)).to_pylist() == []
